@@ -127,6 +127,19 @@ def chunks(col: pa.Array, lower: bool = False):
         i = j
 
 
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(x) for x in ".,;:!?\"'()[]%&$#*"]] = True
+
+
+def plain_hashes(c: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Word hashes without punctuation at the word's edges; c should be lower-cased."""
+    s, e = start.copy(), end.copy()
+    for _ in range(4):
+        e -= (e > s + 1) & _EDGE[c.data[e - 1]]
+    s += (e > s + 1) & _EDGE[c.data[s]]
+    return c.hashes(s, e)
+
+
 def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word windows within a document, and the index of each one's first word."""
     m = len(words) - k + 1
