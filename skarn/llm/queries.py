@@ -9,17 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.llm.classifier import quality_classifier
 from skarn.llm.decontaminate import benchmark_hits
 from skarn.llm.rules import quality_rules
+from skarn.llm import sharding, units
 from skarn.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+ORACLES["op1_sharding"] = sharding.ORACLE
+ORACLES["op3_substring_dedup"] = units.ORACLE
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.unit_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
