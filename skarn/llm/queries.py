@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.llm.classifier import quality_classifier
 from skarn.llm.decontaminate import benchmark_hits
 from skarn.llm.rules import quality_rules
-from skarn.llm import sharding, units
+from skarn.llm import packing, sharding, units
 from skarn.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.unit_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **packing.public_tokenizer())
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
