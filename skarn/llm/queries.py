@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.llm.classifier import quality_classifier
 from skarn.llm.decontaminate import benchmark_hits
 from skarn.llm.rules import quality_rules
-from skarn.llm import minhash, packing, sharding, units
+from skarn.llm import lines, minhash, packing, sharding, units
 from skarn.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op1_sharding"] = sharding.ORACLE
 ORACLES["op3_substring_dedup"] = units.ORACLE
 ORACLES["op4_minhash_near_dedup"] = minhash.ORACLE
+ORACLES["op5_line_dedup"] = lines.ORACLE
 
 
 def query(f):
@@ -41,6 +42,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **packing.public_tokenizer())
