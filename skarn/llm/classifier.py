@@ -2,7 +2,8 @@
 
 1. A document classifier is fitted on at most ``max_labelled`` labelled documents (those with the smallest
    hashed ids): surface statistics of the whole text, plus a lexicon of words whose shrunken toxicity rate is
-   high.  Half of the sample finds the lexicon, the other half fits two logistic heads: low quality, toxic.
+   high.  Two logistic heads, low quality and toxic, are fitted on the sample, each half of it with the
+   lexicon of the other half.
 2. Every document is scored.  Scores are summed per host and per host and path by grouped aggregation with
    map-side partial sums, over all documents.
 3. Site posteriors shrink toward the global rate: a host's mean toward the corpus, a path's mean toward its
@@ -121,36 +122,42 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def words(it):
         for b in it:
-            texts, tox = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            for c in chunks(texts):
+            tox, half = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            for c in chunks(b.column(0)):
                 s, e = c.words()
                 pairs = np.unique(np.column_stack([_plain(c, s, e).view(np.int64), c.doc_of(s)]), axis=0)
-                y = tox[c.first + pairs[:, 1]]
+                at = c.first + pairs[:, 1]
                 h, inverse = np.unique(pairs[:, 0], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(inverse, minlength=len(h)).astype(np.int64)), pa.array(np.bincount(inverse, weights=y, minlength=len(h)).astype(np.int64))], ["word", "n", "t"])
+                of = lambda w: pa.array(np.bincount(inverse, weights=w, minlength=len(h)).astype(np.int64))  # noqa: B023, E731
+                odd = half[at] == 1
+                yield pa.RecordBatch.from_arrays([pa.array(h), of(~odd), of(~odd * tox[at]), of(odd), of(odd * tox[at])], ["word", "n0", "t0", "n1", "t1"])
 
     base = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     rate = max(base["t"], 0.5) / max(base["n"], 1)
-    found = (
-        texts.where("half = 0").select("text", "t").mapInArrow(words, "word long, n long, t long")
-        .groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        .withColumn("p", (F.col("t") + 3 * rate) / (F.col("n") + 3)).where("t >= 2 and p > 0.5")
-        .orderBy(F.desc("p"), F.desc("n"), "word").limit(lexicon_size).collect()
-    )
-    found.sort(key=lambda r: np.int64(r["word"]).view(np.uint64))
-    lexicon = np.array([r["word"] for r in found], np.int64).view(np.uint64)
-    weight = np.array([np.log(r["p"] / max(1e-6, 1 - r["p"])) - np.log(rate / max(1e-6, 1 - rate)) for r in found])
+    counts = texts.select("text", "t", "half").mapInArrow(words, "word long, n0 long, t0 long, n1 long, t1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")))
+    counts = cut(counts.withColumn("n2", F.col("n0") + F.col("n1")).withColumn("t2", F.col("t0") + F.col("t1")).where("t2 >= 2"))
+
+    def lexicon(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of half 0, of half 1, or of both (2), whose rate among toxic documents stays high when shrunk."""
+        p = (F.col(f"t{k}") + 3 * rate) / (F.col(f"n{k}") + 3)
+        found = counts.withColumn("p", p).where(F.col("p") > 0.5).where(f"t{k} >= 2").orderBy(F.desc("p"), F.desc(f"n{k}"), "word").limit(lexicon_size).collect()
+        found.sort(key=lambda r: int(np.int64(r["word"]).view(np.uint64)))
+        words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+        return words, np.array([np.log(r["p"] / max(1e-6, 1 - r["p"])) - np.log(rate / max(1e-6, 1 - rate)) for r in found])
+
+    halves = lexicon(0), lexicon(1)
 
     def features(it):
         for b in it:
-            x = _features(b.column(0), lexicon, weight)
+            half = b.column(4).to_numpy(zero_copy_only=False)
+            x = np.where((half == 1)[:, None], _features(b.column(0), *halves[0]), _features(b.column(0), *halves[1]))  # each half by the other's words
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["id", "q", "t", "x"])
 
-    rows = texts.where("half = 1").select("text", "id", "q", "t").mapInArrow(features, "id long, q int, t int, x array<double>").orderBy("id", "x").limit(max_labelled).collect()
+    rows = texts.select("text", "id", "q", "t", "half").mapInArrow(features, "id long, q int, t int, x array<double>").orderBy("id", "x").limit(max_labelled).collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), 16)
     low = _logistic(x, np.array([r["q"] == 0 for r in rows], float))
-    toxic = _logistic(x[:, :], np.array([r["t"] == 1 for r in rows], float))
-    return Model(lexicon, weight, low, toxic)
+    toxic = _logistic(x, np.array([r["t"] == 1 for r in rows], float))
+    return Model(*lexicon(2), low, toxic)
 
 
 def _strength(n: Column, mean: Column, parent: Column) -> list[Column]:

@@ -16,15 +16,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared checkpoint folder, so that lost executors cost nothing.
-
-    The cluster names the folder in spark.checkpoint.dir; only a session without one gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir; a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once and keeps it in the shared checkpoint folder, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
