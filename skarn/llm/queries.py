@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.llm.classifier import quality_classifier
 from skarn.llm.decontaminate import benchmark_hits
 from skarn.llm.rules import quality_rules
-from skarn.llm import lines, minhash, packing, sharding, units
+from skarn.llm import lines, minhash, packing, sharding, substrings, units
 from skarn.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.unit_dedup(table(spark, sf_dir, "documents"))
