@@ -1,4 +1,9 @@
-"""Operator-equivalent queries over the driver's tables, each with its DuckDB equivalent."""
+"""Operator-equivalent queries over the driver's tables, each with its DuckDB equivalent.
+
+Files are `documents` (source = project, lang = package), name references are identifier tokens of their
+text, declarations are `part`, the hierarchy is region - nation - customer and supplier - orders, and the
+change feed and diagnostics are `events`.  Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions import positions
+from skarn.functions.predicates import CAMELCASE, EXACT, PATTERN, PREFIX, ellipsis, matches_name, package_of
+from skarn.operators import batching, hierarchy, maintain
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 IDENT = "([A-Za-z_][A-Za-z0-9_]*)"
+SQL_TOKENS = f"""tok AS (
+  SELECT doc_id, source, lang, unnest(l) AS name, generate_subscripts(l, 1) - 1 AS pos
+  FROM (SELECT doc_id, source, lang, regexp_extract_all(text, '{IDENT}', 1) AS l FROM documents))"""
 
 
 def query(sql: str | None = None):
@@ -29,16 +41,404 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """name references of a corpus: one row per identifier token."""
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(IDENT), F.lit(1))).alias("pos", "name"))
+    keep = [c for c in ("doc_id", "source", "lang") if c in docs.columns]
+    return docs.select(*keep, F.posexplode(F.regexp_extract_all("text", F.lit(IDENT), F.lit(1))).alias("pos", "name"))
 
 
-@query("""
-SELECT doc_id, pos - 1 AS pos, name FROM (
-  SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1) AS l FROM documents))
-WHERE name = 'the'
-""")
+def micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT doc_id, pos, name FROM tok WHERE name = 'the'")
 def find_usages(spark, sf_dir):
-    """Every occurrence of one name; documents without it are skipped before tokenising."""
-    docs = t(spark, sf_dir, "documents").where(F.col("text").contains("the"))
+    """Every occurrence of one name; documents without it are skipped before tokenising."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").contains("the"))
     return tokens(docs).where("name = 'the'").select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query(f"WITH {SQL_TOKENS} SELECT name, count(*) AS usages, count(DISTINCT doc_id) AS files FROM tok GROUP BY name")
+def usage_counts(spark, sf_dir):
+    """Usages of every name; counted per document first, so the shuffle carries distinct pairs only."""
+    per = tokens(t(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("name", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("name").agg(F.sum("n").alias("usages"), F.count("*").alias("files"))
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size FROM part WHERE p_partkey = 77")
+def point_lookup(spark, sf_dir):
+    """L1: one declaration by key; the filter reaches the scan."""
+    return t(spark, sf_dir, "part").where("p_partkey = 77").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("long").alias("p_size"))
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT'")
+def members_of(spark, sf_dir):
+    """L2/L3: members of the types that a filter selects."""
+    c = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name = 'red widget'")
+def match_exact(spark, sf_dir):
+    return t(spark, sf_dir, "part").where(matches_name(F.col("p_name"), "red widget", EXACT)).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'blue')")
+def match_prefix(spark, sf_dir):
+    return t(spark, sf_dir, "part").where(matches_name(F.col("p_name"), "blue", PREFIX)).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '.*e. .*t')")
+def match_glob(spark, sf_dir):
+    return t(spark, sf_dir, "part").where(matches_name(F.col("p_name"), "*e? *t", PATTERN)).select("p_partkey", "p_name")
+
+
+@query("""
+WITH n AS (SELECT p_partkey, concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2), upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2)) AS name FROM part)
+SELECT p_partkey, name FROM n WHERE regexp_matches(lower(regexp_replace(name, '[^A-Z]', '', 'g')), 's.*r')
+""")
+def match_camel(spark, sf_dir):
+    part = t(spark, sf_dir, "part").select("p_partkey", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias("name"))
+    return part.where(matches_name(F.col("name"), "SR", CAMELCASE))
+
+
+@query(f"""
+WITH {SQL_TOKENS} SELECT DISTINCT doc_id FROM tok WHERE name = 'with'
+UNION SELECT doc_id FROM documents WHERE source = 'src1'
+""")
+def candidates_type(spark, sf_dir):
+    """Q2: files that use a name, or declare in a project; distinct over both."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    uses = tokens(docs.where(F.col("text").contains("with"))).where("name = 'with'").select("doc_id")
+    return uses.union(docs.where("source = 'src1'").select("doc_id")).distinct()
+
+
+@query(f"""
+WITH {SQL_TOKENS}, c AS (SELECT DISTINCT doc_id FROM tok WHERE name = 'from')
+SELECT doc_id, strpos(text, 'the ')::BIGINT AS at FROM documents SEMI JOIN c USING (doc_id) WHERE strpos(text, 'the ') > 0
+""")
+def two_phase_search(spark, sf_dir):
+    """Q1: candidates by the reference index, then the exact check on candidate files only."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    candidates = tokens(docs.where(F.col("text").contains("from"))).where("name = 'from'").select("doc_id").distinct()
+    at = F.instr("text", "the ").cast("long")
+    return docs.where(F.col("text").contains("the ")).join(candidates, "doc_id", "left_semi").select("doc_id", at.alias("at"))
+
+
+@query("SELECT doc_id, CASE WHEN length(split_part(text, chr(10), 1)) > 50 THEN substr(split_part(text, chr(10), 1), 1, 47) || '...' ELSE split_part(text, chr(10), 1) END AS element FROM documents")
+def element_ellipsis(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", ellipsis(F.substring_index("text", "\n", 1)).alias("element"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def direct_children(spark, sf_dir):
+    r = t(spark, sf_dir, "region").where("r_name = 'ASIA'")
+    return t(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation, customer = t(spark, sf_dir, "nation"), t(spark, sf_dir, "customer")
+    parts = [
+        nation.select(key("R", "n_regionkey").alias("parent"), key("N", "n_nationkey").alias("child")),
+        customer.select(key("N", "c_nationkey").alias("parent"), key("C", "c_custkey").alias("child")),
+        t(spark, sf_dir, "supplier").select(key("N", "s_nationkey").alias("parent"), key("S", "s_suppkey").alias("child")),
+        t(spark, sf_dir, "orders").select(key("C", "o_custkey").alias("parent"), key("O", "o_orderkey").alias("child")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+SQL_TREE = """tree(parent, child) AS (
+  SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
+  UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders)"""
+
+
+@query(f"""
+WITH RECURSIVE {SQL_TREE}, reach(root, node) AS (
+  SELECT parent, child FROM tree WHERE parent IN ('R1', 'N3') UNION SELECT root, child FROM reach JOIN tree ON node = parent)
+SELECT root, node FROM reach
+""")
+def closure(spark, sf_dir):
+    """All descendants of two roots."""
+    return hierarchy.closure(_tree(spark, sf_dir), spark.createDataFrame([("R1",), ("N3",)], "root string"))
+
+
+@query(f"""
+WITH RECURSIVE {SQL_TREE}, reach(root, node) AS (
+  SELECT parent, child FROM tree WHERE starts_with(parent, 'R') UNION SELECT root, child FROM reach JOIN tree ON node = parent)
+SELECT root, substr(node, 1, 1) AS kind, count(*) AS members FROM reach WHERE substr(node, 1, 1) IN ('C', 'S') GROUP BY root, kind
+""")
+def closure_by_kind(spark, sf_dir):
+    """The closure of every root, by kind of the members; edges of other kinds never enter the loop."""
+    edges = _tree(spark, sf_dir).where("child not like 'O%'")
+    roots = t(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
+    reach = hierarchy.closure(edges, roots).withColumn("kind", F.substring("node", 1, 1))
+    return reach.where("kind in ('C', 'S')").groupBy("root", "kind").agg(F.count("*").alias("members"))
+
+
+@query("SELECT o_orderkey, coalesce(c_name, 'unresolved#' || o_custkey) AS resolved FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def import_resolution(spark, sf_dir):
+    """A name is resolved by a left join, and keeps its simple form where that finds nothing."""
+    known = t(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    name = F.coalesce("c_name", F.concat(F.lit("unresolved#"), F.col("o_custkey").cast("string")))
+    return o.join(known, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", name.alias("resolved"))
+
+
+@query("SELECT p_brand, count(*) AS refs, count(DISTINCT l_orderkey) AS files, sum(l_linenumber)::BIGINT AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def rehydrate(spark, sf_dir):
+    """Locations regain their path by an equi-join with the registry."""
+    loc = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    reg = t(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return loc.join(reg, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("refs"), F.countDistinct("l_orderkey").alias("files"), F.sum("l_linenumber").cast("long").alias("lines"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def deleted_files(spark, sf_dir):
+    """What is tracked but no longer there."""
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    return maintain.deleted(c, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key").select(F.col("key").alias("c_custkey"), "c_name")
+
+
+_SITES = ["http://", "http://m.", "https://", "https://m.", "https://www."]
+
+
+@query("""
+WITH p(project) AS (VALUES ('http://'), ('http://m.'), ('https://'), ('https://m.'), ('https://www.')),
+m AS (SELECT page_id, project, row_number() OVER (PARTITION BY page_id ORDER BY length(project) DESC, project) AS r FROM pages JOIN p ON starts_with(url, project))
+SELECT page_id, project FROM m WHERE r = 1
+""")
+def project_prefix_join(spark, sf_dir):
+    """The innermost project that contains a file.
+
+    Project paths are looked up as prefixes of each length that occurs, an equi-join instead of a range join.
+    """
+    projects = spark.createDataFrame([(p,) for p in _SITES], "project string").withColumn("n", F.length("project"))
+    sizes = F.array(*(F.lit(n) for n in sorted({len(p) for p in _SITES})))
+    pages = t(spark, sf_dir, "pages").select("page_id", "url").withColumn("n", F.explode(sizes)).withColumn("project", F.expr("left(url, n)"))
+    return pages.join(projects, ["n", "project"]).groupBy("page_id").agg(F.max_by("project", "n").alias("project"))
+
+
+@query("""
+WITH i AS (SELECT user_id, event_id AS s, event_id + 40 + (event_id % 7) * 10 AS e FROM events),
+p AS (SELECT user_id, event_id AS "at", event_id + 5 AS upto FROM events WHERE event_type = 'click'),
+m AS (SELECT p.user_id, "at", s, e, row_number() OVER (PARTITION BY p.user_id, "at" ORDER BY e - s, s DESC) AS r FROM p JOIN i ON p.user_id = i.user_id AND s <= "at" AND e >= upto)
+SELECT user_id, "at", s, e FROM m WHERE r = 1
+""")
+def covering_interval(spark, sf_dir):
+    """NodeFinder: the innermost interval that covers a range.
+
+    Interval starts and ranges are binned, so the join is on (user, bin) and touches near neighbours only.
+    """
+    width = 128  # longer than any interval: a covering one starts in the range's bin or the one before
+    ev = t(spark, sf_dir, "events")
+    i = ev.select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 40 + (F.col("event_id") % 7) * 10).alias("e")).withColumn("bin", F.floor(F.col("s") / width))
+    p = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("at"), (F.col("event_id") + 5).alias("upto"))
+    p = p.withColumn("bin", F.explode(F.array(F.floor(F.col("at") / width), F.floor(F.col("at") / width) - 1)))
+    hit = p.join(i, ["user_id", "bin"]).where("s <= at and e >= upto")
+    return hit.groupBy("user_id", "at").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("neg"), "s", "e")).alias("x")).select("user_id", "at", "x.s", "x.e")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def last_writer_wins(spark, sf_dir):
+    """The last state of every key, by aggregation with map-side combining."""
+    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "x.event_id", "x.event_type")
+
+
+SQL_SNAPSHOTS = """
+old AS (SELECT user_id AS path, max(epoch_us(ts)) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+new AS (SELECT user_id AS path, max(epoch_us(ts)) AS m FROM events WHERE event_id % 3 <> 0 GROUP BY 1)"""
+
+
+@query(f"""
+WITH {SQL_SNAPSHOTS}
+SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'new' WHEN new.path IS NULL THEN 'deleted' ELSE 'changed' END AS status
+FROM old FULL JOIN new ON old.path = new.path WHERE old.path IS NULL OR new.path IS NULL OR new.m > old.m
+""")
+def change_scan(spark, sf_dir):
+    """New, changed and deleted files between two snapshots."""
+    ev = t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), micros("ts").alias("mtime_ms"))
+    snap = lambda cond: ev.where(cond).groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
+    return maintain.change_scan(snap("event_id % 2 = 0"), snap("event_id % 3 <> 0"))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT name, count(*) AS usages FROM tok WHERE source <> 'src3' GROUP BY name")
+def remove_file(spark, sf_dir):
+    """Facts of removed files go, by an anti join on the file key."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    gone = docs.where("source = 'src3'").select("doc_id")
+    return tokens(maintain.without(docs, gone, "doc_id")).groupBy("name").agg(F.count("*").alias("usages"))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT lang, count(*) AS facts, count(DISTINCT name) AS names FROM tok GROUP BY lang")
+def reindex_idempotent(spark, sf_dir):
+    """Deleting and inserting a project's facts again leaves the index as it was."""
+    facts = tokens(t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).groupBy("doc_id", "source", "lang", "name").agg(F.count("*").alias("n"))
+    touched = facts.where("source = 'src2'")
+    again = maintain.replace(facts, touched, touched, "doc_id")
+    return again.groupBy("lang", "name").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("facts"), F.count("*").alias("names"))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey::BIGINT AS k, n_name FROM nation), x AS (SELECT k + 20 AS k, 'new ' || n_name AS n_name FROM n)
+SELECT k, n_name FROM n UNION ALL SELECT k, n_name FROM x ANTI JOIN n USING (k)
+""")
+def upsert_project(spark, sf_dir):
+    """A row is inserted only if its key is absent."""
+    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    return maintain.insert_absent(n, n.select((F.col("k") + 20).alias("k"), F.concat(F.lit("new "), "n_name").alias("n_name")), "k")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id) - 1) // 100 AS chunk FROM documents")
+def chunk_100(spark, sf_dir):
+    """A4: chunks of a hundred files in path order, ranked by range partitions."""
+    return batching.chunks(t(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "chunk")
+
+
+@query()
+def pack_batches(spark, sf_dir):
+    """A3: package-aware batches per project; tests hold the plan to its rules."""
+    files = t(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("package"), F.col("doc_id").alias("pos"))
+    return batching.plan_batches(files, ["project"])
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
+def group_publish(spark, sf_dir):
+    """A1: diagnostics grouped by file for publication."""
+    errors = F.count_if(F.col("event_type") == "error")
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), errors.alias("errors"))
+
+
+SQL_SEVERITY = "CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 1 END"
+
+
+def _severity():
+    kinds = F.create_map(*(F.lit(x) for kv in (("error", 1), ("click", 2), ("view", 2), ("signup", 3)) for x in kv))
+    return F.coalesce(kinds[F.col("event_type")], F.lit(1)).cast("long")
+
+
+@query(f"SELECT event_id, {SQL_SEVERITY}::BIGINT AS severity FROM events")
+def severity_map(spark, sf_dir):
+    """Kinds map to severities; unknown kinds are errors."""
+    return t(spark, sf_dir, "events").select("event_id", _severity().alias("severity"))
+
+
+@query(f"""
+SELECT event_id, greatest(event_id % 50 - 1, 0)::BIGINT AS line, (user_id % 80)::BIGINT AS c0, (user_id % 80 + 1)::BIGINT AS c1,
+       (user_id % 80 + greatest(user_id % 9 - 1, 0))::BIGINT AS end_inclusive FROM events WHERE {SQL_SEVERITY} = 1
+""")
+def lsp_range(spark, sf_dir):
+    """Inclusive ends and protocol ranges of errors."""
+    e = t(spark, sf_dir, "events").where(_severity() == 1)
+    col = F.col("user_id") % 80
+    return e.select("event_id", F.greatest(F.col("event_id") % 50 - 1, F.lit(0)).alias("line"), col.alias("c0"), (col + 1).alias("c1"), (col + F.greatest(F.col("user_id") % 9 - 1, F.lit(0))).alias("end_inclusive"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{\"k\":' || json_extract(props, '$.k')::BIGINT || '}' AS j FROM events WHERE json_valid(props)")
+def json_round_trip(spark, sf_dir):
+    """Rows that parse, read and written again; malformed ones are skipped."""
+    x = F.from_json("props", "k bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = t(spark, sf_dir, "events").select("event_id", x.alias("x")).where("x._bad is null and x is not null")
+    return rows.select("event_id", "x.k", F.to_json(F.struct("x.k")).alias("j"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def split_by_kind(spark, sf_dir):
+    """K1/K2: references split by kind and united again."""
+    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
+    notes, rest = e.where("kind = 'click'").drop("kind"), e.where("kind <> 'click'")
+    both = rest.unionByName(notes.withColumn("kind", F.lit("click")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").cast("long").alias("ids"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY path) - 1)::BIGINT AS file_id, path FROM (SELECT DISTINCT source || '/' || lang || '/' || doc_id AS path FROM documents)")
+def intern_paths(spark, sf_dir):
+    """K8: dense ids for paths, by range partitions."""
+    d = t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return maintain.intern(d).select(F.col("file_id").cast("long").alias("file_id"), "path")
+
+
+@query("""
+SELECT doc_id, (length(h) - length(replace(h, chr(10), '')))::BIGINT AS line, length(split_part(h, chr(10), -1))::BIGINT AS ch
+FROM (SELECT doc_id, substr(text, 1, least(200, length(text))) AS h FROM documents)
+""")
+def offset_to_position(spark, sf_dir):
+    """Line and character of an offset."""
+    at = F.lit(200)
+    return t(spark, sf_dir, "documents").select("doc_id", positions.line_of(F.col("text"), at).cast("long").alias("line"), positions.char_of(F.col("text"), at).cast("long").alias("ch"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN len(l) > 1 AND length(l[2]) >= 5 THEN length(l[1]) + 6 ELSE -1 END::BIGINT AS at
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+""")
+def position_to_offset(spark, sf_dir):
+    """Offset of line 1, character 5, or -1."""
+    return t(spark, sf_dir, "documents").select("doc_id", positions.position_to_offset(F.col("text"), F.lit(1), F.lit(5)).cast("long").alias("at"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 20) WHERE event_id % 3 <> 0")
+def top_oldest(spark, sf_dir):
+    """The limit comes before the filter."""
+    return t(spark, sf_dir, "events").orderBy("ts", "event_id").limit(20).where("event_id % 3 <> 0").select("event_id", "user_id")
+
+
+@query("""
+SELECT (SELECT count(*) FROM part) AS types, (SELECT count(*) FROM orders) AS methods, (SELECT count(*) FROM lineitem) AS fields,
+       (SELECT count(*) FROM documents) AS files, (SELECT sum(n_chars) FROM documents)::BIGINT AS chars
+""")
+def index_stats(spark, sf_dir):
+    """K7: sizes of the index."""
+    n = lambda name, c: t(spark, sf_dir, name).agg(F.count("*").alias(c))
+    files = t(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.sum("n_chars").cast("long").alias("chars"))
+    key = F.lit(1)
+    out = n("part", "types").withColumn("_k", key)
+    for d in (n("orders", "methods"), n("lineitem", "fields"), files):
+        out = out.join(F.broadcast(d.withColumn("_k", key)), "_k")  # one row each
+    return out.drop("_k")
+
+
+@query("""
+WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<[a-z]')) AS nodes, len(regexp_extract_all(html, '<p><b>')) AS bad FROM pages)
+SELECT count(*) AS files, sum(nodes)::BIGINT AS nodes, sum(bad)::BIGINT AS erroneous, count(*) FILTER (bad > 0) AS files_with_errors, round(100.0 * sum(bad) / sum(nodes), 4) AS percent FROM x
+""")
+def parse_quality(spark, sf_dir):
+    """Parse-quality totals of a batch."""
+    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
+    x = t(spark, sf_dir, "pages").select(n("<[a-z]").alias("nodes"), n("<p><b>").alias("bad"))
+    return x.agg(F.count("*").alias("files"), F.sum("nodes").alias("nodes"), F.sum("bad").alias("erroneous"), F.count_if(F.col("bad") > 0).alias("files_with_errors"), F.round(100.0 * F.sum("bad") / F.sum("nodes"), 4).alias("percent"))
+
+
+@query("SELECT doc_id, sha1(text) AS digest FROM documents")
+def sha1_fingerprint(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("digest"))
+
+
+@query("SELECT p_partkey, (p_size & 9)::BIGINT AS bits, (p_size & 9) = 9 AS public_static FROM part WHERE (p_size & 1) = 1")
+def modifier_mask(spark, sf_dir):
+    from skarn.functions.predicates import has_modifier
+
+    size = F.col("p_size")
+    return t(spark, sf_dir, "part").where(has_modifier(size, "public")).select("p_partkey", size.bitwiseAND(F.lit(9)).cast("long").alias("bits"), has_modifier(size, "public", "static").alias("public_static"))
+
+
+@query("SELECT event_type AS project, count(DISTINCT user_id) AS edited, count(DISTINCT user_id) >= 20 AS rebatch FROM events GROUP BY 1")
+def rebatch_threshold(spark, sf_dir):
+    """Projects that enough distinct files were edited in."""
+    return maintain.needs_rebatch(t(spark, sf_dir, "events").select(F.col("event_type").alias("project"), F.col("user_id").alias("path")))
+
+
+@query("""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '/src/main/java/' WHEN page_id % 4 = 1 THEN '/src/' WHEN page_id % 4 = 2 THEN '/a/b/c/' ELSE '/source/' END || lower(regexp_replace(url, '^https?://', '')) AS path FROM pages),
+d AS (SELECT page_id, path, left(path, length(path) - length(split_part(path, '/', -1)) - 1) AS dir FROM p)
+SELECT page_id, replace(CASE WHEN page_id % 4 = 0 THEN substr(dir, 16) WHEN page_id % 4 = 1 THEN substr(dir, 6) WHEN page_id % 4 = 3 THEN substr(dir, 9)
+  ELSE array_to_string(list_filter(string_split(dir, '/'), lambda x: x <> '')[-3:], '/') END, '/', '.') AS package FROM d
+""")
+def package_from_path(spark, sf_dir):
+    """The package by the first source root in the path, else by the last folders."""
+    root = F.element_at(F.array(F.lit("/src/main/java/"), F.lit("/src/"), F.lit("/a/b/c/"), F.lit("/source/")), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(root, F.lower(F.regexp_replace("url", "^https?://", "")))
+    return t(spark, sf_dir, "pages").select("page_id", package_of(path).alias("package"))
