@@ -9,12 +9,16 @@ sequence), as 64-bit hashes.  Documents of equal sets form one class, so copies
   1e-7, and common ones are in both sketches.  So a pair must share one of the K - SHARED + 1 values that are
   rarest in the corpus of its sketches, and only these are listed: common passages make no candidates.
   Documents whose set is at most 3/4 K are held whole by the sketch, and their bound is exact.
-* In every list each class is compared with the list's smallest one first.  The links found join classes into
-  components; after that only pairs of one list that are still in different components are compared.  A group
-  of near copies thus costs a star of comparisons and not its square, and no link between components is lost.
+* In every list each class is compared with the list's first one.  The links found join classes into
+  components; after that only pairs of one list that are still in different components are compared: pair by
+  pair in lists of at most ``LARGE`` classes.  The members of longer lists take the exact way: a prefix join
+  on their full sets, ordered by rarity among them, with length and positional filters, which leaves near
+  misses alone.  So neither a large group of near copies nor one of near misses costs its square, and no link
+  between components is lost.
 * The union sketch of a pair estimates its Jaccard; what could reach the threshold is verified exactly on the
   full sets, made from the two whole texts.
 
+A class is named by 64 bits of its set's digest.
 A document without words or text is linked with nothing: its component is its own id.  A null id never names
 a component unless all ids in it are null.  Rows of one id and one text are alike in every output column.
 Empty tables give empty results.
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from skarn.llm.bitmap import bitmap, may_be_in
 from skarn.llm.graph import components
 from skarn.llm.session import cut
 from skarn.llm.textops import U64, chunks, grams, mix
@@ -36,6 +41,7 @@ WIDTH = 5
 PERCENT = 75
 K = 48
 SHARED = 19
+LARGE = 32
 _NONE = 2**63 - 1  # stands for a null id
 
 
@@ -149,66 +155,106 @@ def _verify(width: int, percent: int):
     return F.arrow_udf(run, "boolean")
 
 
-def _prefix(classes: DataFrame, k: int, shared: int) -> DataFrame:
-    """(value, node, n): the listed values of every class, those that no other class retains left out."""
-    size = F.size("sketch")
-    need = F.when(F.col("n") <= int(0.75 * k), F.ceil(0.75 * F.col("n"))).otherwise(F.lit(shared)).cast("int")
-    rows = classes.select("node", "n", size.alias("s"), (size - need + 1).alias("room"), F.explode("sketch").alias("value"))
-    often = rows.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    w = Window.partitionBy("node").orderBy("f", "value")
-    mine = rows.join(often, "value").withColumn("r", F.row_number().over(w)).withColumn("held", F.count("*").over(Window.partitionBy("node")))
-    # values seen once are the rarest: they take the first places of the prefix
-    return mine.where("r + s - held <= room").select("value", "node", "n")
+def _room(n: Column, size: Column, k: int, shared: int, percent: int) -> Column:
+    """Values of a sketch to list: all but as many as a pair must share."""
+    need = F.when(n * 100 <= 75 * k, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(shared)).cast("int")
+    return size - need + 1
+
+
+def _rarest(values: DataFrame, room: Column) -> DataFrame:
+    """(value, node, pos, ...) of each node's room rarest values, those that no other node holds left out.
+
+    values has node, value, size (values of the node) and what room needs.  Values seen once are the rarest and take
+    the first places.
+    """
+    often = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
+    w = Window.partitionBy("node")
+    ranked = often.withColumn("r", F.row_number().over(w.orderBy("f", "value"))).withColumn("pos", F.col("r") + F.col("size") - F.count("*").over(w) - 1)
+    return ranked.where(F.col("pos") < room).drop("f", "r")
 
 
 def _length_fits(a: Column, b: Column, percent: int) -> Column:
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, size, value) of every shingle of some classes."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("value", pa.int64())])
+
+    def run(it):
+        for batch in it:
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, rows, h, d in shingle_sets(batch.column(1), width):
+                n = np.bincount(d, minlength=rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node[first + d]), pa.array(n[d]), pa.array(h)], schema=schema)
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, value long")
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of some classes(node, b, rep): of the rows with the class's id, one whose set has its digest."""
+    rep = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+    all_ = docs.select(rep.alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    some, wanted = may_be_in(all_, bitmap(nodes.select(F.xxhash64("rep").alias("h")), "wanted"), "wanted", F.xxhash64("rep"))
+    own = some.where(wanted).select("rep", "text").join(nodes, "rep").withColumn("digest", _digest(width)("text"))
+    return own.where("digest.a = node and digest.b = b").groupBy("rep", "node").agg(F.min("text").alias("text")).select("node", "text")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (u, v) between classes; together they connect all classes that any chain of links connects."""
-    lists = cut(_prefix(classes, k, shared))
-    sk = classes.select("node", "n", "sketch")
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        a = sk.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-        b = sk.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-        return pairs.join(a, "u").join(b, "v").where(_length_fits(F.col("nu"), F.col("nv"), percent)).where(_estimate(k, shared, percent)("su", "nu", "sv", "nv")).select("u", "v")
+    listed = _rarest(classes.select("node", F.size("sketch").alias("size"), "n", F.explode("sketch").alias("value")), _room(F.col("n"), F.col("size"), k, shared, percent))
+    lists = listed.select("value", "node", "n")
+    lists = cut(lists.withColumn("c", F.count("*").over(Window.partitionBy("value"))).where("c > 1"))
+    some = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"))
+    texts = cut(_texts_of(docs, some.select("node", "b", "rep"), width, id_col, text_col))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(promising(pairs))
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        # a class's text is that of any row whose set has the class's digest; rows of one id may hold several texts
-        own = nodes.withColumn("rep", F.col("node.rep")).join(text, "rep").withColumn("digest", _digest(width)("text"))
-        found = own.where("digest.a = node.a and digest.b = node.b").groupBy("rep", "node").agg(F.min("text").alias("text"))
-        u = found.select(F.col("node").alias("u"), F.col("text").alias("tu"))
-        v = found.select(F.col("node").alias("v"), F.col("text").alias("tv"))
-        return pairs.join(v, "v").join(u, "u").where(_verify(width, percent)("tu", "tv")).select("u", "v")
-
-    first = lists.groupBy("value").agg(F.min("node").alias("u"), F.count("*").alias("c")).where("c > 1")
-    star = lists.join(first, "value").where("node != u").select("u", F.col("node").alias("v")).distinct()
-    links = cut(verified(star))
-    # what the stars left apart: pairs of one list that are in different components
-    root = components(links)
-    placed = lists.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("centre")).where("lo != hi")
-    left = cut(placed.join(mixed, "value").where("node != centre").select("value", "node", "n", "root"))
-    x = left.select("value", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    y = left.select("value", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    apart = x.join(y, "value").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _length_fits(F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
-    return links.union(cut(verified(apart)))
+        u = some.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+        v = some.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+        both = pairs.join(u, "u").join(v, "v").where(_length_fits(F.col("nu"), F.col("nv"), percent))
+        both = cut(both.where(_estimate(k, shared, percent)("su", "nu", "sv", "nv")).select("u", "v"))
+        tu, tv = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("u", "v"))
+        return cut(both.join(tv, "v").join(tu, "u").where(_verify(width, percent)("tu", "tv")).select("u", "v"))
+
+    def apart(rows: DataFrame, *positions) -> DataFrame:
+        """Pairs (u, v) of one list that are in different components."""
+        extra = ["pos"] if positions else []
+        x = rows.select("value", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), *(F.col(c).alias(f"{c}u") for c in extra))
+        y = rows.select("value", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), *(F.col(c).alias(f"{c}v") for c in extra))
+        test = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _length_fits(F.col("nu"), F.col("nv"), percent)
+        for p in positions:
+            test = test & p
+        return x.join(y, "value").where(test).select("u", "v").distinct()
+
+    # stars: every class against the first of each of its lists
+    first = lists.groupBy("value").agg(F.min("node").alias("u"))
+    links = verified(lists.join(first, "value").where("node != u").select("u", F.col("node").alias("v")).distinct())
+    root = components(links).withColumnRenamed("u", "node")
+    placed = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
+    left = cut(placed.join(mixed, "value", "left_semi"))
+    # short lists: what the stars left apart, pair by pair (at most LARGE pairs a row)
+    links = links.union(verified(apart(left.where(F.col("c") <= LARGE))))
+    # long lists: their members by the exact prefix join on full sets
+    members = left.where(F.col("c") > LARGE).select("node", "root").distinct()
+    if members.isEmpty():
+        return links
+    sets = _full_sets(texts.join(members, "node", "left_semi"), width).withColumn("n", F.col("size").cast("long"))
+    need = F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int")
+    prefix = cut(_rarest(sets, F.col("size") - need + 1).join(members, "node"))
+    overlap = F.ceil((F.col("nu") + F.col("nv")) * percent / (100.0 + percent) - 1e-9)
+    return links.union(verified(apart(prefix, F.least(F.col("nu") - F.col("posu"), F.col("nv") - F.col("posv")) >= overlap)))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = cut(sketches(docs, k, width, id_col, text_col))
     least = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), "n", "sketch")).alias("x"))
-    classes = cut(least.select(F.struct(F.col("x.rep").alias("rep"), "a", "b").alias("node"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")))
-    links = linked_classes(docs, classes, k, shared, width, percent, id_col, text_col)
-    root = components(links).select(F.col("u.a").alias("a"), F.col("u.b").alias("b"), F.col("root.rep").alias("root"))
-    own = classes.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("node.rep").alias("rep"))
-    named = own.join(root, ["a", "b"], "left").select("a", "b", F.coalesce("root", "rep").alias("component"))
+    classes = cut(least.select(F.col("a").alias("node"), "b", "x.rep", "x.n", "x.sketch"))
+    root = components(linked_classes(docs, classes, k, shared, width, percent, id_col, text_col)).withColumnRenamed("u", "node")
+    named = classes.select("node", "b", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
+    named = named.join(least_id, "root").select(F.col("node").alias("a"), "b", "component")
     out = rows.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") == _NONE, F.lit(None)).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

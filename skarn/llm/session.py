@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from skarn.operators.lineage import cut, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,20 +14,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session is set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared checkpoint folder, so that lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(True)
