@@ -1,19 +1,19 @@
 """Line dedup by an exact set-similarity join (operator 5, native: DataFrame expressions only).
 
-A line is a \\n-split piece of a text with at least ``min_words`` distinct words; its set holds those words.
+A line is a \\n-split piece of a text with at least five words; its tokens are its distinct five-word shingles.
 Every line that has an earlier line, by (doc_id, line number) over the whole corpus, with a Jaccard
 similarity of at least ``percent`` / 100 is removed.  Lines are judged on the input.
 
 * Lines of equal sets collapse first: all but the earliest go, and only that one enters the join.
-* Words are ordered by rarity: their hashes fall into ``BUCKETS`` classes, ranked by how often the corpus
+* Tokens are ordered by rarity: their hashes fall into ``BUCKETS`` classes, ranked by how often the corpus
   uses them.  Any order common to all lines keeps the join exact; counting classes keeps it a table of fixed
   size.
-* Prefix filter: two sets that reach the threshold share a word among the first n - ceil(t n) + 1 of each.
-  Only those words are listed, and words listed once are dropped.  Length and positional filters prune pairs.
+* Prefix filter: two sets that reach the threshold share a token among the first n - ceil(t n) + 1 of each.
+  Only those tokens are listed, and tokens listed once are dropped.  Length and positional filters prune pairs.
 * In each list every line is compared with the earliest line first.  A line found to match is settled; only
   unsettled ones are compared with all earlier lines of their lists, so that a line in thousands of variants
   costs a star of pairs.
-* Jaccard is verified on the full sets, fetched again for the lines in question only (a bitmap of fixed size
+* Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 
 A null text has one empty line.  A null id ranks last.  Lines at the same (id, number), from repeated ids, do
@@ -26,26 +26,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.llm.bitmap import bitmap, may_be_in
 from skarn.llm.session import cut
 
-PERCENT = 80
-MIN_WORDS = 5
-BUCKETS = 4096
-BITS = 1 << 22
+PERCENT = 75
+WIDTH = 5
+BUCKETS = 1 << 14
 _NONE = 2**63 - 1
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, no, words) of every line; the words are distinct."""
-    split = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("no", "line")
-    words = F.array_distinct(F.array_remove(F.split("line", "[ \\x09-\\x0D]+"), ""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), split).select("rid", "no", words.alias("words"))
+    """(rid, no, line) of every line; white space within it is blanks."""
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\t\x0b\x0c\r", "    ")
+    split = F.posexplode(F.split(text, "\n")).alias("no", "line")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), split)
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """Lines of at least WIDTH words with the hashes of their shingles, repeats included."""
+    words = lines.select("rid", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
+    hashed = words.select("rid", "no", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.select("rid", "no", F.transform(F.sequence(F.lit(1), F.size("h") - (WIDTH - 1)), lambda i: F.xxhash64(F.slice("h", i, WIDTH))).alias("tokens"))
 
 
 def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Array of BUCKETS ranks, the class used by the fewest lines first."""
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
-    seen = _lines(docs, id_col, text_col).select(F.explode("words").alias("word")).groupBy(bucket).count().collect()  # at most BUCKETS rows
+    """Array of BUCKETS ranks, the class used least first."""
+    token = _tokens(_lines(docs, id_col, text_col)).select(F.explode("tokens").alias("token"))
+    seen = token.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
     count = {r["bucket"]: r["count"] for r in seen}
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))):
@@ -53,55 +60,35 @@ def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> C
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def line_sets(docs: DataFrame, ranks: Column, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, no, codes, n): codes are the words' hashes led by their rank, ascending, so the rarest come first."""
-
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 50).bitwiseOR(F.shiftrightunsigned(h, 14))
-
-    rows = _lines(docs, id_col, text_col).where(F.size("words") >= min_words)
-    return rows.select("rid", "no", F.sort_array(F.transform("words", code)).alias("codes")).withColumn("n", F.size("codes"))
-
-
-def _slot(h: Column) -> tuple[Column, Column]:
-    b = h.bitwiseAND(F.lit(BITS - 1))
-    return F.shiftright(b, 6), F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
+def line_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """(rid, no, codes, n): codes are the distinct tokens led by their rank, ascending, so the rarest come first."""
 
+    def code(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, 15))
 
-def _bitmap(hashes: DataFrame, name: str) -> DataFrame:
-    """A bitmap of BITS bits, as at most BITS / 64 rows, of the hashes in column h."""
-    word, bit = _slot(F.col("h"))
-    return hashes.select(word.alias(f"{name}_word"), bit.alias("bit")).groupBy(f"{name}_word").agg(F.bit_or("bit").alias(name))
-
-
-def _may_be_in(rows: DataFrame, bitmap: DataFrame, name: str, h: Column, how: str = "inner") -> tuple[DataFrame, Column]:
-    word, bit = _slot(h)
-    joined = rows.join(F.broadcast(bitmap), word == F.col(f"{name}_word"), how)  # of fixed size
-    return joined.drop(f"{name}_word"), F.coalesce(F.col(name).bitwiseAND(bit) != 0, F.lit(False))
+    rows = _tokens(lines).select("rid", "no", F.sort_array(F.array_distinct(F.transform("tokens", code))).alias("codes"))
+    return rows.withColumn("n", F.size("codes"))
 
 
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9)
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, no) of every line to remove; rid is the id, or the largest long for null."""
-    sets = line_sets(docs, rarity(docs, id_col, text_col), min_words, id_col, text_col)
-    keyed = sets.withColumn("a", F.xxhash64("codes")).withColumn("b", F.hash("codes", "n"))
-    narrow = cut(keyed.select("rid", "no", "a", "b"))
-    copies = cut(narrow.groupBy("a", "b").agg(F.min(F.struct("rid", "no")).alias("first"), F.count("*").alias("times")).where("times > 1"))
-    later = narrow.join(copies, ["a", "b"]).where(F.struct("rid", "no") > F.col("first")).select("rid", "no")
-
-    flagged, copied = _may_be_in(keyed, _bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
+    ranks, lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
+    room = (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
+    base = cut(line_sets(lines, ranks).select("rid", "no", "n", F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), F.slice("codes", F.lit(1), room).alias("prefix")))
+    copies = cut(base.groupBy("a", "b").agg(F.min(F.struct("rid", "no")).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    flagged, copied = may_be_in(base, bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
     flagged = flagged.withColumn("is_copied", copied)
-    once = flagged.where("not is_copied").select("rid", "no", "n", "codes")
-    least = flagged.where("is_copied").groupBy("a", "b").agg(F.min(F.struct("rid", "no", "n", "codes")).alias("x")).select("x.*")
-    firsts = once.union(least)
+    later = flagged.where("is_copied").select("rid", "no", "a", "b").join(copies, ["a", "b"]).where(F.struct("rid", "no") > F.col("first")).select("rid", "no")
+    once = flagged.where("not is_copied").select("rid", "no", "n", "prefix")
+    least = flagged.where("is_copied").groupBy("a", "b").agg(F.min(F.struct("rid", "no", "n", "prefix")).alias("x")).select("x.*")
 
-    room = (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
-    spread = firsts.select(F.struct("rid", "no", "n").alias("line"), F.posexplode(F.slice("codes", F.lit(1), room)).alias("pos", "code"))
-    lists = cut(spread.withColumn("times", F.count("*").over(Window.partitionBy("code"))).where("times > 1").drop("times"))
+    spread = once.union(least).select("rid", "no", "n", F.posexplode("prefix").alias("pos", "code"))
+    shared = spread.withColumn("times", F.count("*").over(Window.partitionBy("code"))).where("times > 1")
+    lists = cut(shared.select("code", F.struct("rid", "no", "n").alias("line"), "pos"))
 
     def fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
         overlap = F.ceil((nx + ny) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
@@ -112,8 +99,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         pairs = cut(pairs)
         ends = pairs.select(F.col("x").alias("line")).union(pairs.select(F.col("y").alias("line"))).distinct()
         mark = lambda r, n: F.xxhash64(r, n)
-        maybe, wanted = _may_be_in(sets, _bitmap(ends.select(mark(F.col("line.rid"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("no")))
-        full = cut(maybe.where(wanted).select(F.struct("rid", "no", "n").alias("line"), "codes").join(ends, "line", "left_semi"))
+        some, wanted = may_be_in(lines, bitmap(ends.select(mark(F.col("line.rid"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("no")))
+        full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "no", "n").alias("line"), "codes")
+        full = cut(full.join(ends, "line", "left_semi"))
         cx, cy = full.select(F.col("line").alias("x"), F.col("codes").alias("cx")), full.select(F.col("line").alias("y"), F.col("codes").alias("cy"))
         same = F.size(F.array_intersect("cx", "cy"))
         return pairs.join(cy, "y").join(cx, "x").withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("x.n") + F.col("y.n") - F.col("same"))).select("x").distinct()
@@ -153,17 +141,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 ORACLE = """
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+words AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM lines),
 sets AS (
-  SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no, list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS s FROM lines),
-items AS (SELECT id, len(s) AS n, unnest(s) AS w FROM sets WHERE len(s) >= 5),
-ordered AS (
-  SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY f, w) AS r FROM (SELECT *, count(*) OVER (PARTITION BY w) AS f FROM items)),
-prefix AS (SELECT * FROM ordered WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
-pairs AS (
-  SELECT DISTINCT x.id AS x, y.id AS y FROM prefix x JOIN prefix y ON x.w = y.w AND y.id < x.id AND y.n >= 0.8 * x.n - 1e-9 AND x.n >= 0.8 * y.n - 1e-9),
-gone AS (
-  SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS t FROM pairs JOIN sets a ON a.id = x JOIN sets b ON b.id = y)
-  WHERE 100 * i >= 80 * (t - i))
+  SELECT id, doc_id, no, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words),
+items AS (SELECT id, len(s) AS n, unnest(s) AS w FROM sets),
+pairs AS (SELECT x.id AS x, x.n AS nx, y.n AS ny, count(*) AS same FROM items x JOIN items y ON x.w = y.w AND y.id < x.id GROUP BY x.id, y.id, x.n, y.n),
+gone AS (SELECT DISTINCT x FROM pairs WHERE 100 * same >= 75 * (nx + ny - same))
 SELECT doc_id, count(*) AS n_lines, count(x) AS n_removed, coalesce(string_agg(no::VARCHAR, ' ' ORDER BY no) FILTER (x IS NOT NULL), '') AS removed
 FROM sets LEFT JOIN gone ON id = x GROUP BY doc_id
 """
