@@ -14,7 +14,7 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skarn.functions.predicates import MODIFIERS
@@ -34,7 +34,8 @@ FACTS = (
     "path string, rel string, name string, owner string, package_name string, kind string, modifiers int, superclass string, items array<string>, "
     "type string, is_constructor boolean, start int, end int, line int, col int, message string"
 )
-COLUMNS = [c.strip().split(" ")[0] for c in FACTS.split(",")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.strip().split(" ") for c in FACTS.split(","))])
 
 
 class _Stop(Exception):
@@ -812,30 +813,21 @@ def parse(source: str | None) -> list[dict]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """FACTS of files(path, content), one row per fact, and a row of relation `files` for every file."""
+    """FACTS of files(path, content), one row per fact."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
             rows: list[dict] = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    found = parse(content)
+                    found = parse(content.as_py())
                 except Exception as e:  # one unreadable file must not end the task
                     found = [{"rel": "diagnostics", "start": 0, "end": 1, "line": 1, "col": 0, "kind": "ERROR", "message": f"not parsed: {type(e).__name__}"}]
                 rows += [{**f, "path": path} for f in found]
-                rows.append({"path": path, "rel": "files"})
                 if len(rows) > 50_000:
-                    yield _frame(rows)
+                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                     rows = []
             if rows:
-                yield _frame(rows)
+                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return files.select("path", "content").mapInPandas(run, FACTS)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=COLUMNS)
-    for c in ("modifiers", "start", "end", "line", "col"):
-        pdf[c] = pdf[c].astype("Int32")
-    pdf["is_constructor"] = pdf["is_constructor"].astype("boolean")
-    return pdf
+    return files.select("path", "content").mapInArrow(run, FACTS)

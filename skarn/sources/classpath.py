@@ -14,13 +14,33 @@ PRIORITY = {"maven": 100, "eclipse": 1}
 ENTRIES = "project string, type string, path string, ordinal int"
 
 
-def eclipse(spark: SparkSession, file: str, project: str, project_path: str) -> DataFrame:
-    """ENTRIES of a .classpath file; a file that does not parse gives what was read."""
-    rows = spark.read.format("xml").option("rowTag", "classpathentry").schema("_kind string, _path string").option("mode", "DROPMALFORMED").load(file)
+def eclipse(files: DataFrame) -> DataFrame:
+    """ENTRIES of classpath files(project, project_path, content); a file cut short gives what can be read.
+
+    Content comes as a column because Spark's readers pass over files whose name starts with a dot.
+    """
+    entry = F.posexplode(F.regexp_extract_all("content", F.lit("<classpathentry\\b[^>]*>"), F.lit(0)))
+    value = lambda name: F.regexp_extract("entry", rf"\b{name}\s*=\s*[\"']([^\"']*)", 1)
     kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
-    path = F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(F.lit(project_path.rstrip("/") + "/"), "_path"))
-    out = rows.select(F.lit(project).alias("project"), kinds[F.col("_kind")].alias("type"), path.alias("path"), F.monotonically_increasing_id().alias("_o")).where("type is not null")
-    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("_o")) - 1).drop("_o")
+    rows = files.select("project", "project_path", entry.alias("_o", "entry")).select("project", "project_path", "_o", kinds[value("kind")].alias("type"), value("path").alias("_path")).where("type is not null")
+    path = F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat_ws("/", F.rtrim("project_path", F.lit("/")), "_path"))
+    ordinal = F.row_number().over(Window.partitionBy("project").orderBy("_o")) - 1
+    return rows.select("project", "type", path.alias("path"), ordinal.alias("ordinal"))
+
+
+def read_hidden(spark: SparkSession, project: str, project_path: str, name: str = ".classpath") -> DataFrame:
+    """(project, project_path, content) of one small file of a project, on any file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(project_path, name)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return spark.createDataFrame([], "project string, project_path string, content string")
+    with_stream = fs.open(at)
+    try:
+        content = jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+    finally:
+        with_stream.close()
+    return spark.createDataFrame([(project, project_path, content)], "project string, project_path string, content string")
 
 
 def build_output(lines: DataFrame, separator: str = ":") -> DataFrame:
@@ -30,7 +50,7 @@ def build_output(lines: DataFrame, separator: str = ":") -> DataFrame:
     """
     useful = lines.where(F.col("line").contains(".jar") | F.col("line").contains(separator)).where(~F.col("line").startswith("["))
     joined = useful.groupBy("project").agg(F.array_join(F.collect_list("line"), separator).alias("all"))
-    parts = F.array_distinct(F.filter(F.transform(F.split("all", separator), F.trim), lambda p: p != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split("all", F.lit(separator)), lambda p: F.trim(p)), lambda p: p != ""))
     return joined.select("project", F.lit("LIBRARY").alias("type"), F.posexplode(parts).alias("ordinal", "path")).select("project", "type", "path", "ordinal")
 
 

@@ -13,7 +13,7 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(root)
     path = F.col("path")
     keep = ~path.endswith(".qute.java") & ~path.contains("/target/") & ~path.contains("/build/")
-    return raw.where(keep).select(path, F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.where(keep).select(path, F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
 
 
 def in_memory(spark: SparkSession, files: list[tuple[str, str]], mtime_ms: int = 0) -> DataFrame:

@@ -1,0 +1,146 @@
+import random
+
+from pyspark.sql import functions as F
+
+from skarn.operators import index as ix
+from skarn.operators.javaparse import parse
+from skarn.operators.navigation import definition, references
+from skarn.operators.search import ALL, DECLARATIONS, REFERENCES, Pattern, locate, search
+from skarn.sources import store
+from skarn.sources.files import in_memory, source_tree
+
+
+def of(facts, rel, **eq):
+    return [f for f in facts if f["rel"] == rel and all(f.get(k) == v for k, v in eq.items())]
+
+
+def test_simple_class():
+    f = parse("package p.q;\npublic class A { private String s; String getS() { return s; } }")
+    assert [(t["name"], t["kind"], t["modifiers"]) for t in of(f, "types")] == [("p.q.A", "CLASS", 1)]
+    assert [(x["name"], x["type"]) for x in of(f, "fields")] == [("s", "String")]
+    assert {(m["name"], m["is_constructor"]) for m in of(f, "methods")} == {("A", True), ("getS", False)}
+    assert not of(f, "diagnostics")
+
+
+def test_kinds():
+    f = parse("package p; interface I { void m(); } enum E { A, B, C } record R(int a, String b) {} @interface N { int v(); }")
+    assert {t["name"]: (t["kind"], t.get("superclass")) for t in of(f, "types")} == {"p.I": ("INTERFACE", None), "p.E": ("ENUM", "java.lang.Enum"), "p.R": ("RECORD", "java.lang.Record"), "p.N": ("ANNOTATION", None)}
+    assert [m["name"] for m in of(f, "methods")] == ["m"]
+    assert sorted(x["name"] for x in of(f, "fields")) == ["A", "B", "C"]
+    assert len(of(f, "type_refs", kind="CONSTRUCTOR_INVOCATION", name="p.E")) == 3
+
+
+def test_inheritance_and_nesting_names():
+    f = parse("package p; import java.util.List; class Child extends Parent implements Runnable { class Inner { List<String> x; } }")
+    child = of(f, "types", name="p.Child")[0]
+    assert child["superclass"] == "Parent" and child["items"] == ["Runnable"]
+    assert of(f, "fields")[0]["owner"] == "p.Child$Inner" and of(f, "fields")[0]["type"] == "java.util.List"
+
+
+def test_references():
+    f = parse("class A { @Deprecated void m(Object o) { B b = new B(); Runnable r = this::m; run(x -> x); String s = (String) o; if (o instanceof C c) { super.toString(); } } }")
+    kinds = {(r["name"], r["kind"]) for r in of(f, "type_refs")}
+    assert {("Deprecated", "ANNOTATION_USE"), ("B", "TYPE_REFERENCE"), ("B", "CONSTRUCTOR_INVOCATION"), ("this::m", "METHOD_REFERENCE"), ("String", "TYPE_REFERENCE"), ("C", "TYPE_REFERENCE"), ("super", "METHOD_INVOCATION")} <= kinds
+    assert len(of(f, "methods", name="<lambda>")) == 1
+
+
+def test_offsets_are_utf16():
+    f = parse("/* 😀 */ class A { int x; }")
+    assert of(f, "fields")[0]["start"] == len("/* xx */ class A { int ")
+
+
+def test_syntax_errors_are_reported():
+    for bad in ("class A { void f() { int x = 1 } }", "class A { void f() { int x = 1\n return; } }", "class A { } }", "class A {", 'class A { String s = "x; }'):
+        assert of(parse(bad), "diagnostics"), bad
+    assert parse(None) == [] and parse("") == []
+
+
+def test_parser_survives_rubbish():
+    r = random.Random(5)
+    parts = ["class", "A", "{", "}", "(", ")", "<", ">", "::", "->", "@", "new", "super", ";", ",", "int", "x", "=", '"', "import", "package", "enum", "record", "[", "]", "."]
+    for _ in range(400):
+        parse(" ".join(r.choice(parts) for _ in range(r.randint(1, 40))))
+
+
+CORPUS = [
+    ("/p/User.java", "package m;\npublic class User { private String name; private int age;\n public User(String name, int age) { this.name = name; this.age = age; }\n public String getName() { return name; }\n public void setName(String n) { this.name = n; } }"),
+    ("/p/Repo.java", "package m;\nimport java.util.*;\npublic class Repo { private List<User> users = new ArrayList<>();\n public void add(User u) { users.add(u); }\n public User find(String n) { for (User u : users) { if (u.getName().equals(n)) return u; } return null; } }"),
+    ("/p/Main.java", 'package m;\npublic class Main { public static void main(String[] a) { Repo r = new Repo(); User u = new User("x", 1); r.add(u); String s = u.getName(); } }'),
+    ("/p/Other.java", "package other;\npublic class Other { int value; void touch() { value = 2; } }"),
+]
+
+
+def test_search(spark):
+    files = in_memory(spark, CORPUS)
+    idx = ix.build(files)
+    run = lambda what, name, how=ALL: search(idx, files, Pattern(what, name, search_for=how)).collect()
+    decl = run("TYPE", "User", DECLARATIONS)
+    assert [(r.path, r.kind) for r in decl] == [("/p/User.java", "TYPE_DECLARATION")]
+    refs = run("TYPE", "User", REFERENCES)
+    assert {r.path for r in refs} >= {"/p/Repo.java", "/p/Main.java"} and {r.kind for r in refs} == {"TYPE_REFERENCE"}
+    assert len({r.path for r in run("TYPE", "User")}) >= 3
+    assert len(run("METHOD", "getName", DECLARATIONS)) == 1 and len(run("METHOD", "getName", REFERENCES)) == 2
+    assert len(run("FIELD", "name", DECLARATIONS)) == 1 and run("FIELD", "name", REFERENCES)
+    assert len(run("CONSTRUCTOR", "User", DECLARATIONS)) == 1 and len(run("CONSTRUCTOR", "User", REFERENCES)) == 1
+    assert not run("TYPE", "Nothing") and not run("TYPE", "")
+    for r in run("TYPE", "User"):
+        assert r.offset >= 0 and r.length > 0 and r.element_name
+    assert locate(files, Pattern("TYPE", "Us*", rule="PATTERN", search_for=DECLARATIONS)).count() == 1
+
+
+def test_navigation(spark):
+    files = in_memory(spark, CORPUS)
+    idx = ix.build(files)
+    line = CORPUS[2][1].split("\n")[1]
+    got = definition(idx, files, "/p/Main.java", 1, line.index("getName") + 2).collect()
+    assert [(r.path, r.kind) for r in got] == [("/p/User.java", "METHOD_DECLARATION")]
+    assert {r.path for r in references(idx, files, "/p/Main.java", 1, line.index("getName") + 2).collect()} == {"/p/Main.java", "/p/Repo.java"}
+    assert definition(idx, files, "/p/None.java", 0, 0).count() == 0
+
+
+def counts(idx):
+    return {t: idx[t].count() for t in ix.TABLES}
+
+
+def test_index_is_maintained(spark):
+    files = in_memory(spark, CORPUS)
+    idx = ix.build(files)
+    before = counts(idx)
+    again = ix.reindex(idx, files.where("path = '/p/User.java'"))
+    assert counts(again) == before
+    edited = ix.reindex(idx, in_memory(spark, [("/p/Other.java", "package other; class Renamed { int a, b; }"), ("/p/New.java", "class N {}")], 9))
+    names = {r[0] for r in edited["types"].select("qualified_name").collect()}
+    assert {"other.Renamed", "N"} <= names and "other.Other" not in names
+    assert edited["files"].count() == 5 and edited["files"].select("file_id").distinct().count() == 5
+    gone = ix.remove_files(idx, idx["files"].where("path = '/p/User.java'"))
+    assert gone["types"].where("simple_name = 'User'").count() == 0 and gone["types"].count() == before["types"] - 1
+    assert ix.stats(idx).first().asDict() == {"types": 4, "methods": idx["methods"].count(), "fields": 4, "files": 4}
+
+
+def test_same_package_names_resolve_by_a_join(spark):
+    idx = ix.build(in_memory(spark, CORPUS))
+    assert ix.resolved_refs(idx).where("target = 'm.User'").count() > 0
+    assert idx["type_refs"].where("target = 'm.User'").count() == 0
+
+
+def test_store_round_trip(spark, tmp_path):
+    idx = ix.build(in_memory(spark, CORPUS))
+    path = str(tmp_path / "index")
+    assert store.load(spark, path) is None
+    assert not store.save(idx, path, dirty=False)
+    assert store.save(idx, path)
+    back = store.load(spark, path)
+    for t in ("types", "type_refs", "name_refs", "fields"):
+        assert sorted(map(str, back[t].select(*idx[t].columns).collect())) == sorted(map(str, idx[t].collect()))
+    assert "PushedFilters" in back["types"].where(F.col("qualified_name") == "m.User")._jdf.queryExecution().executedPlan().toString()
+    store.clear(spark, path)
+    assert store.load(spark, path) is None
+
+
+def test_source_tree(spark, tmp_path):
+    for p in ("a/A.java", "a/t.qute.java", "target/B.java", "a/build/C.java", "x.txt"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("class X {}")
+    got = source_tree(spark, str(tmp_path)).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["A.java"] and got[0].content == "class X {}"
