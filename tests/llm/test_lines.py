@@ -1,0 +1,70 @@
+import random
+
+import pytest
+
+from tests.llm.util import corpus, empty, frame, long_text, prose, vocabulary, words
+
+from skarn.llm.lines import line_dedup, without_repeats
+
+BIG = 2**63 - 1
+
+
+def brute(rows, percent=75):
+    lines = []
+    for i, t, *_ in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            w = words(line)
+            lines.append(((BIG if i is None else i, n), frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))))
+    by = [x for x in lines if x[1]]
+    gone = {r for r, s in by if any(q < r and 100 * len(s & u) >= percent * len(s | u) for q, u in by)}
+    out = []
+    for i, t, *_ in rows:
+        n = len((t or "").split("\n"))
+        mine = [k for k in range(n) if (BIG if i is None else i, k) in gone]
+        out.append((i, n, len(mine), " ".join(map(str, mine))))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in df.collect()), key=str)
+
+
+def near_lines(seed, n):
+    r = random.Random(seed)
+    v = vocabulary(seed)
+    base = [prose(r, v, k, 99) for k in (6, 12, 25, 40)]
+    rows = []
+    for i in range(n):
+        w = r.choice(base).split(" ")
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(v)
+        rows.append((i, " ".join(w) + "\n" + prose(r, v, 8, 99), "", ""))
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = [r for r in corpus(7, 60) if r[0] is not None] + [(800, long_text(3000), "", "")]
+    rows = list({r[0]: r for r in rows}.values()) + [(None, "null id text here for all to see", None, None), rows[0]]
+    assert got(line_dedup(frame(spark, rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_lines(spark, seed):
+    rows = near_lines(seed, 80)
+    assert got(line_dedup(frame(spark, rows))) == brute(rows)
+
+
+def test_stage_keeps_columns(spark):
+    rows = near_lines(3, 30) + [(99, None, None, None)]
+    df = frame(spark, rows)
+    out = {r.doc_id: r for r in without_repeats(df).collect()}
+    assert list(next(iter(out.values())).asDict()) == df.columns and len(out) == len(rows)
+    gone = {r[0]: set(map(int, r[3].split())) for r in brute(rows)}
+    for i, t, *_ in rows:
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        assert out[i].text == want and out[i].n_chars == (None if want is None else len(want)) and out[i].kept is True
+
+
+def test_empty(spark):
+    assert line_dedup(empty(spark)).count() == 0
+    assert without_repeats(empty(spark)).count() == 0
