@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.lineage import cut
+
 #: First batches aim at TARGET files and split packages over LARGEST; SMALLEST may not be flushed.
 TARGET, LARGEST, SMALLEST = 150, 300, 50
 #: A maintained batch takes files below ROOM, and merges with another while both hold at most that.
@@ -58,13 +60,11 @@ def plan_batches(files: DataFrame, group: list[str], package: str = "package", o
     return counts.groupBy(*group).applyInPandas(run, ddl)
 
 
-def chunks(files: DataFrame, order: list[str], size: int = 100, buckets: int = 1024) -> DataFrame:
+def chunks(files: DataFrame, order: list[str], size: int = 100) -> DataFrame:
     """Files with their fixed-size chunk in the given order.
 
     Ranks come from range partitions: each is counted, and rows are numbered within it only.
     """
-    from skarn.operators.lineage import cut
-
     spread = cut(files.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row per partition

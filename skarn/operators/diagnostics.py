@@ -33,7 +33,7 @@ def inclusive_range(offset: Column, length: Column, text_length: Column) -> tupl
 def protocol(rows: DataFrame) -> DataFrame:
     """0-based lines, one-character ranges; unknown severities are information."""
     line = F.greatest(F.col("line") - 1, F.lit(0))
-    return rows.select("file_path", F.struct(line.alias("line"), F.col("col").alias("character")).alias("start"), F.struct(line.alias("line"), (F.col("col") + 1).alias("character")).alias("end"), F.when(F.col("severity").isin(1, 2, 3), F.col("severity")).otherwise(F.lit(3)).alias("severity"), "message", F.lit("javac").alias("source"))
+    return rows.select("file_path", F.struct(line.alias("line"), F.col("col").alias("character")).alias("start"), F.struct(line.alias("line"), (F.col("col") + 1).alias("character")).alias("end"), F.when(F.col("severity").isin(1, 2, 3), F.col("severity")).otherwise(F.lit(3)).alias("severity"), "message", F.lit("java").alias("source"))
 
 
 def publish(rows: DataFrame) -> DataFrame:
