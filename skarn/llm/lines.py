@@ -5,9 +5,9 @@ Every line that has an earlier line, by (doc_id, line number) over the whole cor
 similarity of at least ``percent`` / 100 is removed.  Lines are judged on the input.
 
 * Lines of equal sets collapse first: all but the earliest go, and only that one enters the join.
-* Tokens are ordered by rarity: their hashes fall into ``BUCKETS`` classes, ranked by how often the corpus
-  uses them.  Any order common to all lines keeps the join exact; counting classes keeps it a table of fixed
-  size.
+* Tokens are ordered by rarity, judged by their first word: words' hashes fall into ``BUCKETS`` classes, ranked
+  by how often the corpus uses them.  Any order common to all lines keeps the join exact; counting classes
+  keeps it a table of fixed size.
 * Prefix filter: two sets that reach the threshold share a token among the first n - ceil(t n) + 1 of each.
   Only those tokens are listed, and tokens listed once are dropped.  Length and positional filters prune pairs.
 * In each list every line is compared with the earliest line first.  A line found to match is settled; only
@@ -42,17 +42,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), split)
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """Lines of at least WIDTH words with the hashes of their shingles, repeats included."""
-    words = lines.select("rid", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
-    hashed = words.select("rid", "no", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select("rid", "no", F.transform(F.sequence(F.lit(1), F.size("h") - (WIDTH - 1)), lambda i: F.xxhash64(F.slice("h", i, WIDTH))).alias("tokens"))
-
-
 def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Array of BUCKETS ranks, the class used least first."""
-    token = _tokens(_lines(docs, id_col, text_col)).select(F.explode("tokens").alias("token"))
-    seen = token.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
+    """Array of BUCKETS ranks of words, the class that the corpus uses least first."""
+    word = _lines(docs, id_col, text_col).select(F.explode_outer(F.split("line", " ")).alias("word"))
+    seen = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
     count = {r["bucket"]: r["count"] for r in seen}
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))):
@@ -61,13 +54,20 @@ def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> C
 
 
 def line_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(rid, no, codes, n): codes are the distinct tokens led by their rank, ascending, so the rarest come first."""
+    """(rid, no, codes, n): codes are the distinct tokens led by the rank of their first word, ascending: the rarest first."""
 
-    def code(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, 15))
+    def code(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 49).bitwiseOR(F.shiftrightunsigned(h, 15))
 
-    rows = _tokens(lines).select("rid", "no", F.sort_array(F.array_distinct(F.transform("tokens", code))).alias("codes"))
-    return rows.withColumn("n", F.size("codes"))
+    words = lines.select("rid", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
+    led = words.select("rid", "no", F.transform("words", code).alias("w0"))
+    # neighbours side by side: a lambda that reached into the array would have it made again for every shingle
+    beside = F.arrays_zip("w0", *(F.slice("w0", F.lit(k + 1), F.size("w0")).alias(f"w{k}") for k in range(1, WIDTH)))
+    token = lambda z: F.coalesce(z["w0"].bitwiseAND(F.lit(-1 << 49)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(z), 15))
+    tokens = F.slice(F.transform(beside, token), F.lit(1), F.size("w0") - (WIDTH - 1))
+    return led.select("rid", "no", F.sort_array(F.array_distinct(tokens)).alias("codes")).withColumn("n", F.size("codes"))
 
 
 def _need(n: Column, percent: int) -> Column:
