@@ -10,9 +10,9 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   keeps it a table of fixed size.
 * Prefix filter: two sets that reach the threshold share a token among the first n - ceil(t n) + 1 of each.
   Only those tokens are listed, and tokens listed once are dropped.  Length and positional filters prune pairs.
-* In each list every line is compared with the earliest line first.  A line found to match is settled; only
-  unsettled ones are compared with all earlier lines of their lists, so that a line in thousands of variants
-  costs a star of pairs.
+* Every line is compared with one other first, the earliest line of most of its lists.  A line found to match
+  is settled; only unsettled ones are compared with all earlier lines of their lists, so that a line in
+  thousands of variants costs a star of pairs.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 
@@ -94,24 +94,26 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         overlap = F.ceil((nx + ny) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= overlap)
 
+    listed = lists.select("line").distinct()
+    mark = lambda r, n: F.xxhash64(r, n)
+    some, wanted = may_be_in(lines, bitmap(listed.select(mark(F.col("line.rid"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("no")))
+    full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "no", "n").alias("line"), "codes")
+    full = cut(full.join(listed, "line", "left_semi"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines x of the pairs (x, y) that reach the threshold."""
-        pairs = cut(pairs)
-        ends = pairs.select(F.col("x").alias("line")).union(pairs.select(F.col("y").alias("line"))).distinct()
-        mark = lambda r, n: F.xxhash64(r, n)
-        some, wanted = may_be_in(lines, bitmap(ends.select(mark(F.col("line.rid"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("no")))
-        full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "no", "n").alias("line"), "codes")
-        full = cut(full.join(ends, "line", "left_semi"))
         cx, cy = full.select(F.col("line").alias("x"), F.col("codes").alias("cx")), full.select(F.col("line").alias("y"), F.col("codes").alias("cy"))
         same = F.size(F.array_intersect("cx", "cy"))
         return pairs.join(cy, "y").join(cx, "x").withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("x.n") + F.col("y.n") - F.col("same"))).select("x").distinct()
 
     centre = lists.groupBy("code").agg(F.min(F.struct("line", "pos")).alias("c"))
-    star = lists.join(centre, "code").where(F.col("line") != F.col("c.line")).where(fits(F.col("line.n"), F.col("pos"), F.col("c.line.n"), F.col("c.pos"))).select(F.col("line").alias("x"), F.col("c.line").alias("y")).distinct()
-    settled = cut(verified(star))
+    star = lists.join(centre, "code").where(F.col("line") != F.col("c.line")).where(fits(F.col("line.n"), F.col("pos"), F.col("c.line.n"), F.col("c.pos")))
+    star = star.groupBy(F.col("line").alias("x"), F.col("c.line").alias("y")).agg(F.count("*").alias("lists"))
+    best = star.groupBy("x").agg(F.max_by("y", F.struct("lists", "y")).alias("y"))  # the earliest line of most of its lists
+    settled = cut(verified(best))
     open_ = lists.join(settled.withColumnRenamed("x", "line"), "line", "left_anti").select("code", F.col("line").alias("x"), F.col("pos").alias("px"))
-    every = lists.select("code", F.col("line").alias("y"), F.col("pos").alias("py")).join(centre.select("code", F.col("c.line").alias("centre")), "code")
-    rest = open_.join(every, "code").where(F.col("y") < F.col("x")).where(F.col("y") != F.col("centre")).where(fits(F.col("x.n"), F.col("px"), F.col("y.n"), F.col("py"))).select("x", "y").distinct()
+    every = lists.select("code", F.col("line").alias("y"), F.col("pos").alias("py"))
+    rest = open_.join(every, "code").where(F.col("y") < F.col("x")).where(fits(F.col("x.n"), F.col("px"), F.col("y.n"), F.col("py"))).select("x", "y").distinct()
     matched = settled.union(verified(rest)).select("x.rid", "x.no")
     return later.union(matched).distinct()
 
