@@ -9,7 +9,8 @@ sequence), as 64-bit hashes.  Documents of equal sets form one class, so copies
   1e-7, and common ones are in both sketches.  So a pair must share one of the K - SHARED + 1 values that are
   rarest in the corpus of its sketches, and only these are listed: common passages make no candidates.
   Documents whose set is at most 3/4 K are held whole by the sketch, and their bound is exact.
-* In every list each class is compared with the list's first one.  The links found join classes into
+* In every list each class is compared with the list's centre, the class with the fewest values that no other
+  class retains: among edited copies that is the text they were made from, if it is there.  The links found join classes into
   components; after that only pairs of one list that are still in different components are compared: pair by
   pair in lists of at most ``LARGE`` classes.  The members of longer lists take the exact way: a prefix join
   on their full sets, ordered by rarity among them, with length and positional filters, which leaves near
@@ -42,6 +43,7 @@ PERCENT = 75
 K = 48
 SHARED = 19
 LARGE = 32
+STARS = 1
 _NONE = 2**63 - 1  # stands for a null id
 
 
@@ -162,14 +164,14 @@ def _room(n: Column, size: Column, k: int, shared: int, percent: int) -> Column:
 
 
 def _rarest(values: DataFrame, room: Column) -> DataFrame:
-    """(value, node, pos, ...) of each node's room rarest values, those that no other node holds left out.
+    """(value, node, pos, own, ...) of each node's room rarest values; own: its values that no other node holds, left out.
 
     values has node, value, size (values of the node) and what room needs.  Values seen once are the rarest and take
     the first places.
     """
     often = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
     w = Window.partitionBy("node")
-    ranked = often.withColumn("r", F.row_number().over(w.orderBy("f", "value"))).withColumn("pos", F.col("r") + F.col("size") - F.count("*").over(w) - 1)
+    ranked = often.withColumn("r", F.row_number().over(w.orderBy("f", "value"))).withColumn("own", F.col("size") - F.count("*").over(w)).withColumn("pos", F.col("r") + F.col("own") - 1)
     return ranked.where(F.col("pos") < room).drop("f", "r")
 
 
@@ -203,7 +205,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_c
 def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (u, v) between classes; together they connect all classes that any chain of links connects."""
     listed = _rarest(classes.select("node", F.size("sketch").alias("size"), "n", F.explode("sketch").alias("value")), _room(F.col("n"), F.col("size"), k, shared, percent))
-    lists = listed.select("value", "node", "n")
+    lists = listed.select("value", "node", "n", "own")
     lists = cut(lists.withColumn("c", F.count("*").over(Window.partitionBy("value"))).where("c > 1"))
     some = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"))
     texts = cut(_texts_of(docs, some.select("node", "b", "rep"), width, id_col, text_col))
@@ -218,7 +220,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
 
     def apart(rows: DataFrame, *positions) -> DataFrame:
         """Pairs (u, v) of one list that are in different components."""
-        extra = ["pos"] if positions else []
+        extra = [c for c in ("pos", "centre") if c in rows.columns]
         x = rows.select("value", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), *(F.col(c).alias(f"{c}u") for c in extra))
         y = rows.select("value", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), *(F.col(c).alias(f"{c}v") for c in extra))
         test = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _length_fits(F.col("nu"), F.col("nv"), percent)
@@ -226,8 +228,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
             test = test & p
         return x.join(y, "value").where(test).select("u", "v").distinct()
 
-    # stars: every class against the first of each of its lists
-    first = lists.groupBy("value").agg(F.min("node").alias("u"))
+    # stars: every class against the centre of each of its lists, the class with the fewest values of its own
+    first = lists.groupBy("value").agg(F.min(F.struct("own", "node")).alias("x")).select("value", F.col("x.node").alias("u"))
     links = verified(lists.join(first, "value").where("node != u").select("u", F.col("node").alias("v")).distinct())
     root = components(links).withColumnRenamed("u", "node")
     placed = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -241,9 +243,21 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
         return links
     sets = _full_sets(texts.join(members, "node", "left_semi"), width).withColumn("n", F.col("size").cast("long"))
     need = F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int")
-    prefix = cut(_rarest(sets, F.col("size") - need + 1).join(members, "node"))
+    prefix = cut(_rarest(sets, F.col("size") - need + 1).select("value", "node", "n", "own", "pos"))
     overlap = F.ceil((F.col("nu") + F.col("nv")) * percent / (100.0 + percent) - 1e-9)
-    return links.union(verified(apart(prefix, F.least(F.col("nu") - F.col("posu"), F.col("nv") - F.col("posv")) >= overlap)))
+    fits = F.least(F.col("nu") - F.col("posu"), F.col("nv") - F.col("posv")) >= overlap
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        known = components(links).withColumnRenamed("u", "node")
+        return cut(rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    # stars here too, around the most central members, before pairs
+    for turn in range(STARS):
+        rows = rooted(prefix)
+        w = Window.partitionBy("value").orderBy("own", F.xxhash64("node", F.lit(turn)))
+        rows = rows.join(rows.withColumn("place", F.row_number().over(w)).where(F.col("place") == turn + 1).select("value", F.col("node").alias("centre")), "value")
+        links = cut(links.union(verified(apart(rows, fits, (F.col("u") == F.col("centreu")) | (F.col("v") == F.col("centrev"))))))
+    return links.union(verified(apart(rooted(prefix), fits)))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
