@@ -303,7 +303,13 @@ def _judge(n: int, length: int, block: int):
 
     def judge(h, owner, size, body, stay, content, r, t, start):
         off = np.concatenate([[0], np.cumsum(size)])
-        found_s, found_at = [], []
+        found_s, found_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        begin = np.flatnonzero(_starts(h))
+        several = np.repeat(np.diff(np.concatenate([begin, [len(h)]])) > 1, np.diff(np.concatenate([begin, [len(h)]])))
+        some = np.flatnonzero(several)  # a minimizer's only segment has nothing left to match
+        m = size[some]
+        body = body[np.repeat(off[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        h, owner, size, off = h[some], owner[some], m, np.concatenate([[0], np.cumsum(m)])
         for lo, hi in _blocks(h, size, block):
             part, o = body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             if off[hi] - off[lo] <= 2 * block:
@@ -333,7 +339,7 @@ def _judge(n: int, length: int, block: int):
         new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(s)]]) - 1
-        s, a, e = s[first], at[first], at[last] + length
+        s, a, e = some[s[first]], at[first], at[last] + length
         lo, hi = np.searchsorted(content, s, "left"), np.searchsorted(content, s, "right")
         cnt = hi - lo
         k = np.repeat(np.arange(len(s)), cnt)
