@@ -27,6 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return side.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link down to a root, or is a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 or down > 0 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) of every node of edges(u, v): root is the smallest node of u's component.
 
@@ -34,11 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     links, which adaptive execution can split.  Rounds grow with the logarithm of a component's size.
     """
     edges = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first()
-        if now == mark:
-            break
-        mark = now
+    while not _stars(edges):
         edges = cut(_small_star(_large_star(edges)))
     return edges.select("u", F.col("v").alias("root")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("root"))).distinct()
