@@ -199,6 +199,11 @@ def _shared(n: int):
     return run
 
 
+def _content(c: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each segment, wherever it stands."""
+    return mix(c.hashes(start, end) + (end - start).astype(U64))
+
+
 def _segments(n: int, length: int, k: int):
     """Step 2: segments of the shared minimizers of a bucket of documents; step 3 among them.
 
@@ -233,7 +238,7 @@ def _segments(n: int, length: int, k: int):
             if not len(d):
                 continue
             e = b + length
-            own = mix(c.hashes(a, e) + (e - a).astype(U64))
+            own = _content(c, a, e)
             start = a - c.off[d] + base
             parts.append((h, own, rid[docs_of], tk[docs_of], start, e - a))
             size = e - a
@@ -280,7 +285,7 @@ def _collapse(n, h, own, r, t, start, size, text, length, judge):
             part = body[np.repeat(body_off[at], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
             cnt = place_at[at + 1] - place_at[at]
             pl = stay[np.repeat(place_at[at], cnt) + np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)]
-            out.append((b, 0, _blob(h[kept][at], own[kept][at], m.astype(np.uint32), cnt.astype(np.uint32), r[pl], t[pl], start[pl].astype(np.uint32), part)))
+            out.append((b, 0, _blob(h[kept][at], m.astype(np.uint32), cnt.astype(np.uint32), r[pl], t[pl], start[pl].astype(np.uint32), part)))
         return _table(out)
     return _table(out + judge(h[kept], r[kept], length_of, body, stay, content, r, t, start))
 
@@ -358,9 +363,10 @@ def _expand(n: int, length: int, block: int):
             if kind == 1:
                 through.append(_open(blob.as_py()))
                 continue
-            h, own, m, cnt, r, t, start, body = _open(blob.as_py())
+            h, m, cnt, r, t, start, body = _open(blob.as_py())
             k = np.repeat(np.arange(len(h)), cnt)
             o = np.concatenate([[0], np.cumsum(m.astype(np.int64))])
+            own = _content(Chunk(0, body, o), o[:-1], o[1:])
             size = m.astype(np.int64)[k]
             text = body[np.repeat(o[k], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] if (cnt > 1).any() else body
             parts.append((h[k], own[k], r, t, start.astype(np.int64), size, text))
