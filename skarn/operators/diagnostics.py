@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +62,19 @@ def of_project(rows: DataFrame, project_path: str) -> DataFrame:
 
 def of_file(rows: DataFrame, path: str) -> DataFrame:
     return rows.where(F.col("file_path") == path)
+
+
+def send(published: DataFrame, clients: Iterable[Callable[[str, list], None]]) -> int:
+    """Pushes each file's diagnostics to every client; a client that fails does not stop the others. Returns failures.
+
+    Files come to the driver one partition at a time.
+    """
+    clients, failed = list(clients), 0
+    for row in published.toLocalIterator():
+        for c in clients:
+            try:
+                c(row.file_path, row.diagnostics)
+            except Exception:
+                failed += 1
+                logging.getLogger(__name__).exception("a client did not take diagnostics of %s", row.file_path)
+    return failed

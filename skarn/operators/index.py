@@ -96,3 +96,16 @@ def resolved_refs(index: dict[str, DataFrame]) -> DataFrame:
     r = index["type_refs"].join(package, F.col("loc.file_id") == F.col("_f"), "left")
     r = r.join(known, (r["_p"] == known["_p"]) & (r["target"] == known["_s"]), "left")
     return r.select(F.coalesce("_q", "target").alias("target"), "kind", "loc")
+
+
+def remove_project(index: dict[str, DataFrame], project_path: str) -> dict[str, DataFrame]:
+    """The index without the files below a project's path."""
+    return remove_files(index, index["files"].where(F.col("path").startswith(project_path.rstrip("/") + "/")))
+
+
+def parse_quality(index: dict[str, DataFrame]) -> DataFrame:
+    """One row: files, files with errors, errors, and the share of files with errors in percent."""
+    bad = index["diagnostics"].agg(F.count("*").alias("errors"), F.countDistinct("file_path").alias("files_with_errors"))
+    n = index["files"].agg(F.count("*").alias("files"))
+    both = n.withColumn("_k", F.lit(1)).join(F.broadcast(bad.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row each
+    return both.withColumn("percent", F.round(100.0 * F.col("files_with_errors") / F.greatest("files", F.lit(1)), 4))

@@ -831,3 +831,18 @@ def extract(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return files.select("path", "content").mapInArrow(run, FACTS)
+
+
+def comments(files: DataFrame) -> DataFrame:
+    """(path, start, end, javadoc) of every comment, in order; offsets count characters."""
+    schema = pa.schema([("path", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("javadoc", pa.bool_())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p = Parser(content or "")
+                rows += [{"path": path, "start": s, "end": e, "javadoc": (s, e) in p.docs} for s, e in p.comments]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, start int, end int, javadoc boolean")

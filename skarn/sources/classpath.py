@@ -69,3 +69,31 @@ def valid_caches(caches: DataFrame, sources: DataFrame) -> DataFrame:
     """caches(project, mtime_ms) no source (project, mtime_ms) is strictly newer than."""
     newest = sources.groupBy("project").agg(F.max("mtime_ms").alias("_newest"))
     return caches.join(newest, "project", "left").where("_newest is null or _newest <= mtime_ms").drop("_newest")
+
+
+def cache_path(folder: str, project: str) -> str:
+    """Where a project's classpath is cached: its name, with odd characters as _."""
+    import re
+
+    return f"{folder.rstrip('/')}/{re.sub('[^a-zA-Z0-9._-]', '_', project)}"
+
+
+def write_cache(entries: DataFrame, folder: str, project: str) -> None:
+    entries.where(F.col("project") == project).coalesce(1).write.mode("overwrite").json(cache_path(folder, project))  # one project's entries
+
+
+def read_cache(spark: SparkSession, folder: str, project: str) -> DataFrame:
+    """The cached entries, stale or not; none where there is no cache."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(ENTRIES).json(cache_path(folder, project))
+    except AnalysisException:
+        return spark.createDataFrame([], ENTRIES)
+
+
+def conventional(projects: DataFrame, present: DataFrame) -> DataFrame:
+    """ENTRIES of the conventional source folders of projects(project, project_path) that are present(path)."""
+    folders = F.posexplode(F.array(*(F.lit(c) for c in CONVENTIONAL))).alias("ordinal", "_f")
+    rows = projects.select("project", "project_path", folders).select("project", F.lit("SOURCE").alias("type"), F.concat_ws("/", F.rtrim("project_path", F.lit("/")), "_f").alias("path"), "ordinal")
+    return existing(rows, present)
