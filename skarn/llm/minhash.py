@@ -36,6 +36,7 @@ from pyspark.sql import Window
 from skarn.llm.bitmap import bitmap, may_be_in
 from skarn.llm.graph import components
 from skarn.llm.session import cut
+from skarn.llm.session import width as width_of
 from skarn.llm.textops import U64, chunks, grams, mix
 
 WIDTH = 5
@@ -236,7 +237,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
     mixed = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
     left = cut(placed.join(mixed, "value", "left_semi"))
     # short lists: what the stars left apart, pair by pair (at most LARGE pairs a row)
-    links = links.union(verified(apart(left.where(F.col("c") <= LARGE))))
+    tasks = width_of(docs.sparkSession)  # unions would add up their inputs' partitions
+    links = links.union(verified(apart(left.where(F.col("c") <= LARGE)))).coalesce(tasks)
     # long lists: their members by the exact prefix join on full sets
     members = left.where(F.col("c") > LARGE).select("node", "root").distinct()
     if members.isEmpty():
@@ -256,7 +258,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
         rows = rooted(prefix)
         w = Window.partitionBy("value").orderBy("own", F.xxhash64("node", F.lit(turn)))
         rows = rows.join(rows.withColumn("place", F.row_number().over(w)).where(F.col("place") == turn + 1).select("value", F.col("node").alias("centre")), "value")
-        links = cut(links.union(verified(apart(rows, fits, (F.col("u") == F.col("centreu")) | (F.col("v") == F.col("centrev"))))))
+        links = cut(links.union(verified(apart(rows, fits, (F.col("u") == F.col("centreu")) | (F.col("v") == F.col("centrev"))))).coalesce(tasks))
     return links.union(verified(apart(rooted(prefix), fits)))
 
 
