@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join (operator 5, native: DataFrame expressions only).
 
 A line is a \\n-split piece of a text with at least five words; its tokens are its distinct five-word shingles.
-Every line that has an earlier line, by (doc_id, line number) over the whole corpus, with a Jaccard
+Every line that has an earlier line, by (doc_id, text's hash, line number) over the whole corpus, with a Jaccard
 similarity of at least ``percent`` / 100 is removed.  Lines are judged on the input.
 
 * Lines of equal sets collapse first: all but the earliest go, and only that one enters the join.
@@ -16,8 +16,9 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 
-A null text has one empty line.  A null id ranks last.  Lines at the same (id, number), from repeated ids, do
-not remove each other.  Empty tables give empty results.  Input columns keep their names and values, but for
+A null text has one empty line.  A null id ranks last.  Rows with the same id, null included, and the same text
+are the same document: they keep and lose the same lines.  Rows with the same id and different texts are
+different documents and rank by the text's hash.  Empty tables give empty results.  Input columns keep their names and values, but for
 the text (and ``n_chars``, where the table has it).
 """
 
@@ -35,11 +36,16 @@ BUCKETS = 1 << 14
 _NONE = 2**63 - 1
 
 
+def _key(text: Column) -> Column:
+    """Tells documents of one id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, no, line) of every line; white space within it is blanks."""
+    """(rid, key, no, line) of every line; white space within it is blanks."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\t\x0b\x0c\r", "    ")
     split = F.posexplode(F.split(text, "\n")).alias("no", "line")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), split)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), _key(F.col(text_col)).alias("key"), split)
 
 
 def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -54,20 +60,20 @@ def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> C
 
 
 def line_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(rid, no, codes, n): codes are the distinct tokens led by the rank of their first word, ascending: the rarest first."""
+    """(rid, key, no, codes, n): codes are the distinct tokens led by the rank of their first word, ascending: the rarest first."""
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
         rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
         return F.shiftleft(rank, 49).bitwiseOR(F.shiftrightunsigned(h, 15))
 
-    words = lines.select("rid", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
-    led = words.select("rid", "no", F.transform("words", code).alias("w0"))
+    words = lines.select("rid", "key", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
+    led = words.select("rid", "key", "no", F.transform("words", code).alias("w0"))
     # neighbours side by side: a lambda that reached into the array would have it made again for every shingle
     beside = F.arrays_zip("w0", *(F.slice("w0", F.lit(k + 1), F.size("w0")).alias(f"w{k}") for k in range(1, WIDTH)))
     token = lambda z: F.coalesce(z["w0"].bitwiseAND(F.lit(-1 << 49)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(z), 15))
     tokens = F.slice(F.transform(beside, token), F.lit(1), F.size("w0") - (WIDTH - 1))
-    return led.select("rid", "no", F.sort_array(F.array_distinct(tokens)).alias("codes")).withColumn("n", F.size("codes"))
+    return led.select("rid", "key", "no", F.sort_array(F.array_distinct(tokens)).alias("codes")).withColumn("n", F.size("codes"))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -75,29 +81,29 @@ def _need(n: Column, percent: int) -> Column:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, no) of every line to remove; rid is the id, or the largest long for null."""
+    """(rid, key, no) of every line to remove; rid is the id, or the largest long for null, and key the text's hash."""
     ranks, lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
     room = (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
-    base = cut(line_sets(lines, ranks).select("rid", "no", "n", F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), F.slice("codes", F.lit(1), room).alias("prefix")))
-    copies = cut(base.groupBy("a", "b").agg(F.min(F.struct("rid", "no")).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    base = cut(line_sets(lines, ranks).select("rid", "key", "no", "n", F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), F.slice("codes", F.lit(1), room).alias("prefix")))
+    copies = cut(base.groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no")).alias("first"), F.count("*").alias("times")).where("times > 1"))
     flagged, copied = may_be_in(base, bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
     flagged = flagged.withColumn("is_copied", copied)
-    later = flagged.where("is_copied").select("rid", "no", "a", "b").join(copies, ["a", "b"]).where(F.struct("rid", "no") > F.col("first")).select("rid", "no")
-    once = flagged.where("not is_copied").select("rid", "no", "n", "prefix")
-    least = flagged.where("is_copied").groupBy("a", "b").agg(F.min(F.struct("rid", "no", "n", "prefix")).alias("x")).select("x.*")
+    later = flagged.where("is_copied").select("rid", "key", "no", "a", "b").join(copies, ["a", "b"]).where(F.struct("rid", "key", "no") > F.col("first")).select("rid", "key", "no")
+    once = flagged.where("not is_copied").select("rid", "key", "no", "n", "prefix")
+    least = flagged.where("is_copied").groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no", "n", "prefix")).alias("x")).select("x.*")
 
-    spread = once.union(least).select("rid", "no", "n", F.posexplode("prefix").alias("pos", "code"))
+    spread = once.union(least).select("rid", "key", "no", "n", F.posexplode("prefix").alias("pos", "code"))
     shared = spread.withColumn("times", F.count("*").over(Window.partitionBy("code"))).where("times > 1")
-    lists = cut(shared.select("code", F.struct("rid", "no", "n").alias("line"), "pos"))
+    lists = cut(shared.select("code", F.struct("rid", "key", "no", "n").alias("line"), "pos"))
 
     def fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
         overlap = F.ceil((nx + ny) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= overlap)
 
     listed = lists.select("line").distinct()
-    mark = lambda r, n: F.xxhash64(r, n)
-    some, wanted = may_be_in(lines, bitmap(listed.select(mark(F.col("line.rid"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("no")))
-    full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "no", "n").alias("line"), "codes")
+    mark = lambda r, k, n: F.xxhash64(r, k, n)
+    some, wanted = may_be_in(lines, bitmap(listed.select(mark(F.col("line.rid"), F.col("line.key"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("key"), F.col("no")))
+    full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "key", "no", "n").alias("line"), "codes")
     full = cut(full.join(listed, "line", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -114,24 +120,23 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     open_ = lists.join(settled.withColumnRenamed("x", "line"), "line", "left_anti").select("code", F.col("line").alias("x"), F.col("pos").alias("px"))
     every = lists.select("code", F.col("line").alias("y"), F.col("pos").alias("py"))
     rest = open_.join(every, "code").where(F.col("y") < F.col("x")).where(fits(F.col("x.n"), F.col("px"), F.col("y.n"), F.col("py"))).select("x", "y").distinct()
-    matched = settled.union(verified(rest)).select("x.rid", "x.no")
+    matched = settled.union(verified(rest)).select("x.rid", "x.key", "x.no")
     return later.union(matched).distinct()
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Digest: lines and removed lines of every document, with the removed line numbers as text."""
-    gone = removed_lines(docs).groupBy("rid").agg(F.sort_array(F.collect_set("no")).alias("gone"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines")).withColumn("rid", F.coalesce("doc_id", F.lit(_NONE)))
-    mine = F.filter(F.coalesce("gone", F.array().cast("array<int>")), lambda i: i < F.col("n_lines"))
-    out = every.join(gone, "rid", "left").withColumn("mine", mine)
+    gone = removed_lines(docs).groupBy("rid", "key").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), _key(F.col("text")).alias("key")).withColumn("rid", F.coalesce("doc_id", F.lit(_NONE)))
+    out = every.join(gone, ["rid", "key"], "left").withColumn("mine", F.coalesce("gone", F.array().cast("array<int>")))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("mine").cast("long").alias("n_removed"), F.array_join(F.col("mine").cast("array<string>"), " ").alias("removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their removed lines, with their own columns."""
-    gone = removed_lines(docs).groupBy("rid").agg(F.collect_set("no").alias("gone")).select(F.struct("rid", "gone").alias("_found"))
+    gone = removed_lines(docs).groupBy("rid", "key").agg(F.collect_set("no").alias("gone")).select(F.struct("rid", "key", "gone").alias("_found"))
     rid = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE))
-    both = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), rid.alias("_rid")).join(gone, F.col("_rid") == F.col("_found.rid"), "left")
+    both = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), rid.alias("_rid"), _key(docs["text"]).alias("_key")).join(gone, (F.col("_rid") == F.col("_found.rid")) & (F.col("_key") == F.col("_found.key")), "left")
     lines = F.split(F.col("_row.text"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_found.gone"))
     text = F.when(F.col("_found").isNull() | F.col("_row.text").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))

@@ -65,6 +65,19 @@ def test_stage_keeps_columns(spark):
         assert out[i].text == want and out[i].n_chars == (None if want is None else len(want)) and out[i].kept is True
 
 
+def test_null_and_repeated_ids_lose_their_own_lines_only(spark):
+    r = random.Random(8)
+    v = vocabulary(8)
+    a, b, c, d, e, f = (prose(r, v, 9, 99) for _ in range(6))
+    texts = [(1, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{d}\n{e}"), (2, f"{a}\n{f}"), (2, f"{prose(r, v, 9, 99)}\n{prose(r, v, 9, 99)}")]
+    df = frame(spark, [(i, t, "", "") for i, t in texts])
+    want = [c, f, *(t for _, t in texts if t not in (texts[1][1], texts[3][1]))]
+    assert sorted(x.text for x in without_repeats(df).collect()) == sorted(want)
+    assert sorted((str(x.doc_id), x.removed) for x in line_dedup(df).collect()) == [("1", ""), ("2", ""), ("2", "0"), ("None", ""), ("None", "1")]
+    both = frame(spark, [(None, f"{a}\n{c}", "", ""), (None, f"{a}\n{d}", "", "")])
+    assert sum(x.n_removed for x in line_dedup(both).collect()) == 1
+
+
 def test_empty(spark):
     assert line_dedup(empty(spark)).count() == 0
     assert without_repeats(empty(spark)).count() == 0
