@@ -1,14 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing (operator 8).
 
-Words are lower-cased (A-Z) and lose punctuation at their edges.  A mask is a fixed pattern of cared-for and
-ignored word positions; the words under its cared-for positions are hashed at every position of every
-benchmark item and of every document.  Equal hashes are hits, and each hit's alignment is verified on the
-words themselves: the overlap must hold a window of ``window`` words (the whole item, if shorter) of which at
-least ``similarity`` are equal, so that substituted words are tolerated anywhere.
+Words are lower-cased (A-Z) and lose punctuation at their edges.  A mask is a pattern of cared-for and ignored
+word positions; the words under its cared-for positions are hashed in the benchmark items and at every
+position of every document.  Equal hashes are hits, and each hit's alignment is verified on the words
+themselves: the overlap must hold a window of ``window`` words (the whole item, if shorter) of which at least
+``similarity`` are equal, so that substituted words are tolerated anywhere.
+
+Masks follow from the length of the window: cut into m pieces, it keeps m - k of them whole under any k
+substitutions, so the masks of all choices of m - k pieces miss nothing that the threshold accepts.  m is the
+least number that leaves ``WEIGHT`` words under every mask, where one does within ``MOST`` masks.
 
 The benchmark side travels to the executors in blocks of at most ``block_bytes`` of item text; its size is
-counted first, and a larger benchmark takes several passes over the documents, one per block.  Items of fewer
-words than the smallest mask are hashed whole and matched exactly.  Documents are read whole.
+counted first, and a larger benchmark takes several passes over the documents, one per block.  Documents are
+read whole.
 
 Null or empty texts match nothing; null or empty items are never matched; an empty benchmark leaves all
 documents clean; repeated rows are judged alike.  Input columns are returned unchanged, whatever their names.
@@ -16,6 +20,9 @@ documents clean; repeated rows are judged alike.  Input columns are returned unc
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +31,8 @@ from pyspark.sql import functions as F
 from skarn.llm.session import cut
 from skarn.llm.textops import Chunk, U64, chunks, mix, plain_hashes
 
-#: 1: the word counts, 0: it is ignored.
-MASKS = ("11101011", "1101100111", "110010110111")
+#: Words that a mask should compare, and masks that a window may have for it.
+WEIGHT, MOST = 4, 64
 WINDOW = 20
 SIMILARITY = 0.8
 BLOCK_BYTES = 16 << 20
@@ -33,6 +40,29 @@ HITS = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, n_equ
 _HIT = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("n_equal", pa.int64())])
 
 
+def _need(n: int, similarity: float) -> int:
+    """Equal words that a window of n words must hold."""
+    return max(1, ceil(similarity * n - 1e-9))
+
+
+def masks(n: int, similarity: float) -> list[tuple[int, str]]:
+    """(offset, mask) of seeds in a window of n words; 1: the word counts, 0: it is ignored.
+
+    Whatever words are substituted, as long as similarity * n are equal, one seed is untouched.
+    """
+    k = n - _need(n, similarity)
+    if k < 0:
+        return []
+    ways = {m: sum(sorted((i + 1) * n // m - i * n // m for i in range(m))[: m - k]) for m in range(k + 1, n + 1) if m == k + 1 or comb(m, k) <= MOST}
+    m = next((m for m, least in ways.items() if least >= WEIGHT), max(ways, key=lambda m: (ways[m], -m)))
+    piece = [range(i * n // m, (i + 1) * n // m) for i in range(m)]
+    out = set()
+    for kept in combinations(piece, m - k):
+        cared = {j for p in kept for j in p}
+        out.add((min(cared), "".join("01"[j in cared] for j in range(min(cared), max(cared) + 1))))
+    return sorted(out)
+
+
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words under the mask, at each position that it fits."""
     m = len(words) - len(mask) + 1
@@ -58,15 +88,22 @@ class Seeds:
         self.window, self.similarity = window, similarity
         self.ids = [i for i, _ in items]
         self.words = [_words(t) for _, t in items]
-        least = min(map(len, MASKS))
-        self.masks = [*MASKS, *sorted({"1" * len(w) for w in self.words if 0 < len(w) < least})]
+        own: dict[str, list[tuple[int, int | None]]] = {}  # by mask: item, and where in it (None: at all positions)
+        of = {n: masks(n, similarity) for n in {min(window, len(w)) for w in self.words} if n > 0}
+        for k, w in enumerate(self.words):
+            for at, mask in of.get(min(window, len(w)), ()):
+                own.setdefault(mask, []).append((k, at if len(w) <= window else None))
+        self.masks = sorted(own)
         self.tables = []
         for mask in self.masks:
-            own = [k for k, w in enumerate(self.words) if (len(w) == len(mask) if len(mask) < least else len(w) >= len(mask))]
-            h = [_seeds(self.words[k], mask) for k in own]
-            item = np.repeat(own, [len(x) for x in h]).astype(np.int64)
-            pos = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, np.int64)
-            h = np.concatenate(h) if h else np.zeros(0, U64)
+            h, item, pos = [], [], []
+            for k, at in dict.fromkeys(own[mask]):
+                x = _seeds(self.words[k], mask)
+                p = np.arange(len(x)) if at is None else np.array([at])
+                h.append(x[p])
+                pos.append(p)
+                item.append(np.full(len(p), k))
+            h, item, pos = np.concatenate(h), np.concatenate(item), np.concatenate(pos)
             o = np.argsort(h, kind="stable")
             some = np.zeros(1 << 18, bool)  # most positions of a document end at this lookup
             some[(h & U64((1 << 18) - 1)).astype(np.int64)] = True
@@ -98,7 +135,7 @@ class Seeds:
             return None
         same = words[diag + lo : diag + hi] == b[lo:hi]
         c = np.concatenate([[0], np.cumsum(same)])
-        good = np.flatnonzero(c[w:] - c[:-w] >= np.ceil(self.similarity * w - 1e-9))
+        good = np.flatnonzero(c[w:] - c[:-w] >= _need(w, self.similarity))
         if not len(good):
             return None
         s, e = good[0], good[-1] + w

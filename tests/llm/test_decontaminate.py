@@ -1,8 +1,12 @@
 import random
+from itertools import combinations
+
+import pyarrow as pa
+import pytest
 
 from tests.llm.util import corpus, empty, frame, long_text, prose, vocabulary
 
-from skarn.llm.decontaminate import SIMILARITY, WINDOW, _words, benchmark_hits, decontaminate, keep_clean
+from skarn.llm.decontaminate import SIMILARITY, WINDOW, Seeds, _words, benchmark_hits, decontaminate, keep_clean
 
 
 def brute(docs, items):
@@ -42,6 +46,34 @@ def test_substituted_passages_are_found(spark):
     assert {(x.row.doc_id, h.item_id) for x in blocks.collect() for h in x.hits} == got
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_every_pattern_that_the_rule_accepts_is_found(n):
+    item = [f"w{j}" for j in range(n)]
+    seeds = Seeds([(1, " ".join(item))], WINDOW, SIMILARITY)
+    k = n - next(e for e in range(n + 1) if e >= SIMILARITY * n - 1e-9)
+    texts = [" ".join(["before", *("other" if j in gone else w for j, w in enumerate(item)), "after"]) for gone in combinations(range(n), k)]
+    assert all(len(hits) == 1 for hits in seeds.search(pa.array(texts)))
+    if k + 1 < n:
+        beyond = [" ".join("other" if j in gone else w for j, w in enumerate(item)) for gone in list(combinations(range(n), k + 1))[:50]]
+        assert not any(seeds.search(pa.array(beyond)))
+
+
+def test_substitutions_equal_brute_force(spark):
+    r = random.Random(4)
+    v = vocabulary(4)
+    items = [(k, prose(r, v, k % 30 + 1, 99)) for k in range(60)]
+    docs = []
+    for k, b in items:
+        for _ in range(3):
+            w = b.split(" ")
+            n = min(WINDOW, len(w))
+            for at in r.sample(range(n), min(n, round(n * (1 - SIMILARITY)) + r.choice([-1, 0, 0, 1])) if n > 4 else 0):
+                w[at] = "swapped"
+            docs.append((len(docs), f"{prose(r, v, 9)} {' '.join(w)} {prose(r, v, 5)}", "", ""))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, k) for x in benchmark_hits(frame(spark, docs), bench).collect() for k in x.item_ids} == brute(docs, items)
+
+
 def test_columns_and_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     df = frame(spark, [(1, None, None, None), (2, "x One two three four, five six seven eight nine ten y", "", ""), (3, "", "", "")])
