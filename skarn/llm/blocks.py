@@ -2,7 +2,9 @@
 
 The scanner is forgiving: unclosed, misnested and truncated mark-up gives the blocks that can be seen.
 Character references are decoded, white space becomes single spaces, and the content of scripts, styles,
-templates, comments and the head is no text.
+text fields, frames, drawings (svg), templates, comments and the head is no text.  A drawing or template
+without an end ends with its parent, a drawing also at a block-level tag of its own; a head ends at the first
+tag or text that belongs to the body; an unclosed style, title, text field or frame ends at the next tag.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import re
 # HTML element names by role.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title|head"
+_RAW = "style|iframe|textarea|title"
+#: Elements whose content is no text, and what a head may hold.
+_SKIP = frozenset(("svg", "template", "head"))
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _TAGS = "nav header footer aside article main section form ul ol li table a h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption button label select fieldset details dialog dl div center address span".split()
 # Words of class, id and role attributes, by what they tell about a block.
 _WORDS = {
@@ -36,12 +41,11 @@ NAMES = [*(f"in {t}" for t in _TAGS), *(f"named {c}" for c in _WORDS), *(f"under
 INDEX = {n: i for i, n in enumerate(NAMES)}
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^<]*\Z""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<script>script)\b[^>]*>.*?(?:</script\s*>|\Z)|<(?P<raw>{_RAW})\b[^>]*>(?:(?<=/>)|.*?</(?P=raw)\s*>|[^<]*)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^<]*\Z""",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-_HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
 
 
 def _bits(tag: str, attrs: str) -> int:
@@ -76,6 +80,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int]]:
     text: list[str] = []
     linked = 0  # characters inside links
     links = 0
+    skipped = 0  # open elements whose content is no text
 
     def flush() -> None:
         nonlocal linked
@@ -89,54 +94,73 @@ def leaf_blocks(page: str) -> list[tuple[str, int]]:
 
     def add(s: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and s.strip():
+            drop(len(stack) - 1)
+        if skipped:
+            return
         text.append(s)
         if links:
             linked += len(s.strip())
 
+    def drop(k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        nonlocal links, skipped
+        links -= sum(t == "a" for t, _ in stack[k:])
+        skipped -= sum(t in _SKIP for t, _ in stack[k:])
+        del stack[k:]
+
+    def leave(tag: str) -> None:
+        """Ends a head or a drawing that a start tag cannot be in."""
+        for k in range(len(stack) - 1, 0, -1):
+            t = stack[k][0]
+            if tag == "body" and t == "head" or t == "head" and tag not in _IN_HEAD or t == "svg" and tag in _BLOCK:
+                drop(k)
+                return
+            if tag != "body" and t in ("template", "foreignobject"):
+                return
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        raw, tag = m["raw"], m["tag"]
-        if raw:
-            if raw.lower() == "head" and not re.search(r"</head\s*>\Z", m[0], re.IGNORECASE):
-                body = re.search(r"<body\b", m[0], re.IGNORECASE)  # a head without an end stops at the body
-                if body:
-                    for b in leaf_blocks(m[0][body.start() :]):
-                        out.append(b)
-            continue
+        tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["close"]:
-            if tag in _BLOCK:
+            if tag in _BLOCK and not skipped:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    ended = skipped
+                    drop(k)
+                    if tag in _BLOCK and ended and not skipped:
+                        flush()
                     break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
+                if tag not in _BLOCK and tag not in _SKIP and stack[k][0] in _BLOCK:
                     break
             continue
+        if skipped:
+            leave(tag)
         if tag == "br":
             add(" ")
             continue
         if tag in _BLOCK:
-            flush()
+            if not skipped:
+                flush()
             for k in range(len(stack) - 1, 0, -1):
                 if _closes(stack[k][0], tag):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    drop(k)
                     break
-                if stack[k][0] in _BLOCK and stack[k][0] not in ("p",) and not (tag in _BOUND and stack[k][0] not in _BOUND[tag]):
+                if stack[k][0] in _SKIP or stack[k][0] in _BLOCK and stack[k][0] not in ("p",) and not (tag in _BOUND and stack[k][0] not in _BOUND[tag]):
                     break
         if tag in _VOID:
             continue
         if not m["attrs"].endswith("/"):
             stack.append((tag, stack[-1][1] | _bits(tag, m["attrs"])))
             links += tag == "a"
+            skipped += tag in _SKIP
     if at < len(page):
         add(page[at:])
     flush()

@@ -42,3 +42,13 @@ def test_pages(spark, sf):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in extract_text(odd).collect()), key=str)
     assert len(got) == 3 and (None, None, 0) in got and (1, "u", 0) in got
     assert extract_text(odd.limit(0)).count() == 0
+
+
+def test_raw_elements_do_not_swallow_what_follows():
+    texts = lambda page: [t for t, _ in leaf_blocks(page)]
+    assert texts('<p>a</p><svg class="i"/><p>b</p><p>c</p>') == texts("<p>a</p><math/><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts('<p>a<svg><path d="x"></p><p>b</p>') == texts("<div><p>a</p><template><p>x</div><p>b</p>") == ["a", "b"]
+    assert texts("<div><object data=x><p>a</p></div><noscript><p>b</p>") == ["a", "b"]
+    assert texts("<head><title>t</title><p>a</p><p>b</p>") == texts("<head><meta charset=utf-8><title>t<p>a<p>b") == ["a", "b"]
+    assert texts("<p>a <math><mi>x</mi></math> b <object>c</object> <noscript>d</noscript></p>") == ["a x b c d"]
+    assert texts("<p>a</p><svg><title/></svg><p>b</p><svg><title>t</title><text>s</text></svg><template><div>u</div></template>") == ["a", "b"]
