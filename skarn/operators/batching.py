@@ -89,6 +89,23 @@ def state(batches: DataFrame) -> DataFrame:
     return n.withColumn("needs_split", F.col("files") > ROOM).withColumn("may_merge", F.col("files") < MERGE_BELOW)
 
 
+def split(batches: DataFrame) -> DataFrame:
+    """(batch_id, file_id, package) with every batch that must be split planned anew; its parts get ids above all others."""
+    flagged = state(batches).where("needs_split").select("batch_id")
+    files = batches.join(flagged, "batch_id", "left_semi")
+    plan = plan_batches(files, ["batch_id"], order="file_id")
+    number = F.row_number().over(Window.orderBy("batch_id", "batch"))  # a row per new batch
+    ids = plan.select("batch_id", "batch").distinct().withColumn("_new", number)
+    last = batches.agg(F.max("batch_id").alias("_last"))
+    parts = plan.join(ids, ["batch_id", "batch"]).crossJoin(F.broadcast(last)).withColumn("_new", (F.col("_last") + F.col("_new")).cast(batches.schema["batch_id"].dataType))
+    at = F.row_number().over(Window.partitionBy("batch_id", "package").orderBy("file_id")) - 1
+    parts = parts.select("batch_id", "package", "first", "files", "_new").alias("p")
+    placed = files.withColumn("_at", at).alias("f")
+    fits = (F.col("f.batch_id") == F.col("p.batch_id")) & F.col("f.package").eqNullSafe(F.col("p.package")) & (F.col("_at") >= F.col("p.first")) & (F.col("_at") < F.col("p.first") + F.col("p.files"))
+    moved = placed.join(parts, fits).select(F.col("_new").alias("batch_id"), "f.file_id", "f.package")
+    return batches.join(flagged, "batch_id", "left_anti").select("batch_id", "file_id", "package").unionByName(moved)
+
+
 def merge_targets(batches: DataFrame) -> DataFrame:
     """(batch_id, into): each small batch with the first other batch of its package that can take it."""
     s = state(batches)

@@ -27,6 +27,17 @@ def mapped(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return j.withColumn("problem_id", F.explode("ids")).where("problem_id <> -1").drop("ids")
 
 
+def filtered(rows: DataFrame, serial_version: int) -> DataFrame:
+    """rows(problem_id, severity, interfaces, start, ...) that are reported.
+
+    Ignored and optional severities go, missing serial versions (their problem id is given) of classes with
+    Externalizable among their interfaces, and rows without a position.
+    """
+    ignored = F.coalesce(F.col("severity").isin("Ignore", "Optional"), F.lit(False))
+    external = F.coalesce((F.col("problem_id") == serial_version) & F.array_contains("interfaces", "java.io.Externalizable"), F.lit(False))
+    return rows.where(~ignored & ~external & F.col("start").isNotNull())
+
+
 def inclusive_range(offset: Column, length: Column, text_length: Column) -> tuple[Column, Column]:
     """(start, end inclusive); an empty range at the end of the text moves one to the left."""
     start = F.when((length <= 0) & (offset >= text_length) & (offset > 0), offset - 1).otherwise(offset)

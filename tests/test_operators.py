@@ -60,6 +60,24 @@ def test_batches_hold_every_file_once(sizes):
     assert all(sum(n for _, _, n in b) < batching.LARGEST + batching.SMALLEST for b in got)
 
 
+def test_split_renumbers_flagged_batches(spark):
+    rows = [(1, f"a{i:03}", f"p{i // 90}") for i in range(270)] + [(2, f"b{i:03}", "p0") for i in range(250)] + [(5, f"c{i:03}", "q") for i in range(310)]
+    b = spark.createDataFrame(rows, "batch_id int, file_id string, package string")
+    out = batching.split(b)
+    assert out.dtypes == b.dtypes
+    got = {r.file_id: r.batch_id for r in out.collect()}
+    want = {f: 2 if k == 2 else (6 + int(p[1]) if k == 1 else 9 + (int(f[1:]) >= 300)) for k, f, p in rows}
+    assert got == want and out.count() == len(rows)
+    few = b.where("batch_id = 2")
+    assert sorted(batching.split(few).collect()) == sorted(few.collect())
+
+
+def test_diagnostic_filters(spark):
+    rows = [(1, 7, "Ignore", None, 3), (2, 7, "Optional", [], 3), (3, 96, "Warning", ["a.B", "java.io.Externalizable"], 3), (4, 96, "Warning", ["java.io.Serializable"], 3), (5, 7, "Error", ["java.io.Externalizable"], 0), (6, 7, "Error", None, None), (7, 96, "Warning", None, 1)]
+    df = spark.createDataFrame(rows, "id int, problem_id int, severity string, interfaces array<string>, start int")
+    assert sorted(r.id for r in diagnostics.filtered(df, serial_version=96).collect()) == [4, 5, 7]
+
+
 def test_plan_and_chunks(spark):
     files = spark.createDataFrame([("p", pkg, i) for i, pkg in enumerate(["x"] * 100 + ["y"] * 60)], "project string, package string, pos long")
     plan = sorted((r.batch, r.package, r.files) for r in batching.plan_batches(files, ["project"]).collect())
