@@ -53,4 +53,4 @@ def current(spark, store: str, before: int | None = None) -> DataFrame | None:
 
 def edits_per_project(changes: DataFrame, window: str = "30 seconds", late: str = "2 minutes") -> DataFrame:
     """Distinct files edited per project and window of event time, for the rebatch rule."""
-    return changes.withWatermark("ts", late).groupBy(F.window("ts", window), "project").agg(F.approx_count_distinct("path").alias("edited"))
+    return changes.withWatermark("ts", late).groupBy(F.window("ts", window), "project").agg(F.size(F.collect_set("path")).cast("long").alias("edited"))

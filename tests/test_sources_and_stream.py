@@ -46,3 +46,19 @@ def test_stream_merges_changes(spark, tmp_path):
 
     assert put([("A", 1, "FILE_UPDATED", "class A {}"), ("B", 1, "FILE_UPDATED", "class B {}")]) == {("A", "A"), ("B", "B")}
     assert put([("A", 2, "FILE_UPDATED", "class Old {}"), ("A", 3, "FILE_UPDATED", "class A2 {}"), ("B", 4, "FILE_REMOVED", None)]) == {("A", "A2")}
+
+
+def test_edits_are_counted_exactly(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skarn.streaming.refresh import edits_per_project
+
+    n = {p: 19 + 40 * p for p in range(25)}
+    rows = [(p, f"f{k}") for p in n for k in [*range(n[p]), 0, 1]]
+    changes = spark.createDataFrame(rows, "project int, path string").withColumn("ts", F.lit("2026-01-01 00:00:01").cast("timestamp"))
+    assert {r.project: r.edited for r in edits_per_project(changes).collect()} == n
+    changes.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(changes.schema).parquet(f"{tmp_path}/in")
+    q = edits_per_project(stream).writeStream.format("memory").queryName("edits").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.project: r.edited for r in spark.table("edits").collect()} == n
