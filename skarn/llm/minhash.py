@@ -262,24 +262,47 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
     return links.union(verified(apart(rooted(prefix), fits)))
 
 
-def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _placed(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n, a, b (digest of the set) and of sets that are not empty root and least id of the component, of every document."""
     rows = cut(sketches(docs, k, width, id_col, text_col))
     least = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), "n", "sketch")).alias("x"))
     classes = cut(least.select(F.col("a").alias("node"), "b", "x.rep", "x.n", "x.sketch"))
     root = components(linked_classes(docs, classes, k, shared, width, percent, id_col, text_col)).withColumnRenamed("u", "node")
     named = classes.select("node", "b", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least_id, "root").select(F.col("node").alias("a"), "b", "component")
-    out = rows.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
+    named = named.join(least_id, "root").select(F.col("node").alias("a"), "b", "root", "component")
+    return rows.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    out = _placed(docs, k, shared, width, percent, id_col, text_col)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") == _NONE, F.lit(None)).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one id of each group of near duplicates, with their own columns."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The documents that stay, one row of each group of near duplicates, with their own columns.
+
+    A row is known by its id, null included, and its set's digest: the least of a group stays, and one of its
+    copies.  Documents with empty sets stay.
+    """
+    me = ["id", "a", "b"]
+    rows = _placed(docs).where("n > 0").select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), "a", "b", "root")
+    keys = rows.groupBy(*me, "root").agg(F.count("*").alias("times"))
+    least = keys.groupBy("root").agg(F.min(F.struct(*me)).alias("least"))
+    judged = cut(keys.join(least, "root").select(*me, (F.struct(*me) == F.col("least")).alias("stays"), "times"))
+    gone = judged.where("not stays").select(*me)
+    repeated = judged.where("stays and times > 1").select(*me)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    digest = _digest(WIDTH)(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    known = docs.select(row, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE)).alias("id"), digest.alias("d")).select("row", "id", "d.a", "d.b").join(gone, me, "left_anti")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    if repeated.isEmpty():
+        return known.select(*columns)
+    known = cut(known)
+    one = known.join(repeated, me, "left_semi").groupBy(*me).agg(F.min("row").alias("row"))
+    return known.join(repeated, me, "left_anti").select(*columns).union(one.select(*columns))
 
 
 ORACLE = """

@@ -78,6 +78,15 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _, k in brute(rows) if k)
 
 
+def test_keep_one_judges_rows_with_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    v = vocabulary(12)
+    a, b, c, d = (prose(r, v, 30) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, a), (2, c), (3, d), (3, d), (4, ""), (None, ""), (None, None)]
+    kept = [(x.doc_id, x.text) for x in keep_one(frame(spark, [(i, t, "", "") for i, t in rows])).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, ""), (None, ""), (None, None)], key=str)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
