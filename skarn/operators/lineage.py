@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets its own."""
@@ -22,3 +25,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder, so that lost executors cost nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(True)
+
+
+class Scratch:
+    """A folder of Parquet tables in the shared folder: compressed, droppable one by one, gone with the session.
+
+    A kept table cuts lineage as a checkpoint does.  The shuffle files of the query that made it are freed at
+    once, since nothing refers to them any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        path, fs = self._path(self.at)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.at}/{name}")
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def drop(self, name: str | None = None) -> None:
+        """Deletes one table, or the whole folder."""
+        path, fs = self._path(f"{self.at}/{name}" if name else self.at)
+        fs.delete(path, True)
