@@ -1,25 +1,28 @@
 """Line dedup by an exact set-similarity join (operator 5, native: DataFrame expressions only).
 
-A line is a \\n-split piece of a text with at least five words; its tokens are its distinct five-word shingles.
+A line is a \\n-split piece of a text with at least ``min_words`` distinct words; its set holds those words.
 Every line that has an earlier line, by (doc_id, text's hash, line number) over the whole corpus, with a Jaccard
 similarity of at least ``percent`` / 100 is removed.  Lines are judged on the input.
 
 * Lines of equal sets collapse first: all but the earliest go, and only that one enters the join.
-* Tokens are ordered by rarity, judged by their first word: words' hashes fall into ``BUCKETS`` classes, ranked
-  by how often the corpus uses them.  Any order common to all lines keeps the join exact; counting classes
-  keeps it a table of fixed size.
-* Prefix filter: two sets that reach the threshold share a token among the first n - ceil(t n) + 1 of each.
-  Only those tokens are listed, and tokens listed once are dropped.  Length and positional filters prune pairs.
-* Every line is compared with one other first, the earliest line of most of its lists.  A line found to match
-  is settled; only unsettled ones are compared with all earlier lines of their lists, so that a line in
-  thousands of variants costs a star of pairs.
+* Words are ordered by rarity: their hashes fall into ``BUCKETS`` classes, ranked by how often the corpus uses
+  them.  Any order common to all lines keeps the join exact; counting classes keeps it a table of fixed size.
+* Prefix filter: two sets that reach the threshold share a word among the first n - ceil(t n) + 1 of each.
+  Only those words are listed, and words listed once are dropped.  Length and positional filters prune pairs,
+  and so does a 64-bit parity sketch of each set: every bit in which two sketches differ takes one word that
+  only one of the sets has, so no pair within the threshold is lost.
+* Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
+  take their closest other candidate by sketch, and only those that then still have untested candidates are
+  compared with all of them.  So a line in thousands of variants costs a star of pairs.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
+* Words that lead many lists, copied lines and much-compared lines are counted; those with a large share of the
+  rows are broadcast or dealt over salts, whose number is bounded.
 
 A null text has one empty line.  A null id ranks last.  Rows with the same id, null included, and the same text
 are the same document: they keep and lose the same lines.  Rows with the same id and different texts are
-different documents and rank by the text's hash.  Empty tables give empty results.  Input columns keep their names and values, but for
-the text (and ``n_chars``, where the table has it).
+different documents and rank by the text's hash.  Lines of fewer words always stay.  Empty tables give empty
+results.  Input columns keep their names and values, but for the text (and ``n_chars``, where the table has it).
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bitmap import bitmap, may_be_in
-from skarn.llm.session import cut
+from skarn.llm.session import Scratch
+from skarn.llm.skew import salted_join
 
-PERCENT = 75
-WIDTH = 5
-BUCKETS = 1 << 14
+PERCENT = 80
+MIN_WORDS = 5
+BUCKETS = 1 << 15
 _NONE = 2**63 - 1
 
 
@@ -48,79 +52,143 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), _key(F.col(text_col)).alias("key"), split)
 
 
-def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Array of BUCKETS ranks of words, the class that the corpus uses least first."""
-    word = _lines(docs, id_col, text_col).select(F.explode_outer(F.split("line", " ")).alias("word"))
+def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, int, list[int]]:
+    """Array of BUCKETS ranks of words, the class that the corpus uses least first; words in all; counts by rank."""
+    word = _lines(docs, id_col, text_col).select(F.explode_outer(F.split("line", " ")).alias("word")).where("word != ''")
     seen = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
     count = {r["bucket"]: r["count"] for r in seen}
+    order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
     ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))):
+    for rank, b in enumerate(order):
         ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>"), sum(count.values()), [count.get(b, 0) for b in order]
 
 
-def line_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(rid, key, no, codes, n): codes are the distinct tokens led by the rank of their first word, ascending: the rarest first."""
+def line_sets(lines: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """(rid, key, no, codes, n) of lines of at least so many distinct words: codes are the words' hashes led by their rank, ascending, so the rarest come first."""
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
         rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
-        return F.shiftleft(rank, 49).bitwiseOR(F.shiftrightunsigned(h, 15))
+        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    words = lines.select("rid", "key", "no", F.array_remove(F.split("line", " "), "").alias("words")).where(F.size("words") >= WIDTH)
-    led = words.select("rid", "key", "no", F.transform("words", code).alias("w0"))
-    # neighbours side by side: a lambda that reached into the array would have it made again for every shingle
-    beside = F.arrays_zip("w0", *(F.slice("w0", F.lit(k + 1), F.size("w0")).alias(f"w{k}") for k in range(1, WIDTH)))
-    token = lambda z: F.coalesce(z["w0"].bitwiseAND(F.lit(-1 << 49)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(z), 15))
-    tokens = F.slice(F.transform(beside, token), F.lit(1), F.size("w0") - (WIDTH - 1))
-    return led.select("rid", "key", "no", F.sort_array(F.array_distinct(tokens)).alias("codes")).withColumn("n", F.size("codes"))
+    words = F.array_remove(F.split("line", " "), "")
+    sets = lines.where(F.length("line") >= 2 * min_words - 1).select("rid", "key", "no", F.sort_array(F.array_distinct(F.transform(words, code))).alias("codes"))
+    return sets.withColumn("n", F.size("codes")).where(F.col("n") >= min_words)
+
+
+def _sketch(codes: Column) -> Column:
+    """Parities of the numbers of codes that fall into each of 64 classes."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9)
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, key, no) of every line to remove; rid is the id, or the largest long for null, and key the text's hash."""
-    ranks, lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
+    tmp = Scratch(docs.sparkSession)
+    (ranks, words, counts), lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
     room = (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
-    base = cut(line_sets(lines, ranks).select("rid", "key", "no", "n", F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), F.slice("codes", F.lit(1), room).alias("prefix")))
-    copies = cut(base.groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no")).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    place = lambda r="": F.struct(*(F.col(f"{r}{c}") for c in ("rid", "key", "no")))
+
+    sets = line_sets(lines, ranks, min_words).select(
+        F.monotonically_increasing_id().alias("mid"), "rid", "key", "no", "n",
+        F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes")).alias("sig"), F.slice("codes", F.lit(1), room).alias("prefix"),
+    )
+    base = tmp.keep(sets, "base")
+    total = base.count()
+
+    # lines of equal sets: the earliest stays and stands for them
+    copies = tmp.keep(base.groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no", "mid")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "copies")
     flagged, copied = may_be_in(base, bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
     flagged = flagged.withColumn("is_copied", copied)
-    later = flagged.where("is_copied").select("rid", "key", "no", "a", "b").join(copies, ["a", "b"]).where(F.struct("rid", "key", "no") > F.col("first")).select("rid", "key", "no")
-    once = flagged.where("not is_copied").select("rid", "key", "no", "n", "prefix")
-    least = flagged.where("is_copied").groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no", "n", "prefix")).alias("x")).select("x.*")
-
-    spread = once.union(least).select("rid", "key", "no", "n", F.posexplode("prefix").alias("pos", "code"))
-    shared = spread.withColumn("times", F.count("*").over(Window.partitionBy("code"))).where("times > 1")
-    lists = cut(shared.select("code", F.struct("rid", "key", "no", "n").alias("line"), "pos"))
-
-    def fits(nx: Column, px: Column, ny: Column, py: Column) -> Column:
-        overlap = F.ceil((nx + ny) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= overlap)
-
-    listed = lists.select("line").distinct()
-    mark = lambda r, k, n: F.xxhash64(r, k, n)
-    some, wanted = may_be_in(lines, bitmap(listed.select(mark(F.col("line.rid"), F.col("line.key"), F.col("line.no")).alias("h")), "wanted"), "wanted", mark(F.col("rid"), F.col("key"), F.col("no")))
-    full = line_sets(some.where(wanted), ranks).select(F.struct("rid", "key", "no", "n").alias("line"), "codes")
-    full = cut(full.join(listed, "line", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The later lines x of the pairs (x, y) that reach the threshold."""
-        cx, cy = full.select(F.col("line").alias("x"), F.col("codes").alias("cx")), full.select(F.col("line").alias("y"), F.col("codes").alias("cy"))
-        same = F.size(F.array_intersect("cx", "cy"))
-        return pairs.join(cy, "y").join(cx, "x").withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("x.n") + F.col("y.n") - F.col("same"))).select("x").distinct()
-
-    centre = lists.groupBy("code").agg(F.min(F.struct("line", "pos")).alias("c"))
-    star = lists.join(centre, "code").where(F.col("line") != F.col("c.line")).where(fits(F.col("line.n"), F.col("pos"), F.col("c.line.n"), F.col("c.pos")))
-    star = star.groupBy(F.col("line").alias("x"), F.col("c.line").alias("y")).agg(F.count("*").alias("lists"))
-    best = star.groupBy("x").agg(F.max_by("y", F.struct("lists", "y")).alias("y"))  # the earliest line of most of its lists
-    settled = cut(verified(best))
-    open_ = lists.join(settled.withColumnRenamed("x", "line"), "line", "left_anti").select("code", F.col("line").alias("x"), F.col("pos").alias("px"))
-    every = lists.select("code", F.col("line").alias("y"), F.col("pos").alias("py"))
-    rest = open_.join(every, "code").where(F.col("y") < F.col("x")).where(fits(F.col("x.n"), F.col("px"), F.col("y.n"), F.col("py"))).select("x", "y").distinct()
-    matched = settled.union(verified(rest)).select("x.rid", "x.key", "x.no")
+    narrow = salted_join(flagged.where("is_copied").select("mid", "rid", "key", "no", "a", "b"), copies, ["a", "b"], total, "left")
+    later = tmp.keep(narrow.where(place() > F.struct("first.rid", "first.key", "first.no")).select("rid", "key", "no"), "later")
+    firsts = narrow.where(F.col("first").isNull() | (F.col("mid") == F.col("first.mid"))).select("mid")
+    once, least = flagged.where("not is_copied"), flagged.where("is_copied").join(firsts, "mid", "left_semi")
+    firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "sig", "prefix").union(least.select("mid", "rid", "key", "no", "n", "sig", "prefix")), "firsts")
+    tmp.drop("base")
+
+    # (code, mid, rid, sig, np, c): every listed prefix word with the first line of its list
+    np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
+    entries = firsts.select("mid", "rid", "sig", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "sig", np)
+    many = words >> 12  # a word in more lines than this: there are at most 4,096 such
+    above = next((r for r, c in enumerate(counts) if c > many), BUCKETS - 1)
+    entry = F.struct("rid", "mid", "sig", "np")
+    hot = tmp.keep(entries.where(F.col("code") >= F.lit(above << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many).drop("times"), "hot")
+    whole = Window.partitionBy("code").orderBy("rid", "mid")
+    ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
+    ranked = ranked.select("*", F.first(entry).over(whole).alias("c"), F.lead("mid").over(whole).alias("next")).where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).drop("next")
+    lists = tmp.keep(ranked.union(entries.join(F.broadcast(hot), "code")), "lists")
+
+    def near(x: str, y: str) -> tuple[Column, Column]:
+        """Length, positional and sketch filters, and the number of bits in which sketches differ."""
+        n = lambda r: F.shiftright(F.col(f"{r}np"), 32)
+        left = lambda r: n(r) - F.col(f"{r}np").bitwiseAND(F.lit((1 << 32) - 1))
+        overlap = F.ceil((n(x) + n(y)) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+        far = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig")))
+        return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (F.least(left(x), left(y)) >= overlap) & (far <= n(x) + n(y) - 2 * overlap), far
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """(mid, rid, key, no) of the later lines of the pairs (x, y) that reach the threshold."""
+        ends = pairs.select(F.col("x").alias("mid")).union(pairs.select(F.col("y").alias("mid"))).distinct()
+        ends = tmp.keep(ends, f"{name}-ends")
+        some, wanted = may_be_in(firsts, bitmap(ends.select(F.xxhash64("mid").alias("h")), "wanted"), "wanted", F.xxhash64("mid"))
+        who = tmp.keep(some.where(wanted).select("mid", "rid", "key", "no").join(ends, "mid", "left_semi"), f"{name}-who")
+        mark = F.xxhash64("rid", "key", "no")
+        some, wanted = may_be_in(lines, bitmap(who.select(mark.alias("h")), "wanted"), "wanted", mark)
+        full = tmp.keep(line_sets(some.where(wanted), ranks, min_words).join(who, ["rid", "key", "no"]).select("mid", place().alias("at"), "n", "codes").dropDuplicates(["mid"]), f"{name}-full")
+        side = lambda r: full.select(F.col("mid").alias(r), F.struct("mid", "at", "n", "codes").alias(f"s{r}"))
+        both = salted_join(pairs.select("x", "y").join(side("x"), "x"), side("y"), ["y"], total)
+        same = F.size(F.array_intersect("sx.codes", "sy.codes"))
+        both = both.withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("sx.n") + F.col("sy.n") - F.col("same")))
+        found = both.select(F.when(F.col("sx.at") > F.col("sy.at"), F.struct("sx.mid", "sx.at")).otherwise(F.struct("sy.mid", "sy.at")).alias("z")).distinct()
+        found = tmp.keep(found.select("z.mid", "z.at.*"), name)
+        for part in ("ends", "who", "full"):
+            tmp.drop(f"{name}-{part}")
+        return found
+
+    # each line with the first line of one of its lists
+    fits, far = near("", "c.")
+    star = lists.where(F.col("mid") != F.col("c.mid")).where(fits).groupBy(F.col("mid").alias("x")).agg(F.min(F.struct(far.alias("far"), F.col("c.mid").alias("y"))).alias("best"))
+    star = tmp.keep(star.select("x", "best.y"), "star-pairs")
+    settled = verified(star, "star")
+
+    # those that are left with their closest other candidate: the bitmaps leave out settled lines, but for some
+    def left_out(rows: DataFrame, mid: str, done: DataFrame) -> DataFrame:
+        h = F.xxhash64(mid)
+        bits = bitmap(done.select(F.xxhash64("mid").alias("h")), "done")
+        some, maybe = may_be_in(firsts.select("mid"), bits, "done", F.xxhash64("mid"))
+        wrong = tmp.keep(some.where(maybe).select("mid").join(done, "mid", "left_anti"), "wrong")
+        out, maybe = may_be_in(rows, bits, "done", h, "left")
+        out = out.withColumn("maybe", maybe).drop("done")
+        out, kept = may_be_in(out, bitmap(wrong.select(F.xxhash64("mid").alias("h")), "wrong"), "wrong", h, "left")
+        return out.where(~F.col("maybe") | kept).drop("maybe", "wrong")
+
+    def candidates(x: DataFrame, y: DataFrame) -> tuple[DataFrame, Column]:
+        x = x.select("code", *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "sig", "np")))
+        y = y.select("code", F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "sig", "np")))
+        fits, far = near("x_", "y_")
+        return x.join(y, "code").where((F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
+
+    pairs, far = candidates(left_out(lists, "mid", settled), lists)
+    best = pairs.where("y_mid != c_mid").groupBy(F.col("x_mid").alias("x")).agg(F.min(F.struct(far.alias("far"), F.col("y_mid").alias("y"))).alias("best"))
+    best = tmp.keep(best.select("x", "best.y"), "best-pairs")
+    settled = settled.union(verified(best, "best"))
+
+    # those that matched neither, with all candidates
+    open_ = tmp.keep(star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).distinct().join(settled, "mid", "left_anti"), "open")
+    some, maybe = may_be_in(lists, bitmap(open_.select(F.xxhash64("mid").alias("h")), "open"), "open", F.xxhash64("mid"))
+    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "sig", "np").join(open_, "mid", "left_semi"), "open-lists")
+    some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
+    rest, _ = candidates(x, some.where(maybe))
+    rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
+    matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
+    for name in ("lists", "firsts", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
+        tmp.drop(name)
     return later.union(matched).distinct()
 
 
@@ -148,12 +216,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 ORACLE = """
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-words AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM lines),
 sets AS (
-  SELECT id, doc_id, no, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words),
-items AS (SELECT id, len(s) AS n, unnest(s) AS w FROM sets),
-pairs AS (SELECT x.id AS x, x.n AS nx, y.n AS ny, count(*) AS same FROM items x JOIN items y ON x.w = y.w AND y.id < x.id GROUP BY x.id, y.id, x.n, y.n),
-gone AS (SELECT DISTINCT x FROM pairs WHERE 100 * same >= 75 * (nx + ny - same))
+  SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no, list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS s FROM lines),
+items AS (SELECT id, len(s) AS n, unnest(s) AS w FROM sets WHERE len(s) >= 5),
+ordered AS (
+  SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY f, w) AS r FROM (SELECT *, count(*) OVER (PARTITION BY w) AS f FROM items)),
+prefix AS (SELECT * FROM ordered WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs AS (
+  SELECT DISTINCT x.id AS x, y.id AS y FROM prefix x JOIN prefix y ON x.w = y.w AND y.id < x.id AND y.n >= 0.8 * x.n - 1e-9 AND x.n >= 0.8 * y.n - 1e-9),
+gone AS (
+  SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS t FROM pairs JOIN sets a ON a.id = x JOIN sets b ON b.id = y)
+  WHERE 100 * i >= 80 * (t - i))
 SELECT doc_id, count(*) AS n_lines, count(x) AS n_removed, coalesce(string_agg(no::VARCHAR, ' ' ORDER BY no) FILTER (x IS NOT NULL), '') AS removed
 FROM sets LEFT JOIN gone ON id = x GROUP BY doc_id
 """

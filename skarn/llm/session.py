@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.operators.lineage import cut, shared_folder  # noqa: F401
+from skarn.operators.lineage import Scratch, cut, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

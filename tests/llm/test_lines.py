@@ -9,12 +9,12 @@ from skarn.llm.lines import line_dedup, without_repeats
 BIG = 2**63 - 1
 
 
-def brute(rows, percent=75):
+def brute(rows, percent=80):
     lines = []
     for i, t, *_ in rows:
         for n, line in enumerate((t or "").split("\n")):
             w = words(line)
-            lines.append(((BIG if i is None else i, n), frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))))
+            lines.append(((BIG if i is None else i, n), frozenset(w) if len(set(w)) >= 5 else frozenset()))
     by = [x for x in lines if x[1]]
     gone = {r for r, s in by if any(q < r and 100 * len(s & u) >= percent * len(s | u) for q, u in by)}
     out = []
