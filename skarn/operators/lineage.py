@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """A folder of Parquet tables in the shared folder: compressed, droppable one by one, gone with the session.
+    """A folder of Parquet tables in the shared folder: droppable one by one, gone with the session.
 
     A kept table cuts lineage as a checkpoint does.  The shuffle files of the query that made it are freed at
     once, since nothing refers to them any more.
@@ -48,7 +48,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN, "false")
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.option("compression", "zstd").parquet(f"{self.at}/{name}")
+            df.write.parquet(f"{self.at}/{name}")
         finally:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
