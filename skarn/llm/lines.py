@@ -45,16 +45,25 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _blanks(text: Column, these: str) -> Column:
+    """The text with blanks for these characters; replacing one by one is fast where there are none."""
+    for c in these:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, key, no, line) of every line; white space within it is blanks."""
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\t\x0b\x0c\r", "    ")
-    split = F.posexplode(F.split(text, "\n")).alias("no", "line")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), _key(F.col(text_col)).alias("key"), split)
+    text = _blanks(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\t\x0b\x0c\r")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), _key(F.col(text_col)).alias("key"), text.alias("text"))
+    # outer: else a filter is inferred that splits once more; the key comes first: else every line carries its text along
+    return rows.select("rid", "key", F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
 
 
 def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, int, list[int]]:
     """Array of BUCKETS ranks of words, the class that the corpus uses least first; words in all; counts by rank."""
-    word = _lines(docs, id_col, text_col).select(F.explode_outer(F.split("line", " ")).alias("word")).where("word != ''")
+    text = _blanks(F.col(text_col).cast("string"), "\t\n\x0b\x0c\r")
+    word = docs.select(F.explode_outer(F.split(text, " ")).alias("word")).where("word != ''")
     seen = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
     count = {r["bucket"]: r["count"] for r in seen}
     order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
@@ -64,16 +73,21 @@ def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>"), sum(count.values()), [count.get(b, 0) for b in order]
 
 
-def line_sets(lines: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """(rid, key, no, codes, n) of lines of at least so many distinct words: codes are the words' hashes led by their rank, ascending, so the rarest come first."""
+def codes(line: Column, ranks: Column) -> Column:
+    """The distinct words' hashes led by their rank, ascending, so the rarest come first."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
         return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    words = F.array_remove(F.split("line", " "), "")
-    sets = lines.where(F.length("line") >= 2 * min_words - 1).select("rid", "key", "no", F.sort_array(F.array_distinct(F.transform(words, code))).alias("codes"))
+    words = F.array_remove(F.split(line, " "), "")
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), code))
+
+
+def line_sets(lines: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """(mid, rid, key, no, codes, n) of lines of at least so many distinct words, mid numbering them in no set way."""
+    # the number, being no function of the row, keeps the filter from being pushed down, where it would have the codes made twice
+    sets = lines.where(F.length("line") >= 2 * min_words - 1).select(F.monotonically_increasing_id().alias("mid"), "rid", "key", "no", codes(F.col("line"), ranks).alias("codes"))
     return sets.withColumn("n", F.size("codes")).where(F.col("n") >= min_words)
 
 
@@ -95,7 +109,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     place = lambda r="": F.struct(*(F.col(f"{r}{c}") for c in ("rid", "key", "no")))
 
     sets = line_sets(lines, ranks, min_words).select(
-        F.monotonically_increasing_id().alias("mid"), "rid", "key", "no", "n",
+        "mid", "rid", "key", "no", "n",
         F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes")).alias("sig"), F.slice("codes", F.lit(1), room).alias("prefix"),
     )
     base = tmp.keep(sets, "base")
@@ -105,12 +119,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     copies = tmp.keep(base.groupBy("a", "b").agg(F.min(F.struct("rid", "key", "no", "mid")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "copies")
     flagged, copied = may_be_in(base, bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
     flagged = flagged.withColumn("is_copied", copied)
-    narrow = salted_join(flagged.where("is_copied").select("mid", "rid", "key", "no", "a", "b"), copies, ["a", "b"], total, "left")
+    narrow = tmp.keep(salted_join(flagged.where("is_copied").select("mid", "rid", "key", "no", "a", "b"), copies, ["a", "b"], total, "left").drop("a", "b"), "narrow")
     later = tmp.keep(narrow.where(place() > F.struct("first.rid", "first.key", "first.no")).select("rid", "key", "no"), "later")
     firsts = narrow.where(F.col("first").isNull() | (F.col("mid") == F.col("first.mid"))).select("mid")
     once, least = flagged.where("not is_copied"), flagged.where("is_copied").join(firsts, "mid", "left_semi")
     firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "sig", "prefix").union(least.select("mid", "rid", "key", "no", "n", "sig", "prefix")), "firsts")
     tmp.drop("base")
+    tmp.drop("narrow")
 
     # (code, mid, rid, sig, np, c): every listed prefix word with the first line of its list
     np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
@@ -119,9 +134,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     above = next((r for r, c in enumerate(counts) if c > many), BUCKETS - 1)
     entry = F.struct("rid", "mid", "sig", "np")
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(above << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many).drop("times"), "hot")
-    whole = Window.partitionBy("code").orderBy("rid", "mid")
+    so_far = Window.partitionBy("code").orderBy("rid", "mid")
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
-    ranked = ranked.select("*", F.first(entry).over(whole).alias("c"), F.lead("mid").over(whole).alias("next")).where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).drop("next")
+    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next")).where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).drop("next")
     lists = tmp.keep(ranked.union(entries.join(F.broadcast(hot), "code")), "lists")
 
     def near(x: str, y: str) -> tuple[Column, Column]:
@@ -139,8 +154,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         some, wanted = may_be_in(firsts, bitmap(ends.select(F.xxhash64("mid").alias("h")), "wanted"), "wanted", F.xxhash64("mid"))
         who = tmp.keep(some.where(wanted).select("mid", "rid", "key", "no").join(ends, "mid", "left_semi"), f"{name}-who")
         mark = F.xxhash64("rid", "key", "no")
-        some, wanted = may_be_in(lines, bitmap(who.select(mark.alias("h")), "wanted"), "wanted", mark)
-        full = tmp.keep(line_sets(some.where(wanted), ranks, min_words).join(who, ["rid", "key", "no"]).select("mid", place().alias("at"), "n", "codes").dropDuplicates(["mid"]), f"{name}-full")
+        some, there = may_be_in(docs.select(id_col, text_col), bitmap(who.select(F.xxhash64("key").alias("h")), "there"), "there", F.xxhash64(_key(F.col(text_col))))
+        some, wanted = may_be_in(_lines(some.where(there), id_col, text_col), bitmap(who.select(mark.alias("h")), "wanted"), "wanted", mark)
+        full = some.where(wanted).select("rid", "key", "no", codes(F.col("line"), ranks).alias("codes")).join(who, ["rid", "key", "no"])
+        full = tmp.keep(full.select("mid", place().alias("at"), F.size("codes").alias("n"), "codes").dropDuplicates(["mid"]), f"{name}-full")
         side = lambda r: full.select(F.col("mid").alias(r), F.struct("mid", "at", "n", "codes").alias(f"s{r}"))
         both = salted_join(pairs.select("x", "y").join(side("x"), "x"), side("y"), ["y"], total)
         same = F.size(F.array_intersect("sx.codes", "sy.codes"))
