@@ -97,10 +97,21 @@ def _sketch(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
+def _wide(codes: Column) -> Column:
+    """The like over 256 classes, as four numbers."""
+    of = lambda k: F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == k)
+    return F.array(*(_sketch(of(k)) for k in range(4)))
+
+
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9)
 
 
+def _overlap(x: Column, y: Column, percent: int) -> Column:
+    """Words that sets of these sizes share at the threshold."""
+    return F.ceil((x + y) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, key, no) of every line to remove; rid is the id, or the largest long for null, and key the text's hash."""
     tmp = Scratch(docs.sparkSession)
@@ -143,11 +154,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         """Length, positional and sketch filters, and the number of bits in which sketches differ."""
         n = lambda r: F.shiftright(F.col(f"{r}np"), 32)
         left = lambda r: n(r) - F.col(f"{r}np").bitwiseAND(F.lit((1 << 32) - 1))
-        overlap = F.ceil((n(x) + n(y)) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+        overlap = _overlap(n(x), n(y), percent)
         far = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig")))
         return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (F.least(left(x), left(y)) >= overlap) & (far <= n(x) + n(y) - 2 * overlap), far
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, narrow_first: bool = False) -> DataFrame:
         """(mid, rid, key, no) of the later lines of the pairs (x, y) that reach the threshold."""
         ends = pairs.select(F.col("x").alias("mid")).union(pairs.select(F.col("y").alias("mid"))).distinct()
         ends = tmp.keep(ends, f"{name}-ends")
@@ -159,12 +170,19 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         full = some.where(wanted).select("rid", "key", "no", codes(F.col("line"), ranks).alias("codes")).join(who, ["rid", "key", "no"])
         full = tmp.keep(full.select("mid", place().alias("at"), F.size("codes").alias("n"), "codes").dropDuplicates(["mid"]), f"{name}-full")
         side = lambda r: full.select(F.col("mid").alias(r), F.struct("mid", "at", "n", "codes").alias(f"s{r}"))
-        both = salted_join(pairs.select("x", "y").join(side("x"), "x"), side("y"), ["y"], total)
-        same = F.size(F.array_intersect("sx.codes", "sy.codes"))
+        pairs = pairs.select("x", "y")
+        if narrow_first:  # many pairs: wider sketches decide most before the sets are sent
+            thin = tmp.keep(full.select("mid", "n", _wide(F.col("codes")).alias("wide")), f"{name}-wide")
+            t = lambda r: thin.select(F.col("mid").alias(r), F.col("n").alias(f"n{r}"), F.col("wide").alias(f"w{r}"))
+            seen = salted_join(pairs.join(t("x"), "x"), t("y"), ["y"], total)
+            far = sum((F.bit_count(F.col("wx")[k].bitwiseXOR(F.col("wy")[k])) for k in range(4)), F.lit(0))
+            pairs = tmp.keep(seen.where(far <= F.col("nx") + F.col("ny") - 2 * _overlap(F.col("nx"), F.col("ny"), percent)).select("x", "y"), f"{name}-narrowed")
+        both = salted_join(pairs.join(side("x"), "x"), side("y"), ["y"], total)
+        same = F.size(F.array_intersect(F.col("sx.codes"), F.col("sy.codes")))
         both = both.withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("sx.n") + F.col("sy.n") - F.col("same")))
         found = both.select(F.when(F.col("sx.at") > F.col("sy.at"), F.struct("sx.mid", "sx.at")).otherwise(F.struct("sy.mid", "sy.at")).alias("z")).distinct()
         found = tmp.keep(found.select("z.mid", "z.at.*"), name)
-        for part in ("ends", "who", "full"):
+        for part in ("ends", "who", "full", "wide", "narrowed"):
             tmp.drop(f"{name}-{part}")
         return found
 
@@ -203,7 +221,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
     rest, _ = candidates(x, some.where(maybe))
     rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
-    matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
+    matched = settled.union(verified(rest, "rest", True)).select("rid", "key", "no")
     for name in ("lists", "firsts", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
         tmp.drop(name)
     return later.union(matched).distinct()
