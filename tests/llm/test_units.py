@@ -1,34 +1,59 @@
-from tests.llm.util import corpus, empty, frame, long_text, words
+import random
+import re
+
+from tests.llm.util import corpus, empty, frame, long_text, prose, vocabulary
 
 from skarn.llm.units import dedup_units, unit_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows, least=8):
+PUNCTUATION = re.compile("[!-/:-@\\[-`{-~]")
+PIECE = re.compile(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)")
+
+
+def sentences(t):
+    """(start, end, normalised words) of the sentences of a text that have words."""
+    out, now, start = [], [], None
+    pieces = list(PIECE.finditer(t))
+    for k, m in enumerate(pieces):
+        start = m.start() if start is None else start
+        now += [w for w in [PUNCTUATION.sub("", m[1].translate(LOWER))] if w]
+        if m[1][-1] in ".!?。！？" or "\n" in m[2] or k == len(pieces) - 1:
+            if now:
+                out.append((start, m.end(), now))
+            now, start = [], None
+    return out
+
+
+def paragraphs(t, least):
+    s = sentences(t)
+    for a in range(len(s)):
+        w = []
+        for b in range(a, len(s)):
+            w += s[b][2]
+            if len(w) >= least:
+                yield a, s[a][0], s[b][1], tuple(w)
+                break
+
+
+def brute(rows, least=16):
     big = 2**63 - 1
     first: dict = {}
     for i, t, *_ in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            w = tuple(words(line.translate(LOWER)))
-            if len(w) >= least:
-                first[w] = min(first.get(w, (big + 1, 0)), (big if i is None else i, n))
+        for n, _, _, w in paragraphs(t or "", least):
+            first[w] = min(first.get(w, (big + 1, 0)), (big if i is None else i, n))
     out = []
     for i, t, *_ in rows:
-        kept, spans, at = [], [], 0
-        for n, line in enumerate((t or "").split("\n")):
-            w = tuple(words(line.translate(LOWER)))
-            if len(w) >= least and first[w] < (big if i is None else i, n):
-                spans.append(f"{at}-{at + len(line)}")
-            else:
-                kept.append(line)
-            at += len(line) + 1
-        out.append((i, len(spans), " ".join(spans), "\n".join(kept)))
+        t = t or ""
+        gone = {p for n, x, y, w in paragraphs(t, least) if first[w] < (big if i is None else i, n) for p in range(x, y)}
+        spans = [p for p in sorted(gone) if p - 1 not in gone], [p + 1 for p in sorted(gone) if p + 1 not in gone]
+        out.append((i, len(spans[0]), " ".join(f"{x}-{y}" for x, y in zip(*spans)), "".join(c for p, c in enumerate(t) if p not in gone)))
     return sorted(out, key=str)
 
 
 def test_against_brute_force(spark):
-    rows = corpus(3, 60) + [(900, long_text(20_000), "en", "s1"), (901, "É " * 9 + "\n" + "é " * 9 + "\n" + "E " * 9 + "\n" + "e " * 9, "", "")]
+    rows = corpus(3, 60) + [(900, long_text(20_000), "en", "s1"), (901, "É " * 17 + "\n" + "é " * 17 + "\n" + "E " * 17 + "\n" + "e " * 17, "", ""), (902, "一 " * 20 + "二。 " + "e - " * 17 + "--\n ...\n" + "E " * 16, "", "")]
     rows = [r for r in rows if r[0] is not None] + [(None, "null id text that has at least eight words here", None, None)]
     got = sorted(((r.doc_id, r.n_removed, r.removed, r.text) for r in unit_dedup(frame(spark, rows)).collect()), key=str)
     assert got == brute(rows)
@@ -41,3 +66,25 @@ def test_rows_pass_through(spark):
 
 def test_empty(spark):
     assert unit_dedup(empty(spark)).count() == 0
+
+
+def test_passages_within_lines_are_caught_and_stock_lines_stay(spark):
+    """Passages of over 50 words set into the middle of lines, re-broken and re-marked; documents that share a short line only."""
+    r = random.Random(5)
+    v = vocabulary(5)
+    say = lambda n: " ".join(prose(r, v, r.randint(4, 14), 99).capitalize() + "." for _ in range(n))
+    passages = [" ".join(prose(r, v, k, 99).capitalize() + "." for k in (9, 12, 7, 14, 12)) for _ in range(8)]
+    changed = lambda p: p.replace(". ", "!\n", 1).replace(". ", " .\n ", 1).upper()
+    stock = prose(r, v, 13, 99)
+    clean = [(i, f"{say(8)}\n{stock}\n{say(6)}", "", "") for i in range(40)]
+    holders = [(100 + 2 * k + j, f"{say(5)} {prose(r, v, 6, 99)} {changed(p) if j else p} {say(6)}", "", "") for k, p in enumerate(passages) for j in (0, 1)]
+    out = {x.doc_id: x for x in unit_dedup(frame(spark, clean + holders)).collect()}
+    assert all(out[i].n_removed == 0 for i, *_ in clean)
+    assert all(out[100 + 2 * k].n_removed == 0 and out[101 + 2 * k].n_chars_removed > 0.6 * len(passages[k]) for k in range(len(passages)))
+
+
+def test_a_hot_unit_is_dealt_over_salts(spark):
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(i, f"own{i} " * 20 + "\n" + line, "", "") for i in range(6000)]
+    out = unit_dedup(frame(spark, rows)).groupBy("n_removed").count().collect()
+    assert {x.n_removed: x["count"] for x in out} == {0: 1, 1: 5999}
