@@ -9,7 +9,7 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   them.  Any order common to all lines keeps the join exact; counting classes keeps it a table of fixed size.
 * Prefix filter: two sets that reach the threshold share a word among the first n - ceil(t n) + 1 of each.
   Only those words are listed, and words listed once are dropped.  Length and positional filters prune pairs,
-  and so does a 64-bit parity sketch of each set: every bit in which two sketches differ takes one word that
+  and so does a 128-bit parity sketch of each set: every bit in which two sketches differ takes one word that
   only one of the sets has, so no pair within the threshold is lost.
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
   take their closest other candidate by sketch, and only those that then still have untested candidates are
@@ -91,16 +91,11 @@ def line_sets(lines: DataFrame, ranks: Column, min_words: int = MIN_WORDS) -> Da
     return sets.withColumn("n", F.size("codes")).where(F.col("n") >= min_words)
 
 
-def _sketch(codes: Column) -> Column:
-    """Parities of the numbers of codes that fall into each of 64 classes."""
+def _sketch(codes: Column, k: int) -> Column:
+    """Parities of the numbers of codes that fall into each of 64 classes, of the half of them that k names."""
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
-
-
-def _wide(codes: Column) -> Column:
-    """The like over 256 classes, as four numbers."""
-    of = lambda k: F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == k)
-    return F.array(*(_sketch(of(k)) for k in range(4)))
+    half = F.filter(codes, lambda c: c.bitwiseAND(F.lit(64)) == F.lit(64 * k))
+    return F.aggregate(half, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -121,7 +116,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     sets = line_sets(lines, ranks, min_words).select(
         "mid", "rid", "key", "no", "n",
-        F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes")).alias("sig"), F.slice("codes", F.lit(1), room).alias("prefix"),
+        F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes"), 0).alias("s0"), _sketch(F.col("codes"), 1).alias("s1"), F.slice("codes", F.lit(1), room).alias("prefix"),
     )
     base = tmp.keep(sets, "base")
     total = base.count()
@@ -134,16 +129,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     later = tmp.keep(narrow.where(place() > F.struct("first.rid", "first.key", "first.no")).select("rid", "key", "no"), "later")
     firsts = narrow.where(F.col("first").isNull() | (F.col("mid") == F.col("first.mid"))).select("mid")
     once, least = flagged.where("not is_copied"), flagged.where("is_copied").join(firsts, "mid", "left_semi")
-    firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "sig", "prefix").union(least.select("mid", "rid", "key", "no", "n", "sig", "prefix")), "firsts")
+    firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix").union(least.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix")), "firsts")
     tmp.drop("base")
     tmp.drop("narrow")
 
-    # (code, mid, rid, sig, np, c): every listed prefix word with the first line of its list
+    # (code, mid, rid, s0, s1, np, c): every listed prefix word with the first line of its list
     np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
-    entries = firsts.select("mid", "rid", "sig", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "sig", np)
+    entries = firsts.select("mid", "rid", "s0", "s1", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", np)
     many = words >> 12  # a word in more lines than this: there are at most 4,096 such
     above = next((r for r, c in enumerate(counts) if c > many), BUCKETS - 1)
-    entry = F.struct("rid", "mid", "sig", "np")
+    entry = F.struct("rid", "mid", "s0", "s1", "np")
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(above << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many).drop("times"), "hot")
     so_far = Window.partitionBy("code").orderBy("rid", "mid")
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
@@ -155,10 +150,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         n = lambda r: F.shiftright(F.col(f"{r}np"), 32)
         left = lambda r: n(r) - F.col(f"{r}np").bitwiseAND(F.lit((1 << 32) - 1))
         overlap = _overlap(n(x), n(y), percent)
-        far = F.bit_count(F.col(f"{x}sig").bitwiseXOR(F.col(f"{y}sig")))
+        far = sum((F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in (0, 1)), F.lit(0))
         return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (F.least(left(x), left(y)) >= overlap) & (far <= n(x) + n(y) - 2 * overlap), far
 
-    def verified(pairs: DataFrame, name: str, narrow_first: bool = False) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(mid, rid, key, no) of the later lines of the pairs (x, y) that reach the threshold."""
         ends = pairs.select(F.col("x").alias("mid")).union(pairs.select(F.col("y").alias("mid"))).distinct()
         ends = tmp.keep(ends, f"{name}-ends")
@@ -170,19 +165,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         full = some.where(wanted).select("rid", "key", "no", codes(F.col("line"), ranks).alias("codes")).join(who, ["rid", "key", "no"])
         full = tmp.keep(full.select("mid", place().alias("at"), F.size("codes").alias("n"), "codes").dropDuplicates(["mid"]), f"{name}-full")
         side = lambda r: full.select(F.col("mid").alias(r), F.struct("mid", "at", "n", "codes").alias(f"s{r}"))
-        pairs = pairs.select("x", "y")
-        if narrow_first:  # many pairs: wider sketches decide most before the sets are sent
-            thin = tmp.keep(full.select("mid", "n", _wide(F.col("codes")).alias("wide")), f"{name}-wide")
-            t = lambda r: thin.select(F.col("mid").alias(r), F.col("n").alias(f"n{r}"), F.col("wide").alias(f"w{r}"))
-            seen = salted_join(pairs.join(t("x"), "x"), t("y"), ["y"], total)
-            far = sum((F.bit_count(F.col("wx")[k].bitwiseXOR(F.col("wy")[k])) for k in range(4)), F.lit(0))
-            pairs = tmp.keep(seen.where(far <= F.col("nx") + F.col("ny") - 2 * _overlap(F.col("nx"), F.col("ny"), percent)).select("x", "y"), f"{name}-narrowed")
-        both = salted_join(pairs.join(side("x"), "x"), side("y"), ["y"], total)
+        both = salted_join(pairs.select("x", "y").join(side("x"), "x"), side("y"), ["y"], total)
         same = F.size(F.array_intersect(F.col("sx.codes"), F.col("sy.codes")))
         both = both.withColumn("same", same).where(100 * F.col("same") >= percent * (F.col("sx.n") + F.col("sy.n") - F.col("same")))
         found = both.select(F.when(F.col("sx.at") > F.col("sy.at"), F.struct("sx.mid", "sx.at")).otherwise(F.struct("sy.mid", "sy.at")).alias("z")).distinct()
         found = tmp.keep(found.select("z.mid", "z.at.*"), name)
-        for part in ("ends", "who", "full", "wide", "narrowed"):
+        for part in ("ends", "who", "full"):
             tmp.drop(f"{name}-{part}")
         return found
 
@@ -204,8 +192,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         return out.where(~F.col("maybe") | kept).drop("maybe", "wrong")
 
     def candidates(x: DataFrame, y: DataFrame) -> tuple[DataFrame, Column]:
-        x = x.select("code", *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "sig", "np")))
-        y = y.select("code", F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "sig", "np")))
+        x = x.select("code", *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
+        y = y.select("code", F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
         fits, far = near("x_", "y_")
         return x.join(y, "code").where((F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
 
@@ -217,11 +205,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     # those that matched neither, with all candidates
     open_ = tmp.keep(star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).distinct().join(settled, "mid", "left_anti"), "open")
     some, maybe = may_be_in(lists, bitmap(open_.select(F.xxhash64("mid").alias("h")), "open"), "open", F.xxhash64("mid"))
-    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "sig", "np").join(open_, "mid", "left_semi"), "open-lists")
+    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "s0", "s1", "np").join(open_, "mid", "left_semi"), "open-lists")
     some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
     rest, _ = candidates(x, some.where(maybe))
     rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
-    matched = settled.union(verified(rest, "rest", True)).select("rid", "key", "no")
+    matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
     for name in ("lists", "firsts", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
         tmp.drop(name)
     return later.union(matched).distinct()
