@@ -144,6 +144,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
     ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next")).where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).drop("next")
     lists = tmp.keep(ranked.union(entries.join(F.broadcast(hot), "code")), "lists")
+    ids = tmp.keep(firsts.select("mid", "rid", "key", "no"), "ids")
+    tmp.drop("firsts")
 
     def near(x: str, y: str) -> tuple[Column, Column]:
         """Length, positional and sketch filters, and the number of bits in which sketches differ."""
@@ -157,7 +159,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         """(mid, rid, key, no) of the later lines of the pairs (x, y) that reach the threshold."""
         ends = pairs.select(F.col("x").alias("mid")).union(pairs.select(F.col("y").alias("mid"))).distinct()
         ends = tmp.keep(ends, f"{name}-ends")
-        some, wanted = may_be_in(firsts, bitmap(ends.select(F.xxhash64("mid").alias("h")), "wanted"), "wanted", F.xxhash64("mid"))
+        some, wanted = may_be_in(ids, bitmap(ends.select(F.xxhash64("mid").alias("h")), "wanted"), "wanted", F.xxhash64("mid"))
         who = tmp.keep(some.where(wanted).select("mid", "rid", "key", "no").join(ends, "mid", "left_semi"), f"{name}-who")
         mark = F.xxhash64("rid", "key", "no")
         some, there = may_be_in(docs.select(id_col, text_col), bitmap(who.select(F.xxhash64("key").alias("h")), "there"), "there", F.xxhash64(_key(F.col(text_col))))
@@ -184,7 +186,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     def left_out(rows: DataFrame, mid: str, done: DataFrame) -> DataFrame:
         h = F.xxhash64(mid)
         bits = bitmap(done.select(F.xxhash64("mid").alias("h")), "done")
-        some, maybe = may_be_in(firsts.select("mid"), bits, "done", F.xxhash64("mid"))
+        some, maybe = may_be_in(ids.select("mid"), bits, "done", F.xxhash64("mid"))
         wrong = tmp.keep(some.where(maybe).select("mid").join(done, "mid", "left_anti"), "wrong")
         out, maybe = may_be_in(rows, bits, "done", h, "left")
         out = out.withColumn("maybe", maybe).drop("done")
@@ -192,25 +194,27 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         return out.where(~F.col("maybe") | kept).drop("maybe", "wrong")
 
     def candidates(x: DataFrame, y: DataFrame) -> tuple[DataFrame, Column]:
-        x = x.select("code", *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
+        # both sides have the same c; comparing them has both read the same columns, so that they can share an exchange
+        x = x.select("code", F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
         y = y.select("code", F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
         fits, far = near("x_", "y_")
-        return x.join(y, "code").where((F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
+        return x.join(y, "code").where((F.col("x_c") <= F.col("c_mid")) & (F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
 
-    pairs, far = candidates(left_out(lists, "mid", settled), lists)
-    best = pairs.where("y_mid != c_mid").groupBy(F.col("x_mid").alias("x")).agg(F.min(F.struct(far.alias("far"), F.col("y_mid").alias("y"))).alias("best"))
+    dealt = lists.repartition("code")  # one exchange for both sides, which are told apart behind it
+    pairs, far = candidates(left_out(dealt, "mid", settled), dealt)
+    best = pairs.where("y_mid != x_c").groupBy(F.col("x_mid").alias("x")).agg(F.min(F.struct(far.alias("far"), F.col("y_mid").alias("y"))).alias("best"))
     best = tmp.keep(best.select("x", "best.y"), "best-pairs")
     settled = settled.union(verified(best, "best"))
 
     # those that matched neither, with all candidates
     open_ = tmp.keep(star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).distinct().join(settled, "mid", "left_anti"), "open")
     some, maybe = may_be_in(lists, bitmap(open_.select(F.xxhash64("mid").alias("h")), "open"), "open", F.xxhash64("mid"))
-    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "s0", "s1", "np").join(open_, "mid", "left_semi"), "open-lists")
+    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "s0", "s1", "np", "c").join(open_, "mid", "left_semi"), "open-lists")
     some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
     rest, _ = candidates(x, some.where(maybe))
     rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
     matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
-    for name in ("lists", "firsts", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
+    for name in ("lists", "ids", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
         tmp.drop(name)
     return later.union(matched).distinct()
 
