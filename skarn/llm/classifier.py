@@ -14,7 +14,8 @@
 
 Null texts count as empty; null hosts and paths form sites of their own; repeated rows and null ids are
 scored like others.  With no labels, or one class only, that head falls back to the prior rate (0.05), and
-documents are kept.  Input columns are returned unchanged, whatever their names, with one struct beside them.
+documents are kept.  Lexicon words of equal score rank by the number of documents that hold them, then by hash.
+Input columns are returned unchanged, whatever their names, with one struct beside them.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.features import chunk_stats
-from skarn.llm.session import cut
+from skarn.llm.session import Scratch, cut
+from skarn.llm.skew import salted_join
 from skarn.llm.textops import Chunk, chunks, plain_hashes
 
 MAX_LABELLED = 20_000
 LEXICON = 512
+#: Sites up to this number are broadcast (some 15 MB).
+MAX_BROADCAST = 200_000
 EVIDENCE = "low double, toxic double"
 
 
@@ -190,22 +194,30 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "host_p", ((F.col("s") + kp * F.col("host_p")) / (F.col("n") + kp)).alias("path_p")), rate
 
 
-def classify(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """struct column ``row`` (the input row) beside p_low, p_toxic, host_p, path_p, p_reject and kept."""
+def classify(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """struct column ``row`` (these columns of the input row, or all) beside p_low, p_toxic, host_p, path_p, p_reject and kept.
+
+    Every text is scored once, and the scores are kept with the rows in a table.
+    """
+    tmp = Scratch(docs.sparkSession)
     none = F.lit("\u0000none")
     key = lambda c: F.coalesce(docs[c].cast("string"), none)
-    scored = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key(host_col).alias("host"), key(path_col).alias("path"), model.column(docs[text_col].cast("string")).alias("e"))
+    row = F.struct(*(docs[c] for c in columns or docs.columns)).alias("row")
+    scored = tmp.keep(docs.select(row, key(host_col).alias("host"), key(path_col).alias("path"), model.column(docs[text_col].cast("string")).alias("e")), "scored")
     reject = 1 - (1 - F.col("e.low")) * (1 - F.col("e.toxic"))
     sites, rate = site_posteriors(scored.select("host", "path", reject.alias("p")))
     odds = lambda p: F.log(p) - F.log(1 - p)
     safe = F.least(F.greatest(reject, F.lit(1e-9)), F.lit(1 - 1e-9))
     post = 1 / (1 + F.exp(-(odds(safe) + odds(F.col("path_p")) - float(np.log(rate / (1 - rate))))))
-    return scored.join(sites, ["host", "path"]).select("row", "host_p", "path_p", F.col("e.low").alias("p_low"), F.col("e.toxic").alias("p_toxic"), post.alias("p_reject"), (post < 0.5).alias("kept"))
+    sites = tmp.keep(sites, "sites")
+    # a hot host's rows are not gathered by key: few sites are broadcast, more are met over salts
+    joined = scored.join(F.broadcast(sites), ["host", "path"]) if sites.count() <= MAX_BROADCAST else salted_join(scored, sites, ["host", "path"], scored.count())
+    return joined.select("row", "host_p", "path_p", F.col("e.low").alias("p_low"), F.col("e.toxic").alias("p_toxic"), post.alias("p_reject"), (post < 0.5).alias("kept"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Digest of classify(): scores and verdict of every document."""
-    out = classify(docs, train(docs, labels))
+    out = classify(docs, train(docs, labels), columns=["doc_id"])
     r6 = lambda c: F.round(c, 6).alias(c)
     return out.select(F.col("row.doc_id").alias("doc_id"), r6("p_low"), r6("p_toxic"), r6("host_p"), r6("path_p"), r6("p_reject"), "kept")
 
