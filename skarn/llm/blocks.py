@@ -4,7 +4,8 @@ The scanner is forgiving: unclosed, misnested and truncated mark-up gives the bl
 Character references are decoded, white space becomes single spaces, and the content of scripts, styles,
 text fields, frames, drawings (svg), templates, comments and the head is no text.  A drawing or template
 without an end ends with its parent, a drawing also at a block-level tag of its own; a head ends at the first
-tag or text that belongs to the body; an unclosed style, title, text field or frame ends at the next tag.
+tag or text that belongs to the body; an unclosed style, title, text field or frame ends at the next tag, and an
+unclosed script at the end of the page, as in a browser.  Elements go by their whole name: <title-bar> is no title.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 # HTML element names by role.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "style|iframe|textarea|title"
+_RAW = frozenset("script style iframe textarea title".split())
 #: Elements whose content is no text, and what a head may hold.
 _SKIP = frozenset(("svg", "template", "head"))
 _IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -40,26 +41,82 @@ _PAIRS = (("header", "article"), ("footer", "article"), ("ul", "article"), ("sec
 NAMES = [*(f"in {t}" for t in _TAGS), *(f"named {c}" for c in _WORDS), *(f"under {t}" for t in _TAGS), "hidden", *(f"{a} in {b}" for a, b in _PAIRS), "plain", "main or article", "bias", *_TEXT]
 INDEX = {n: i for i, n in enumerate(NAMES)}
 
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<script>script)\b[^>]*>.*?(?:</script\s*>|\Z)|<(?P<raw>{_RAW})\b[^>]*>(?:(?<=/>)|.*?</(?P=raw)\s*>|[^<]*)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^<]*\Z""",
-    re.DOTALL | re.IGNORECASE,
-)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_ATTR = re.compile(r"""[\s/]*([^\s/>=]+|=[^\s/>=]*)?(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _bits(tag: str, attrs: str) -> int:
+def _tokens(page: str):
+    """(start, end, closing, tag, attributes, self-closed) of every tag and, without a tag, of every stretch that is no text.
+
+    One pass: what is looked for and not there is looked for once.  Quotes hold a value only behind an equals sign; a
+    tag whose quotes run on to the end of the page ends at the first >, and quotes count no more from there.
+    """
+    at, size, quotes = 0, len(page), True
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        k = -1 if what in missing else page.find(what, start)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    while (lt := page.find("<", at)) >= 0:
+        kind = page[lt + 1 : lt + 2]
+        if kind in ("!", "?") or kind == "/" and not page[lt + 2 : lt + 3].isascii() or kind == "/" and not page[lt + 2 : lt + 3].isalpha():
+            mark = "-->" if page.startswith("<!--", lt) else ">"
+            k = find(mark, lt + 4 if mark == "-->" else lt)
+            at = size if k < 0 else k + len(mark)
+            yield lt, at, False, None, (), False
+            continue
+        closing = kind == "/"
+        name = _NAME.match(page, lt + 1 + closing)
+        if name is None:
+            at = lt + 1  # a sign in the text
+            continue
+        tag, p, attrs = name[0].lower(), name.end(), []
+        while quotes and p < size and page[p] != ">":
+            m = _ATTR.match(page, p)
+            if m.end() == p:
+                p += 1
+                continue
+            if m[1]:
+                attrs.append((m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")))
+            p = m.end()
+        if p >= size or not quotes:
+            quotes, attrs = False, []
+            p = find(">", lt)
+            if p < 0:
+                k = page.find("<", lt + 1)
+                at = size if k < 0 else k
+                yield lt, at, False, None, (), False
+                continue
+        at = p + 1
+        bare = page[p - 1] == "/" and not (attrs and attrs[-1][1].endswith("/"))
+        if closing or tag not in _RAW:
+            yield lt, at, closing, tag, attrs, bare
+            continue
+        if not bare:
+            end = None if tag in missing else re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                missing.add(tag)
+                k = -1 if tag == "script" else page.find("<", at)
+                at = size if k < 0 else k
+        yield lt, at, False, None, (), False
+
+
+def _bits(tag: str, attrs: list[tuple[str, str]]) -> int:
     """Features that an element passes on to the blocks in it."""
     mask = 1 << INDEX[f"in {tag}"] if f"in {tag}" in INDEX else 0
-    if attrs:
-        for name, value in _ATTR.findall(attrs):
-            name = name.lower()
-            if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                mask |= 1 << INDEX["hidden"]
-            elif name != "style":
-                for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value.strip("\"'")).lower()):
-                    if w in _CATEGORY:
-                        mask |= 1 << INDEX[f"named {_CATEGORY[w]}"]
+    for name, value in attrs:
+        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            mask |= 1 << INDEX["hidden"]
+        elif name in ("class", "id", "role"):
+            for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()):
+                if w in _CATEGORY:
+                    mask |= 1 << INDEX[f"named {_CATEGORY[w]}"]
     return mask
 
 
@@ -120,15 +177,13 @@ def leaf_blocks(page: str) -> list[tuple[str, int]]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, closing, tag, attrs, bare in _tokens(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["close"]:
+        if closing:
             if tag in _BLOCK and not skipped:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
@@ -157,8 +212,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int]]:
                     break
         if tag in _VOID:
             continue
-        if not m["attrs"].endswith("/"):
-            stack.append((tag, stack[-1][1] | _bits(tag, m["attrs"])))
+        if not bare:
+            stack.append((tag, stack[-1][1] | _bits(tag, attrs)))
             links += tag == "a"
             skipped += tag in _SKIP
     if at < len(page):

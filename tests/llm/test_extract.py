@@ -1,4 +1,8 @@
-from skarn.llm.blocks import leaf_blocks
+import itertools
+import random
+import time
+
+from skarn.llm.blocks import INDEX, leaf_blocks
 from skarn.llm.extract import extract_text, labelled_blocks, train
 
 
@@ -52,3 +56,35 @@ def test_raw_elements_do_not_swallow_what_follows():
     assert texts("<head><title>t</title><p>a</p><p>b</p>") == texts("<head><meta charset=utf-8><title>t<p>a<p>b") == ["a", "b"]
     assert texts("<p>a <math><mi>x</mi></math> b <object>c</object> <noscript>d</noscript></p>") == ["a x b c d"]
     assert texts("<p>a</p><svg><title/></svg><p>b</p><svg><title>t</title><text>s</text></svg><template><div>u</div></template>") == ["a", "b"]
+
+
+def test_custom_elements_and_attributes_go_by_their_whole_name():
+    for odd in ("<svg-icon></svg-icon>", "<title-bar>", "<script-x>", "<style-guide></style-guide>", '<svg class="i"/>', '<iframe src="x"/>', "<textarea-x/>"):
+        assert texts(f"{odd}<article><p>kept</p></article>") == ["kept"], odd
+    hidden = INDEX["hidden"]
+    mask = lambda attrs: leaf_blocks(f"<div {attrs}>x</div>")[0][1]
+    assert not mask('aria-hidden="false"') >> hidden & 1 and not mask('title="hidden gem"') >> hidden & 1
+    assert mask("hidden") >> hidden & 1 and mask('style="display: none"') >> hidden & 1
+    ad = INDEX["named ad"]
+    assert not mask('data-class="ad"') >> ad & 1 and mask("class=ad") >> ad & 1 and mask("CLASS='box ad'") >> ad & 1
+    assert texts('<p>a<a href=/>b</a>c</p><p title="x > y" data-q=\'<p>\'>d') == ["abc", "d"]
+    assert texts('<p>a</p><p title="never closed>b</p><p>c</p>') == ["a", "b", "c"]
+
+
+def test_careless_pages_take_linear_time_and_no_recursion():
+    for page in ('<a "' * 100_000, "<a x='" * 100_001, '<a x="' * 100_001, "<head><body>" * 10_000, "<title>" * 50_000, "<div" * 100_000, "<!-" * 100_000, "<a " + "b " * 200_000, "</" * 100_000):
+        began = time.perf_counter()
+        leaf_blocks(page)
+        assert time.perf_counter() - began < 3, page[:20]
+
+
+def test_viterbi_equals_enumeration():
+    model, r = train(), random.Random(4)
+    for _ in range(40):
+        masks = labelled_blocks(60_000 + r.randrange(1000))[0]
+        at = r.randrange(max(1, len(masks) - 9))
+        masks = masks[at : at + r.randint(1, 9)]
+        e = [model.score(m) for m in masks]
+        value = lambda y: model.begin[y[0]] + sum(e[k][y[k]] for k in range(len(y))) + sum(model.move[y[k - 1]][y[k]] for k in range(1, len(y)))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=len(masks)), key=value)
+        assert abs(value(best) - value(model.decode(masks))) < 1e-9
