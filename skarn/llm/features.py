@@ -9,8 +9,9 @@ from skarn.llm.textops import chunks, doc_keys, grams
 
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_distinct", "n_upper", "n_letters", "n_digits", "n_bang", "n_pipe", "n_lines",
+    "n_distinct", "n_upper", "n_letters", "n_digits", "n_bang", "n_pipe", "n_lines", "n_varied",
 )
+WINDOW = 256
 
 
 def _lut(chars: str) -> np.ndarray:
@@ -52,6 +53,10 @@ def chunk_stats(c) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = count(doc[covered])
     _, first = np.unique(doc_keys(h, doc), return_index=True)
     out["n_distinct"] = count(doc[first])
+    # words that are new in their stretch of WINDOW words: unlike n_distinct, no smaller a share in longer texts
+    place = np.arange(len(h)) - np.searchsorted(doc, doc)
+    _, first = np.unique(doc_keys(h, doc * (1 << 32) + place // WINDOW), return_index=True)
+    out["n_varied"] = count(doc[first])
     for name, t in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_letters", _LETTER), ("n_digits", _DIGIT)):
         out[name] = c.per_doc(t[c.data])
     out["n_bang"] = c.per_doc(c.data == 33)

@@ -22,8 +22,8 @@ from skarn.llm.session import cut
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Prior rates of a bad vote on a good and on a bad document, and the latter's weight beside the corpus.
-FALSE_ALARM, HIT, HIT_WEIGHT = 0.002, 0.3, 0.05
+#: Prior rates of a bad vote on a good and on a bad document, and the number of documents that they count as.
+FALSE_ALARM, HIT, PSEUDO = 0.002, 0.3, 1000
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -44,7 +44,7 @@ RULES: dict[str, tuple] = {
     "capitals": (lambda: _ratio("n_upper", "n_letters") < 0.1, lambda: _ratio("n_upper", "n_letters") > 0.3),
     "exclaims": (lambda: _ratio("n_bang", "n_words") < 0.02, lambda: _ratio("n_bang", "n_words") > 0.1),
     "tables": (lambda: _ratio("n_pipe", "n_words") < 0.02, lambda: _ratio("n_pipe", "n_words") > 0.1),
-    "variety": (lambda: _ratio("n_distinct", "n_words") > 0.25, lambda: (F.col("n_words") < 2000) & (_ratio("n_distinct", "n_words") < 0.2)),
+    "variety": (lambda: _ratio("n_varied", "n_words") > 0.25, lambda: _ratio("n_varied", "n_words") < 0.2),
 }
 
 
@@ -69,8 +69,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: i
     """Posterior probability of good for each row of patterns (votes -1, 0, 1), seen counts times.
 
     Classes start from the balance of votes.  The priors say what the rules were written for: a bad vote on a
-    good document is rare.  They weigh as much as the data, so that defects which exclude each other (a page
-    of symbols is seldom also in capitals) still fall into one class.
+    good document is rare.  They count as PSEUDO documents, so that the data decide wherever there are more.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -81,13 +80,13 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: i
     total = counts.sum()
     for _ in range(rounds):
         w1, w0 = counts * post, counts * (1 - post)
-        p = (w1.sum() + total * prior) / (2 * total)
+        p = (w1.sum() + PSEUDO * prior) / (total + PSEUDO)
         logit = np.full(n, np.log(p) - np.log(1 - p))
         for j in range(m):
             bad_vote, good_vote = patterns[:, j] == -1, patterns[:, j] == 1
             voted = bad_vote | good_vote  # abstaining says nothing about the class
-            a = (w1[bad_vote].sum() + FALSE_ALARM * total) / (w1[voted].sum() + total)
-            b = (w0[bad_vote].sum() + HIT * HIT_WEIGHT * total) / (w0[voted].sum() + HIT_WEIGHT * total)
+            a = (w1[bad_vote].sum() + FALSE_ALARM * PSEUDO) / (w1[voted].sum() + PSEUDO)
+            b = (w0[bad_vote].sum() + HIT * PSEUDO) / (w0[voted].sum() + PSEUDO)
             logit[bad_vote] += np.log(a) - np.log(b)
             logit[good_vote] += np.log(1 - a) - np.log(1 - b)
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))

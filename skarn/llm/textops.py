@@ -133,12 +133,15 @@ _EDGE[[ord(x) for x in ".,;:!?\"'()[]%&$#*"]] = True
 
 
 def plain_hashes(c: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Word hashes without punctuation at the word's edges; c should be lower-cased."""
-    s, e = start.copy(), end.copy()
-    for _ in range(4):
-        e -= (e > s + 1) & _EDGE[c.data[e - 1]]
-    s += (e > s + 1) & _EDGE[c.data[s]]
-    return c.hashes(s, e)
+    """Word hashes without the punctuation at the word's edges, however much, but for one last character; c should be lower-cased."""
+    if not len(start):
+        return c.hashes(start, end)
+    at = np.arange(len(c.data))
+    inner = ~_EDGE[c.data]
+    before = np.maximum.accumulate(np.where(inner, at, -1))
+    after = np.minimum.accumulate(np.where(inner, at, len(c.data))[::-1])[::-1]
+    e = np.maximum(before[end - 1] + 1, start + 1)
+    return c.hashes(np.minimum(after[start], e - 1), e)
 
 
 def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,14 @@
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from tests.llm.util import WORD, corpus, empty, frame, long_text, prose, vocabulary
 
-from skarn.llm.classifier import _kappa, classify, keep_good, quality_classifier, train
+from skarn.llm.classifier import _kappa, classify, keep_good, quality_classifier, site_posteriors, train
 from skarn.llm.rules import RULES, fit, quality_rules
+from skarn.llm.textops import chunks, plain_hashes
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -91,3 +94,53 @@ def test_odd_tables(spark):
     kept = keep_good(frame(spark, rows), one)
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows)
     assert quality_classifier(empty(spark), one).count() == 0
+
+
+def test_posteriors_by_direct_em_over_rows(spark):
+    rows = corpus(21, 45) + [(700, "word " * 3000, "", ""), (701, " ".join(f"v{i % 700}" for i in range(5000)), "", "")]
+    out = quality_rules(frame(spark, rows)).collect()
+    names = [f"vote_{k}" for k in RULES]
+    v = [[r[n] for n in names] for r in out]
+    post = [0.98 if -1 not in x else 0.1 for x in v]
+    for _ in range(200):
+        p = (sum(post) + 1000 * 0.85) / (len(v) + 1000)
+        new = [math.log(p / (1 - p))] * len(v)
+        for j in range(len(names)):
+            a = (sum(w for w, x in zip(post, v) if x[j] == -1) + 0.002 * 1000) / (sum(w for w, x in zip(post, v) if x[j]) + 1000)
+            b = (sum(1 - w for w, x in zip(post, v) if x[j] == -1) + 0.3 * 1000) / (sum(1 - w for w, x in zip(post, v) if x[j]) + 1000)
+            new = [y + (math.log(a / b) if x[j] == -1 else math.log((1 - a) / (1 - b)) if x[j] == 1 else 0) for y, x in zip(new, v)]
+        new = [1 / (1 + math.exp(-y)) for y in new]
+        done, post = max(abs(x - y) for x, y in zip(new, post)) < 1e-9, new
+        if done:
+            break
+    assert all(abs(r.posterior - q) < 2e-6 and r.kept == (not r.base_failed and q >= 0.5) for r, q in zip(out, post))
+    by = {r.doc_id: r for r in out}
+    assert by[700].vote_variety == -1 and by[701].vote_variety == 1  # however long
+
+
+def test_punctuation_at_edges_goes_however_much():
+    c = next(chunks(pa.array(["word word...... (\"word\") ''word!!!!!!! ....... . x"])))
+    h = plain_hashes(c, *c.words())
+    assert len(set(h[:4].tolist())) == 1 and len(set(h.tolist())) == 3
+
+
+def test_site_posteriors_by_hand(spark):
+    ev = spark.createDataFrame([("a", "x", 1.0)] * 3 + [("a", "y", 0.0)] * 5 + [("b", "x", 0.0)] * 20 + [("b", "z", 0.5)], "host string, path string, p double")
+    sites, rate = site_posteriors(ev)
+    n, s = {("a", "x"): 3, ("a", "y"): 5, ("b", "x"): 20, ("b", "z"): 1}, {("a", "x"): 3.0, ("a", "y"): 0.0, ("b", "x"): 0.0, ("b", "z"): 0.5}
+    assert abs(rate - 3.5 / 29) < 1e-12
+
+    def kappa(groups):
+        total = sum(m for m, _, _ in groups)
+        p = sum(m * q for m, _, q in groups) / total
+        size = (total - sum(m * m for m, _, _ in groups) / total) / (len(groups) - 1)
+        spread = (sum(m * (x / m - q) ** 2 for m, x, q in groups) / (len(groups) - 1) - p * (1 - p)) / size
+        return min(max(p * (1 - p) / spread - 1, 5.0), 10_000.0) if spread > 1e-9 else 10_000.0
+
+    hosts = {h: (sum(n[k] for k in n if k[0] == h), sum(s[k] for k in s if k[0] == h)) for h in "ab"}
+    kh = kappa([(m, x, rate) for m, x in hosts.values()])
+    hp = {h: (x + kh * rate) / (m + kh) for h, (m, x) in hosts.items()}
+    kp = kappa([(n[k], s[k], hp[k[0]]) for k in n])
+    for r in sites.collect():
+        k = (r.host, r.path)
+        assert abs(r.host_p - hp[r.host]) < 1e-9 and abs(r.path_p - (s[k] + kp * hp[r.host]) / (n[k] + kp)) < 1e-9
