@@ -38,7 +38,8 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = 1, buckets: int
         F.coalesce(docs[source_col].cast("string"), F.lit("\u0000none")).alias("source"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")))).alias("draw"),
+        # rows without an id draw by their text, so that many of them do not share a bucket
+        F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("null-"), F.crc32(text).cast("string"), F.lit("-"), F.octet_length(text).cast("string"))))).alias("draw"),
     ).withColumn("bucket", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     # order inside a bucket must follow the bucket first: rank by (bucket, draw, ...)
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
