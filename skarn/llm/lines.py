@@ -12,8 +12,9 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   and so does a 128-bit parity sketch of each set: every bit in which two sketches differ takes one word that
   only one of the sets has, so no pair within the threshold is lost.
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
-  take their closest other candidate by sketch, and only those that then still have untested candidates are
-  compared with all of them.  So a line in thousands of variants costs a star of pairs.
+  take the closest by sketch of those beside them in a list, in blocks of about sixteen, and only those that
+  then still have untested candidates are compared with all of them.  So a line in thousands of variants costs
+  a star of pairs.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 * Words that lead many lists, copied lines and much-compared lines are counted; those with a large share of the
@@ -27,6 +28,9 @@ results.  Input columns keep their names and values, but for the text (and ``n_c
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ from skarn.llm.skew import salted_join
 PERCENT = 80
 MIN_WORDS = 5
 BUCKETS = 1 << 15
+HOT_BITS = 12
 _NONE = 2**63 - 1
 
 
@@ -60,17 +65,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("rid", "key", F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
 
 
-def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, int, list[int]]:
-    """Array of BUCKETS ranks of words, the class that the corpus uses least first; words in all; counts by rank."""
+def rarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, int, Callable[[int], int]]:
+    """Array of BUCKETS ranks of words, on a scale of logarithms, the words that the corpus uses least first; words in all; the rank of a count."""
     text = _blanks(F.col(text_col).cast("string"), "\t\n\x0b\x0c\r")
     word = docs.select(F.explode_outer(F.split(text, " ")).alias("word")).where("word != ''")
     seen = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # at most BUCKETS rows
+    rank = lambda n: int(16 * math.log2(n + 1))
     count = {r["bucket"]: r["count"] for r in seen}
-    order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>"), sum(count.values()), [count.get(b, 0) for b in order]
+    ranks = ",".join(str(rank(count.get(b, 0))) for b in range(BUCKETS))
+    return F.split(F.lit(ranks), ",").cast("array<bigint>"), sum(count.values()), rank
 
 
 def codes(line: Column, ranks: Column) -> Column:
@@ -110,7 +113,7 @@ def _overlap(x: Column, y: Column, percent: int) -> Column:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, key, no) of every line to remove; rid is the id, or the largest long for null, and key the text's hash."""
     tmp = Scratch(docs.sparkSession)
-    (ranks, words, counts), lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
+    (ranks, words, rank), lines = rarity(docs, id_col, text_col), _lines(docs, id_col, text_col)
     room = (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
     place = lambda r="": F.struct(*(F.col(f"{r}{c}") for c in ("rid", "key", "no")))
 
@@ -126,7 +129,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     flagged, copied = may_be_in(base, bitmap(copies.select(F.col("a").alias("h")), "copied"), "copied", F.col("a"), "left")
     flagged = flagged.withColumn("is_copied", copied)
     narrow = tmp.keep(salted_join(flagged.where("is_copied").select("mid", "rid", "key", "no", "a", "b"), copies, ["a", "b"], total, "left").drop("a", "b"), "narrow")
-    later = tmp.keep(narrow.where(place() > F.struct("first.rid", "first.key", "first.no")).select("rid", "key", "no"), "later")
+    later = tmp.keep(narrow.where(F.col("first").isNotNull() & (place() > F.struct("first.rid", "first.key", "first.no"))).select("rid", "key", "no"), "later")
     firsts = narrow.where(F.col("first").isNull() | (F.col("mid") == F.col("first.mid"))).select("mid")
     once, least = flagged.where("not is_copied"), flagged.where("is_copied").join(firsts, "mid", "left_semi")
     firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix").union(least.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix")), "firsts")
@@ -136,14 +139,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     # (code, mid, rid, s0, s1, np, c): every listed prefix word with the first line of its list
     np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
     entries = firsts.select("mid", "rid", "s0", "s1", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", np)
-    many = words >> 12  # a word in more lines than this: there are at most 4,096 such
-    above = next((r for r, c in enumerate(counts) if c > many), BUCKETS - 1)
+    many = words >> HOT_BITS  # words in more lines than this are at most 2 ** HOT_BITS
     entry = F.struct("rid", "mid", "s0", "s1", "np")
-    hot = tmp.keep(entries.where(F.col("code") >= F.lit(above << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many).drop("times"), "hot")
+    hot = tmp.keep(entries.where(F.col("code") >= F.lit(rank(many) << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many), "hot")
     so_far = Window.partitionBy("code").orderBy("rid", "mid")
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
-    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next")).where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).drop("next")
-    lists = tmp.keep(ranked.union(entries.join(F.broadcast(hot), "code")), "lists")
+    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("rid").over(so_far).alias("next"), F.row_number().over(so_far).alias("nth"))
+    ranked = ranked.where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).withColumn("block", F.shiftright(F.col("nth") - 1, 4))
+    ranked = ranked.withColumn("tie", F.coalesce(F.col("next") == F.col("rid"), F.lit(False))).drop("next", "nth")  # ties are in no set order
+    # a list too long to be numbered in one task falls into blocks by hash instead, some sixteen rows each
+    spread = entries.join(F.broadcast(hot.withColumnRenamed("times", "block")), "code").withColumn("block", F.pmod(F.xxhash64("mid"), F.greatest(F.shiftright("block", 4), F.lit(1))).cast("int") + 1).withColumn("tie", F.lit(True))
+    lists = tmp.keep(ranked.unionByName(spread), "lists")
     ids = tmp.keep(firsts.select("mid", "rid", "key", "no"), "ids")
     tmp.drop("firsts")
 
@@ -182,39 +188,44 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     star = tmp.keep(star.select("x", "best.y"), "star-pairs")
     settled = verified(star, "star")
 
-    # those that are left with their closest other candidate: the bitmaps leave out settled lines, but for some
+    # those that are left with the closest of the other lines in one of their blocks of about sixteen; the bitmaps leave out settled lines, but for some
+    turns = 0
+
     def left_out(rows: DataFrame, mid: str, done: DataFrame) -> DataFrame:
         h = F.xxhash64(mid)
         bits = bitmap(done.select(F.xxhash64("mid").alias("h")), "done")
         some, maybe = may_be_in(ids.select("mid"), bits, "done", F.xxhash64("mid"))
-        wrong = tmp.keep(some.where(maybe).select("mid").join(done, "mid", "left_anti"), "wrong")
+        nonlocal turns
+        turns += 1
+        wrong = tmp.keep(some.where(maybe).select("mid").join(done, "mid", "left_anti"), f"wrong-{turns}")
         out, maybe = may_be_in(rows, bits, "done", h, "left")
         out = out.withColumn("maybe", maybe).drop("done")
         out, kept = may_be_in(out, bitmap(wrong.select(F.xxhash64("mid").alias("h")), "wrong"), "wrong", h, "left")
         return out.where(~F.col("maybe") | kept).drop("maybe", "wrong")
 
-    def candidates(x: DataFrame, y: DataFrame) -> tuple[DataFrame, Column]:
+    def candidates(x: DataFrame, y: DataFrame, *within: str) -> tuple[DataFrame, Column]:
         # both sides have the same c; comparing them has both read the same columns, so that they can share an exchange
-        x = x.select("code", F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
-        y = y.select("code", F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
+        x = x.select("code", *within, F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
+        y = y.select("code", *within, F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
         fits, far = near("x_", "y_")
-        return x.join(y, "code").where((F.col("x_c") <= F.col("c_mid")) & (F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
+        return x.join(y, ["code", *within]).where((F.col("x_c") <= F.col("c_mid")) & (F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
 
-    dealt = lists.repartition("code")  # one exchange for both sides, which are told apart behind it
-    pairs, far = candidates(left_out(dealt, "mid", settled), dealt)
+    dealt = lists.repartition("code", "block")  # one exchange for both sides, which are told apart behind it
+    pairs, far = candidates(left_out(dealt, "mid", settled), dealt, "block")
     best = pairs.where("y_mid != x_c").groupBy(F.col("x_mid").alias("x")).agg(F.min(F.struct(far.alias("far"), F.col("y_mid").alias("y"))).alias("best"))
     best = tmp.keep(best.select("x", "best.y"), "best-pairs")
     settled = settled.union(verified(best, "best"))
 
-    # those that matched neither, with all candidates
-    open_ = tmp.keep(star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).distinct().join(settled, "mid", "left_anti"), "open")
+    # those that matched neither and have candidates yet, here or in other blocks, with all of them
+    tried = star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).union(left_out(lists.where("block > 0 or tie").select("mid"), "mid", settled))
+    open_ = tmp.keep(tried.distinct().join(settled, "mid", "left_anti"), "open")
     some, maybe = may_be_in(lists, bitmap(open_.select(F.xxhash64("mid").alias("h")), "open"), "open", F.xxhash64("mid"))
     x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "s0", "s1", "np", "c").join(open_, "mid", "left_semi"), "open-lists")
     some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
     rest, _ = candidates(x, some.where(maybe))
     rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
     matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
-    for name in ("lists", "ids", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong"):
+    for name in ("lists", "ids", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong-1", "wrong-2"):
         tmp.drop(name)
     return later.union(matched).distinct()
 

@@ -81,3 +81,19 @@ def test_null_and_repeated_ids_lose_their_own_lines_only(spark):
 def test_empty(spark):
     assert line_dedup(empty(spark)).count() == 0
     assert without_repeats(empty(spark)).count() == 0
+
+
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    """Bitmaps so small that they pass nearly every row."""
+    monkeypatch.setattr("skarn.llm.bitmap.BITS", 64)
+    rows = near_lines(5, 60)
+    assert got(line_dedup(frame(spark, rows))) == brute(rows)
+
+
+def test_words_that_lead_many_lists(spark, monkeypatch):
+    """Lists taken as hot, and long lists of lines that match few others."""
+    monkeypatch.setattr("skarn.llm.lines.HOT_BITS", 5)
+    r = random.Random(9)
+    v = vocabulary(9, 30)
+    rows = [(i, " ".join(["rareword", *r.sample(v, 6)]), "", "") for i in range(150)]
+    assert got(line_dedup(frame(spark, rows))) == brute(rows)
