@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,7 @@ class Scratch:
             df.write.parquet(f"{self.at}/{name}")
         finally:
             self.spark.conf.set(_CLEAN, before)
+        gc.collect()  # lets go of the driver's plans and broadcasts of frames that are out of use
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, name: str | None = None) -> None:
