@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def build_in_phases(files: DataFrame, classpath: list[str], ready: Callable[[dict[str, DataFrame]], None]) -> dict[str, DataFrame]:
+    """Two phases: the structural index is handed to ``ready`` first, and diagnostics follow unless the classpath is empty."""
+    whole = build(files)
+    first = whole | {"diagnostics": whole["diagnostics"].limit(0)}
+    ready(first)
+    return whole if classpath else first
+
+
 def distinct_declarations(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Declarations with one row per key: where several files declare it, the last file wins."""
     keys = {"types": "qualified_name", "methods": "signature_key", "fields": "field_key"}

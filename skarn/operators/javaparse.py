@@ -784,28 +784,26 @@ class Parser:
         """A statement's last token followed, on another line, by what cannot continue it."""
         if any(f["rel"] == "diagnostics" for f in self.facts):
             return
-        depth = 0
-        for (k, t, s, e), (k2, t2, s2, _) in zip(self.toks, self.toks[1:]):
-            depth += (t in ("(", "[")) - (t in (")", "]")) if k == "op" else 0
-            ends = k in ("num", "text") or t in ("]",) or k == "name" and t not in _KEYWORDS
+        depth, since = 0, 0  # since: the first token behind the last ; { } or bracket
+        braces: list[bool] = []  # whether each open brace holds a list: enum constants, an array or annotation values
+        for k, ((kind, t, s, e), (k2, t2, s2, _)) in enumerate(zip(self.toks, self.toks[1:])):
+            if kind == "op":
+                depth += (t in ("(", "[")) - (t in (")", "]"))
+                if t == "{":
+                    head = [x[1] for x in self.toks[since:k]]
+                    braces.append(k > 0 and self.toks[k - 1][1] in ("=", "]", "{", ",", "(") or "enum" in head)
+                elif t == "}" and braces:
+                    braces.pop()
+                elif t == ";" and braces:
+                    braces[-1] = False  # the constants are over
+                if t in (";", "{", "}"):
+                    since = k + 1
+            ends = kind in ("num", "text") or t in ("]",) or kind == "name" and t not in _KEYWORDS
             starts = t2 in ("return", "}", "if", "for", "while", "try", "throw", "break", "continue", "public", "private", "protected") or k2 == "name" and t2 in _PRIMITIVE
-            if depth == 0 and ends and starts and (t2 == "}" or "\n" in self.source[e:s2]) and not (t2 == "}" and self._list_end(e)):
+            if depth == 0 and ends and starts and (t2 == "}" or "\n" in self.source[e:s2]) and not (t2 == "}" and braces and braces[-1]):
                 self.problem("missing ;", e - 1, e)
                 return
 
-    def _list_end(self, at: int) -> bool:
-        """Whether the brace that closes after at holds a list: enum constants, an array or annotation values."""
-        depth = 0
-        for kind, t, s, _ in reversed([x for x in self.toks if x[2] < at]):
-            if kind == "op":
-                depth += (t == "}") - (t == "{")
-                if depth < 0:
-                    head = self.source[max(0, s - 200) : s].rstrip()
-                    return head.endswith(("=", "]", "{", ",", "(")) or bool(re.search(r"\benum\s+[\w$]+[^;{}()]*$", head))
-                if t == ";" and depth == 0:
-                    return False
-        return False
-
 
 def parse(source: str | None) -> list[dict]:
     """Facts of one source text; null has none."""

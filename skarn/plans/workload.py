@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from skarn.functions import positions
 from skarn.functions.predicates import CAMELCASE, EXACT, PATTERN, PREFIX, ellipsis, has_modifier, matches_name, package_of
-from skarn.operators import batching, hierarchy, maintain
+from skarn.operators import batching, diagnostics, hierarchy, index, lineage, maintain
+from skarn.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,9 +59,11 @@ def find_usages(spark, sf_dir):
 
 @query(f"WITH {SQL_TOKENS} SELECT name, count(*) AS usages, count(DISTINCT doc_id) AS files FROM tok GROUP BY name")
 def usage_counts(spark, sf_dir):
-    """Usages of every name; counted per document first, so the shuffle carries distinct pairs only."""
-    per = tokens(t(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("name", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("name").agg(F.sum("n").alias("usages"), F.count("*").alias("files"))
+    """Usages of every name, in one shuffle: a document's names are sorted within its row, so that each one's first is known."""
+    names = t(spark, sf_dir, "documents").select(F.sort_array(F.regexp_extract_all("text", F.lit(IDENT), F.lit(1))).alias("names"))
+    beside = F.arrays_zip(F.col("names").alias("name"), F.slice(F.concat(F.array(F.lit("")), "names"), F.lit(1), F.size("names")).alias("before"))
+    one = names.select(F.inline(beside)).select("name", (F.col("name") != F.col("before")).cast("long").alias("first"))
+    return one.groupBy("name").agg(F.count("*").alias("usages"), F.sum("first").alias("files"))
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size FROM part WHERE p_partkey = 77")
@@ -195,11 +198,11 @@ def rehydrate(spark, sf_dir):
     return loc.join(reg, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("refs"), F.countDistinct("l_orderkey").alias("files"), F.sum("l_linenumber").cast("long").alias("lines"))
 
 
-@query("SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 def deleted_files(spark, sf_dir):
     """What is tracked but no longer there."""
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
-    return maintain.deleted(c, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key").select(F.col("key").alias("c_custkey"), "c_name")
+    return maintain.deleted(c, t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key")), "key").select(F.col("key").alias("c_custkey"), "c_name")
 
 
 _SITES = ["http://", "http://m.", "https://", "https://m.", "https://www."]
@@ -305,36 +308,70 @@ def pack_batches(spark, sf_dir):
     return batching.plan_batches(files, ["project"])
 
 
-@query("SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
-def group_publish(spark, sf_dir):
-    """A1: diagnostics grouped by file for publication."""
-    errors = F.count_if(F.col("event_type") == "error")
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), errors.alias("errors"))
+SQL_DIAGNOSTICS = """
+d AS (SELECT event_id, user_id AS file_path, event_id % 50 AS line, user_id % 80 AS col, event_type AS message,
+      CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 1 END AS severity FROM events)"""
 
 
-SQL_SEVERITY = "CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 1 END"
+def _diagnostics(spark, sf_dir):
+    """Events as diagnostics of users' files; their kinds are the compiler's."""
+    kind = F.create_map(*(F.lit(x) for kv in (("error", "ERROR"), ("click", "WARNING"), ("view", "MANDATORY_WARNING"), ("signup", "NOTE")) for x in kv))[F.col("event_type")]
+    e = t(spark, sf_dir, "events")
+    return e.select("event_id", F.col("user_id").alias("file_path"), (F.col("event_id") % 50).cast("long").alias("line"), (F.col("user_id") % 80).cast("long").alias("col"), F.col("event_type").alias("message"), diagnostics.severity(kind).alias("severity"))
 
 
-def _severity():
-    kinds = F.create_map(*(F.lit(x) for kv in (("error", 1), ("click", 2), ("view", 2), ("signup", 3)) for x in kv))
-    return F.coalesce(kinds[F.col("event_type")], F.lit(1)).cast("long")
+@query(f"""
+WITH {SQL_DIAGNOSTICS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line, col, severity, message) AS k FROM d)
+SELECT file_path AS user_id, count(*) AS n, max(line) FILTER (k = 1)::BIGINT AS line, max(severity) FILTER (k = 1)::BIGINT AS severity, max(message) FILTER (k = 1) AS message,
+       string_agg(line || ':' || severity, ' ' ORDER BY k) AS marks FROM r GROUP BY file_path
+""")
+def group_publish(spark, sf_dir):
+    """A1: diagnostics grouped by file for publication, in order of position."""
+    x = F.col("diagnostics")[0]
+    marks = F.array_join(F.transform("diagnostics", lambda d: F.concat(d["line"].cast("string"), F.lit(":"), d["severity"].cast("string"))), " ")
+    out = diagnostics.publish(_diagnostics(spark, sf_dir))
+    return out.select(F.col("file_path").alias("user_id"), F.size("diagnostics").cast("long").alias("n"), x["line"].alias("line"), x["severity"].cast("long").alias("severity"), x["message"].alias("message"), marks.alias("marks"))
 
 
-@query(f"SELECT event_id, {SQL_SEVERITY}::BIGINT AS severity FROM events")
+@query(f"WITH {SQL_DIAGNOSTICS} SELECT event_id, severity::BIGINT AS severity FROM d")
 def severity_map(spark, sf_dir):
     """Kinds map to severities; unknown kinds are errors."""
-    return t(spark, sf_dir, "events").select("event_id", _severity().alias("severity"))
+    return _diagnostics(spark, sf_dir).select("event_id", F.col("severity").cast("long").alias("severity"))
 
 
 @query(f"""
-SELECT event_id, greatest(event_id % 50 - 1, 0)::BIGINT AS line, (user_id % 80)::BIGINT AS c0, (user_id % 80 + 1)::BIGINT AS c1,
-       (user_id % 80 + greatest(user_id % 9 - 1, 0))::BIGINT AS end_inclusive FROM events WHERE {SQL_SEVERITY} = 1
+WITH {SQL_DIAGNOSTICS}
+SELECT file_path, greatest(line - 1, 0)::BIGINT AS line, col::BIGINT AS c0, (col + 1)::BIGINT AS c1, severity::BIGINT AS severity, message, 'java' AS source, count(*) AS n FROM d GROUP BY ALL
+""")
+def protocol_form(spark, sf_dir):
+    """0-based lines and one-character ranges."""
+    p = diagnostics.protocol(_diagnostics(spark, sf_dir))
+    p = p.select("file_path", F.col("start.line").alias("line"), F.col("start.character").alias("c0"), F.col("end.character").alias("c1"), F.col("severity").cast("long").alias("severity"), "message", "source")
+    return p.groupBy(*p.columns).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH x AS (SELECT event_id, event_id % 50 AS p, user_id % 9 AS n, 45 AS size FROM events)
+SELECT event_id, (CASE WHEN n <= 0 AND p >= size AND p > 0 THEN p - 1 ELSE p END)::BIGINT AS s,
+       (CASE WHEN n <= 0 AND p >= size AND p > 0 THEN p - 1 ELSE p END + greatest(n - 1, 0))::BIGINT AS e FROM x
 """)
 def lsp_range(spark, sf_dir):
-    """Inclusive ends and protocol ranges of errors."""
-    e = t(spark, sf_dir, "events").where(_severity() == 1)
-    col = F.col("user_id") % 80
-    return e.select("event_id", F.greatest(F.col("event_id") % 50 - 1, F.lit(0)).alias("line"), col.alias("c0"), (col + 1).alias("c1"), (col + F.greatest(F.col("user_id") % 9 - 1, F.lit(0))).alias("end_inclusive"))
+    """Inclusive ends; an empty range at the end of the text moves one to the left."""
+    start, end = diagnostics.inclusive_range((F.col("event_id") % 50).cast("long"), (F.col("user_id") % 9).cast("long"), F.lit(45))
+    return t(spark, sf_dir, "events").select("event_id", start.alias("s"), end.alias("e"))
+
+
+@query(f"""
+WITH {SQL_DIAGNOSTICS}
+SELECT file_path::VARCHAR AS "filePath", severity::INT AS severity, message, line::INT AS "lineNumber", col::INT AS "columnNumber", event_id::INT AS "startPosition",
+       (event_id + 3)::INT AS "endPosition", 'c' || event_id % 5 AS code FROM d WHERE event_id % 7 <> 0
+""")
+def diagnostics_json(spark, sf_dir):
+    """Diagnostics to JSON and back; rows cut short (every seventh) are skipped."""
+    d = _diagnostics(spark, sf_dir)
+    d = d.select(F.col("file_path").cast("string").alias("file_path"), "severity", "message", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), F.col("event_id").cast("int").alias("start"), (F.col("event_id") + 3).cast("int").alias("end"), F.concat(F.lit("c"), F.col("event_id") % 5).alias("code"))
+    j = diagnostics.to_json(d).withColumn("id", F.get_json_object("json", "$.startPosition").cast("int"))
+    return diagnostics.from_json(j.withColumn("json", F.when(F.col("id") % 7 == 0, F.expr("left(json, length(json) - 1)")).otherwise(F.col("json"))))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{\"k\":' || json_extract(props, '$.k')::BIGINT || '}' AS j FROM events WHERE json_valid(props)")
@@ -345,13 +382,17 @@ def json_round_trip(spark, sf_dir):
     return rows.select("event_id", "x.k", F.to_json(F.struct("x.k")).alias("j"))
 
 
-@query("SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+@query("SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids, (SELECT count(*) FROM part) AS types, (SELECT count(*) FROM orders) AS methods FROM events GROUP BY 1")
 def split_by_kind(spark, sf_dir):
-    """K1/K2: references split by kind and united again."""
-    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
-    notes, rest = e.where("kind = 'click'").drop("kind"), e.where("kind <> 'click'")
-    both = rest.unionByName(notes.withColumn("kind", F.lit("click")))
-    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").cast("long").alias("ids"))
+    """K1/K2: an index is stored, with references split by kind, and loaded again; twice, to the same path."""
+    refs = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
+    idx = {"types": t(spark, sf_dir, "part").select("p_partkey"), "methods": t(spark, sf_dir, "orders").select("o_orderkey"), "fields": t(spark, sf_dir, "region"), "files": t(spark, sf_dir, "nation"), "type_refs": refs, "name_refs": refs.limit(0)}
+    path = f"{lineage.Scratch(spark).at}/index"
+    store.save(idx, path)
+    store.save(store.load(spark, path), path)
+    back = store.load(spark, path)
+    n = back["types"].agg(F.count("*").alias("types")).withColumn("k", F.lit(1)).join(F.broadcast(back["methods"].agg(F.count("*").alias("methods")).withColumn("k", F.lit(1))), "k")  # one row each
+    return back["type_refs"].groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").cast("long").alias("ids")).withColumn("k", F.lit(1)).join(F.broadcast(n), "k").drop("k")
 
 
 @query("SELECT (row_number() OVER (ORDER BY path) - 1)::BIGINT AS file_id, path FROM (SELECT DISTINCT source || '/' || lang || '/' || doc_id AS path FROM documents)")
@@ -386,30 +427,20 @@ def top_oldest(spark, sf_dir):
     return t(spark, sf_dir, "events").orderBy("ts", "event_id").limit(20).where("event_id % 3 <> 0").select("event_id", "user_id")
 
 
-@query("""
-SELECT (SELECT count(*) FROM part) AS types, (SELECT count(*) FROM orders) AS methods, (SELECT count(*) FROM lineitem) AS fields,
-       (SELECT count(*) FROM documents) AS files, (SELECT sum(n_chars) FROM documents)::BIGINT AS chars
-""")
+@query("SELECT (SELECT count(*) FROM part) AS types, (SELECT count(*) FROM orders) AS methods, (SELECT count(*) FROM lineitem) AS fields, (SELECT count(*) FROM documents) AS files")
 def index_stats(spark, sf_dir):
     """K7: sizes of the index."""
-    n = lambda name, c: t(spark, sf_dir, name).agg(F.count("*").alias(c))
-    files = t(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.sum("n_chars").cast("long").alias("chars"))
-    key = F.lit(1)
-    out = n("part", "types").withColumn("_k", key)
-    for d in (n("orders", "methods"), n("lineitem", "fields"), files):
-        out = out.join(F.broadcast(d.withColumn("_k", key)), "_k")  # one row each
-    return out.drop("_k")
+    return index.stats({"types": t(spark, sf_dir, "part"), "methods": t(spark, sf_dir, "orders"), "fields": t(spark, sf_dir, "lineitem"), "files": t(spark, sf_dir, "documents")})
 
 
 @query("""
-WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<[a-z]')) AS nodes, len(regexp_extract_all(html, '<p><b>')) AS bad FROM pages)
-SELECT count(*) AS files, sum(nodes)::BIGINT AS nodes, sum(bad)::BIGINT AS erroneous, count(*) FILTER (bad > 0) AS files_with_errors, round(100.0 * sum(bad) / sum(nodes), 4) AS percent FROM x
+SELECT (SELECT count(*) FROM customer) AS files, count(*) AS errors, count(DISTINCT user_id) AS files_with_errors,
+       round(100.0 * count(DISTINCT user_id) / (SELECT count(*) FROM customer), 4) AS percent FROM events WHERE event_type = 'error'
 """)
 def parse_quality(spark, sf_dir):
     """Parse-quality totals of a batch."""
-    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0)))
-    x = t(spark, sf_dir, "pages").select(n("<[a-z]").alias("nodes"), n("<p><b>").alias("bad"))
-    return x.agg(F.count("*").alias("files"), F.sum("nodes").alias("nodes"), F.sum("bad").alias("erroneous"), F.count_if(F.col("bad") > 0).alias("files_with_errors"), F.round(100.0 * F.sum("bad") / F.sum("nodes"), 4).alias("percent"))
+    errors = t(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("file_path"))
+    return index.parse_quality({"files": t(spark, sf_dir, "customer"), "diagnostics": errors})
 
 
 @query("SELECT doc_id, sha1(text) AS digest FROM documents")

@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 FILES = "path string, mtime_ms long, content string"
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """FILES of every .java file below root, but templates (.qute.java) and build output."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(root)
+def _raw(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime_ms, content or null) of the files of a tree; content is null where it is not UTF-8."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     path = F.col("path")
     keep = ~path.endswith(".qute.java") & ~path.contains("/target/") & ~path.contains("/build/")
-    return raw.where(keep).select(path, F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
+    return read.load(root).where(keep).select(path, F.unix_millis("modificationTime").alias("mtime_ms"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """FILES of every .java file below root, but templates (.qute.java) and build output.
+
+    Files that vanish or cannot be read while they are scanned, and those that are no UTF-8 text, are left out.
+    """
+    return _raw(spark, root).where("content is not null")
+
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files that source_tree leaves out because they are no UTF-8 text."""
+    return _raw(spark, root).where("content is null").select("path")
 
 
 def in_memory(spark: SparkSession, files: list[tuple[str, str]], mtime_ms: int = 0) -> DataFrame:

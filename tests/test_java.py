@@ -1,13 +1,15 @@
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
 from skarn.operators import index as ix
 from skarn.operators.javaparse import parse
-from skarn.operators.navigation import definition, references
+from skarn.operators.navigation import definition, local_at, references
 from skarn.operators.search import ALL, DECLARATIONS, REFERENCES, Pattern, locate, search
 from skarn.sources import store
-from skarn.sources.files import in_memory, source_tree
+from skarn.sources.files import in_memory, source_tree, unreadable
 
 
 def of(facts, rel, **eq):
@@ -137,6 +139,80 @@ def test_store_round_trip(spark, tmp_path):
     assert store.load(spark, path) is None
 
 
+def test_a_stored_index_is_loaded_changed_and_saved_to_its_own_path(spark, tmp_path):
+    path = str(tmp_path / "index")
+    store.save(ix.build(in_memory(spark, CORPUS)), path)
+    user = in_memory(spark, [f for f in CORPUS if f[0] == "/p/User.java"], 5)
+    first = None
+    for turn in range(4):
+        idx = ix.reindex(store.load(spark, path), user)
+        store.save(idx, path)
+        now = {t: sorted(str(r) for r in store.load(spark, path)[t].select(*sorted(idx[t].columns)).collect()) for t in store.TABLES}
+        first = first or now
+        assert now == first, turn
+    assert store.load(spark, path)["diagnostics"].count() == 0 and len(store.versions(spark, path)) == 2
+    (tmp_path / "index" / "version=99").mkdir()  # begun, not whole
+    assert store.load(spark, path)["types"].count() == 4
+
+
+def test_phases(spark):
+    seen = []
+    bad = in_memory(spark, [("/a/A.java", "class A { String s = \"open; }")])
+    both = ix.build_in_phases(bad, ["x.jar"], seen.append)
+    assert seen[0]["types"].count() == both["types"].count() == 1 and seen[0]["diagnostics"].count() == 0 < both["diagnostics"].count()
+    assert ix.build_in_phases(bad, [], seen.append)["diagnostics"].count() == 0
+
+
+def test_members_by_declaring_type_and_far_apart_tokens(spark):
+    source = """package q; import a.Foo; class Use { Foo foo; void m(Bar bar) { foo.run(); bar.run(); run(); Foo.run(); this.run(); other().run();
+      run""" + " " * 200 + "/* so long */ (1); int count; } }"
+    files = in_memory(spark, [("/q/Use.java", source)])
+    hits = lambda of: locate(files, Pattern("METHOD", "run", declaring_type=of)).count()
+    assert hits(None) == 7 and hits("Foo") == 3 and hits("a.Foo") == 3 and hits("Bar") == 2 and hits("Use") == 4 and hits("Nope") == 1
+
+
+def test_lists_are_told_from_blocks_in_linear_time():
+
+
+
+    wide = "enum E implements " + ", ".join(f"I{k}" for k in range(200)) + " {\n A, B\n}"
+    assert not [f for f in parse(wide) if f["rel"] == "diagnostics"]
+    began = time.perf_counter()
+    assert not [f for f in parse("class C {" + "".join(f" int[] a{k} = {{ {k}, {k}\n }};" for k in range(4000)) + "}") if f["rel"] == "diagnostics"]
+    assert time.perf_counter() - began < 5
+
+
+def test_locals_and_parameters(spark):
+    source = """class A {
+  int n;
+  int f(int n, String s) {
+    int k = n + 1;
+    for (int i = 0; i < k; i++) { n += i; }
+    java.util.function.IntUnaryOperator g = n2 -> n2 + k;
+    { int z = k; s.n(); this.n = z; }
+    return n;
+  }
+  int g() { return n; }
+}
+"""
+    uses = lambda line, word, nth=0: local_at(source, line, [m.start() for m in re.finditer(rf"\b{word}\b", source.split("\n")[line])][nth])
+    where = lambda spans: [source[:s].count("\n") for s, _ in spans]
+    assert where(uses(2, "n")[0]) == [3, 4, 7] and where(uses(7, "n")[0]) == [3, 4, 7]
+    assert where(uses(3, "k")[0]) == [4, 5, 6] and where(uses(5, "n2")[0]) == [5] and where(uses(4, "i")[0]) == [4, 4, 4]
+    assert uses(9, "n") is None and uses(1, "n") is None and uses(6, "n", 1) is None
+    files = in_memory(spark, [("/A.java", source)])
+    idx = ix.build(files)
+    assert [r.offset for r in definition(idx, files, "/A.java", 7, 11).collect()] == [source.index("int n, ") + 4]
+    assert references(idx, files, "/A.java", 2, 12).count() == 3 and references(idx, files, "/A.java", 2, 12, True).count() == 4
+
+
+def test_unreadable_files_are_left_out(spark, tmp_path):
+    (tmp_path / "Good.java").write_text("class Good {}")
+    (tmp_path / "Bad.java").write_bytes(b"class B\xff {}")
+    assert [r.content for r in source_tree(spark, str(tmp_path)).collect()] == ["class Good {}"]
+    assert [r.path.rsplit("/", 1)[1] for r in unreadable(spark, str(tmp_path)).collect()] == ["Bad.java"]
+
+
 def test_source_tree(spark, tmp_path):
     for p in ("a/A.java", "a/t.qute.java", "target/B.java", "a/build/C.java", "x.txt"):
         f = tmp_path / p
