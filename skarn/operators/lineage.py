@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """A folder of Parquet tables in the shared folder: droppable one by one, gone with the session.
+    """A folder of ORC tables in the shared folder (its codecs work on the heap): droppable one by one, gone with the session.
 
     A kept table cuts lineage as a checkpoint does.  The shuffle files of the query that made it are freed at
     once, since nothing refers to them any more.
@@ -49,11 +49,11 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN, "false")
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.parquet(f"{self.at}/{name}")
+            df.write.orc(f"{self.at}/{name}")
         finally:
             self.spark.conf.set(_CLEAN, before)
         gc.collect()  # lets go of the driver's plans and broadcasts of frames that are out of use
-        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).orc(f"{self.at}/{name}")
 
     def drop(self, name: str | None = None) -> None:
         """Deletes one table, or the whole folder."""
