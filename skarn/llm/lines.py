@@ -13,8 +13,7 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   only one of the sets has, so no pair within the threshold is lost.
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
   take the closest by sketch of those beside them in a list, in blocks of about sixteen, and only those that
-  then still have untested candidates are compared with all of them.  So a line in thousands of variants costs
-  a star of pairs.
+  match neither are compared with all candidates.  So a line in thousands of variants costs a star of pairs.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 * Words that lead many lists, copied lines and much-compared lines are counted; those with a large share of the
@@ -144,11 +143,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(rank(many) << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many), "hot")
     so_far = Window.partitionBy("code").orderBy("rid", "mid")
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
-    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("rid").over(so_far).alias("next"), F.row_number().over(so_far).alias("nth"))
-    ranked = ranked.where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).withColumn("block", F.shiftright(F.col("nth") - 1, 4))
-    ranked = ranked.withColumn("tie", F.coalesce(F.col("next") == F.col("rid"), F.lit(False))).drop("next", "nth")  # ties are in no set order
+    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next"), F.row_number().over(so_far).alias("nth"))
+    ranked = ranked.where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).withColumn("block", F.shiftright(F.col("nth") - 1, 4)).drop("next", "nth")
     # a list too long to be numbered in one task falls into blocks by hash instead, some sixteen rows each
-    spread = entries.join(F.broadcast(hot.withColumnRenamed("times", "block")), "code").withColumn("block", F.pmod(F.xxhash64("mid"), F.greatest(F.shiftright("block", 4), F.lit(1))).cast("int") + 1).withColumn("tie", F.lit(True))
+    spread = entries.join(F.broadcast(hot.withColumnRenamed("times", "block")), "code").withColumn("block", F.pmod(F.xxhash64("mid"), F.greatest(F.shiftright("block", 4), F.lit(1))).cast("int") + 1)
     lists = tmp.keep(ranked.unionByName(spread), "lists")
     ids = tmp.keep(firsts.select("mid", "rid", "key", "no"), "ids")
     tmp.drop("firsts")
@@ -216,16 +214,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     best = tmp.keep(best.select("x", "best.y"), "best-pairs")
     settled = settled.union(verified(best, "best"))
 
-    # those that matched neither and have candidates yet, here or in other blocks, with all of them
-    tried = star.select(F.col("x").alias("mid")).union(best.select(F.col("x").alias("mid"))).union(left_out(lists.where("block > 0 or tie").select("mid"), "mid", settled))
-    open_ = tmp.keep(tried.distinct().join(settled, "mid", "left_anti"), "open")
-    some, maybe = may_be_in(lists, bitmap(open_.select(F.xxhash64("mid").alias("h")), "open"), "open", F.xxhash64("mid"))
-    x = tmp.keep(some.where(maybe).select("code", "mid", "rid", "s0", "s1", "np", "c").join(open_, "mid", "left_semi"), "open-lists")
-    some, maybe = may_be_in(lists, bitmap(x.select(F.xxhash64("code").alias("h")), "codes"), "codes", F.xxhash64("code"))
-    rest, _ = candidates(x, some.where(maybe))
+    # those that matched neither with all candidates
+    dealt = lists.repartition("code")
+    rest, _ = candidates(left_out(dealt, "mid", settled), dealt)
     rest = tmp.keep(rest.select(F.col("x_mid").alias("x"), F.col("y_mid").alias("y")).distinct(), "rest-pairs")
     matched = settled.union(verified(rest, "rest")).select("rid", "key", "no")
-    for name in ("lists", "ids", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "open", "open-lists", "wrong-1", "wrong-2"):
+    for name in ("lists", "ids", "copies", "hot", "star-pairs", "best-pairs", "rest-pairs", "wrong-1", "wrong-2"):
         tmp.drop(name)
     return later.union(matched).distinct()
 
