@@ -197,13 +197,16 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
 def classify(docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """struct column ``row`` (these columns of the input row, or all) beside p_low, p_toxic, host_p, path_p, p_reject and kept.
 
-    Every text is scored once, and the scores are kept with the rows in a table.
+    Named columns are kept in a table with the scores, so that texts are scored once; whole rows, which may be long,
+    are scored a second time instead of being written.
     """
     tmp = Scratch(docs.sparkSession)
     none = F.lit("\u0000none")
     key = lambda c: F.coalesce(docs[c].cast("string"), none)
     row = F.struct(*(docs[c] for c in columns or docs.columns)).alias("row")
-    scored = tmp.keep(docs.select(row, key(host_col).alias("host"), key(path_col).alias("path"), model.column(docs[text_col].cast("string")).alias("e")), "scored")
+    scored = docs.select(row, key(host_col).alias("host"), key(path_col).alias("path"), model.column(docs[text_col].cast("string")).alias("e"))
+    if columns:
+        scored = tmp.keep(scored, "scored")
     reject = 1 - (1 - F.col("e.low")) * (1 - F.col("e.toxic"))
     sites, rate = site_posteriors(scored.select("host", "path", reject.alias("p")))
     odds = lambda p: F.log(p) - F.log(1 - p)
