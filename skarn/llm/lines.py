@@ -12,7 +12,7 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   and so does a 128-bit parity sketch of each set: every bit in which two sketches differ takes one word that
   only one of the sets has, so no pair within the threshold is lost.
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
-  take the closest by sketch of those beside them in a list, in blocks of about sixteen, and only those that
+  take the closest by sketch of those beside them in a list, in blocks of about 64 by size, and only those that
   match neither are compared with all candidates.  So a line in thousands of variants costs a star of pairs.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
@@ -143,10 +143,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(rank(many) << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many), "hot")
     so_far = Window.partitionBy("code").orderBy("rid", "mid")
     ranked = entries.join(F.broadcast(hot.select("code")), "code", "left_anti")
-    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next"), F.row_number().over(so_far).alias("nth"))
-    ranked = ranked.where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).withColumn("block", F.shiftright(F.col("nth") - 1, 4)).drop("next", "nth")
-    # a list too long to be numbered in one task falls into blocks by hash instead, some sixteen rows each
-    spread = entries.join(F.broadcast(hot.withColumnRenamed("times", "block")), "code").withColumn("block", F.pmod(F.xxhash64("mid"), F.greatest(F.shiftright("block", 4), F.lit(1))).cast("int") + 1)
+    ranked = ranked.select("*", F.first(entry).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("mid").over(so_far).alias("next"), F.row_number().over(Window.partitionBy("code").orderBy("np", "rid", "mid")).alias("nth"))
+    ranked = ranked.where((F.col("c.mid") != F.col("mid")) | F.col("next").isNotNull()).withColumn("block", F.shiftright(F.col("nth") - 1, 6)).drop("next", "nth")
+    # a list too long to be numbered in one task falls into blocks by hash instead, some 64 rows each
+    spread = entries.join(F.broadcast(hot.withColumnRenamed("times", "block")), "code").withColumn("block", F.pmod(F.xxhash64("mid"), F.greatest(F.shiftright("block", 6), F.lit(1))).cast("int") + 1)
     lists = tmp.keep(ranked.unionByName(spread), "lists")
     ids = tmp.keep(firsts.select("mid", "rid", "key", "no"), "ids")
     tmp.drop("firsts")
@@ -186,7 +186,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     star = tmp.keep(star.select("x", "best.y"), "star-pairs")
     settled = verified(star, "star")
 
-    # those that are left with the closest of the other lines in one of their blocks of about sixteen; the bitmaps leave out settled lines, but for some
+    # those that are left with the closest of the other lines in one of their blocks of about 64; the bitmaps leave out settled lines, but for some
     turns = 0
 
     def left_out(rows: DataFrame, mid: str, done: DataFrame) -> DataFrame:
