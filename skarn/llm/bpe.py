@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are classified at a time; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Pieces that a process remembers, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 1 << 19, 64
+CACHED, CACHED_BYTES = 1 << 18, 64
 #: Pieces of more bytes are merged over a heap.
 SCANNED = 200
 
@@ -185,8 +185,8 @@ class Coder(dict):
             blob.append(token)
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
 
-    def __missing__(self, piece: bytes) -> list[int]:
-        ids = self.merge(piece)
+    def __missing__(self, piece: bytes) -> tuple[int, ...]:
+        ids = tuple(self.merge(piece))
         if len(piece) <= CACHED_BYTES:
             if len(self) >= CACHED:
                 self.clear()
