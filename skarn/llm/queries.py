@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.llm.classifier import quality_classifier
 from skarn.llm.decontaminate import benchmark_hits
 from skarn.llm.rules import quality_rules
-from skarn.llm import bpe, clusters, extract, lines, minhash, packing, sharding, substrings, units
+from skarn.llm import bpe, clusters, divergence, extract, lines, minhash, packing, sharding, substrings, units
 from skarn.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,7 @@ ORACLES["op1_sharding"] = sharding.ORACLE
 ORACLES["op3_substring_dedup"] = units.ORACLE
 ORACLES["op4_minhash_near_dedup"] = minhash.ORACLE
 ORACLES["op5_line_dedup"] = lines.ORACLE
+ORACLES["op11_source_divergence"] = divergence.ORACLE
 ORACLES["op12_centroid_clustering"] = clusters.ORACLE
 
 
@@ -78,6 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
