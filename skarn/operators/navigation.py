@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.operators.javaparse import Parser
+from skarn.operators.scopes import FIELD, Scoping
 from skarn.operators.search import ALL, DECLARATIONS, REFERENCES, Pattern, occurrences_of, search
 
-_NO_TYPE = frozenset("return new throw case else assert instanceof import package extends implements throws class interface enum record goto yield".split())
-
 
 def offset_of(text: str, line: int, char: int) -> int:
     """Offset of a 0-based position, or -1 beyond the text."""
@@ -35,8 +34,9 @@ def symbol_at(text: str, line: int, char: int) -> Pattern | None:
     at = offset_of(text, line, char)
     if at < 0:
         return None
-    named = [o for o in occurrences_of(text) if o[2] != "TYPE" or o[3] != "DECLARATION"]
-    named += [(o[0] + len(o[7].split(o[4], 1)[0]), len(o[4]), *o[2:]) for o in occurrences_of(text) if o[2] == "TYPE" and o[3] == "DECLARATION"]
+    found = occurrences_of(text)
+    named = [o for o in found if o[2] != "TYPE" or o[3] != "DECLARATION"]
+    named += [(o[0] + len(o[7].split(o[4], 1)[0]), len(o[4]), *o[2:]) for o in found if o[2] == "TYPE" and o[3] == "DECLARATION"]
     covering = sorted((o for o in named if o[0] <= at <= o[0] + o[1]), key=lambda o: (o[1], o[2] != "TYPE"))
     if not covering:
         return None
@@ -45,82 +45,18 @@ def symbol_at(text: str, line: int, char: int) -> Pattern | None:
 
 
 def local_at(text: str, line: int, char: int) -> tuple[list[tuple[int, int]], tuple[int, int]] | None:
-    """(uses, declaration) of the local variable or parameter at a position, as (offset, length), or None.
-
-    A local's scope is the rest of its block, a parameter's the body behind its list; an inner declaration of the same
-    name ends it there.  Names behind a dot are members.
-    """
+    """(uses, declaration) of the local, parameter or pattern variable at a position, as (offset, length), or None."""
     at = offset_of(text, line, char)
     toks = Parser(text).toks
     k0 = next((k for k, t in enumerate(toks) if t[0] == "name" and t[2] <= at <= t[3]), None)
     if at < 0 or k0 is None:
         return None
-    name = toks[k0][1]
-    word = lambda k: toks[k][1] if 0 <= k < len(toks) else ""
-    kind = lambda k: toks[k][0] if 0 <= k < len(toks) else ""
-    if word(k0 - 1) == "." or word(k0 + 1) == "(":
-        return None
-    close, open_ = {}, []  # partner of every bracket
-    for k, t in enumerate(toks):
-        if t[0] == "op" and t[1] in "({":
-            open_.append(k)
-        elif t[0] == "op" and t[1] in ")}" and open_:
-            o = open_.pop()
-            close[o] = k
-    inside: list[int | None] = []  # innermost open bracket of every token
-    stack: list[int] = []
-    for k in range(len(toks)):
-        if stack and close.get(stack[-1]) == k:
-            stack.pop()
-        inside.append(stack[-1] if stack else None)
-        if k in close:
-            stack.append(k)
-
-    def holds_members(brace: int) -> bool:
-        k = brace - 1
-        while k >= 0 and word(k) not in (";", "{", "}", ")"):
-            if word(k) in ("class", "interface", "enum", "record") and word(k - 1) != ".":
-                return True
-            k -= 1
-        return word(k) == ")" and any(word(j) in ("record", "new") for j in range(max(0, _matching(k) - 8), _matching(k))) if k >= 0 else False
-
-    def _matching(end: int) -> int:
-        return next((o for o, c in close.items() if c == end), end)
-
-    found = []  # (declaration, first and last token of its scope)
-    for k in range(len(toks)):
-        if toks[k][0] != "name" or word(k) != name or word(k - 1) == ".":
-            continue
-        typed = kind(k - 1) == "name" and word(k - 1) not in _NO_TYPE or word(k - 1) in (">", "]", "...")
-        around = inside[k]
-        if word(k + 1) == "->":
-            end = close[k + 2] if k + 2 in close else close.get(around, len(toks)) if around is not None else len(toks)
-            found.append((k, k, end))
-        elif around is None:
-            continue
-        elif word(around) == "(" and (typed or word(close[around] + 1) == "->" and word(k + 1) in (",", ")")):
-            body = close[around] + 1
-            while body < len(toks) and word(body) not in ("{", "->", ";", "}"):
-                body += 1
-            if word(body) == "->":
-                body += 1
-            if body in close:
-                found.append((k, k, close[body]))
-            elif word(around - 1) in ("for", "try"):
-                found.append((k, k, next((j for j in range(body, len(toks)) if word(j) == ";"), len(toks))))
-            elif word(body - 1) == "->":
-                outer = inside[around]
-                found.append((k, k, close.get(outer, len(toks)) if outer is not None else len(toks)))
-        elif word(around) == "{" and typed and word(k + 1) in ("=", ";", ",", ":", "[") and not holds_members(around):
-            found.append((k, k, close[around]))
-    mine = [d for d in found if d[1] <= k0 <= d[2]]
-    if not mine:
+    bound = Scoping(toks).bound()
+    mine = bound.get(k0)
+    if mine is None or mine.kind == FIELD:
         return None
-    d = max(mine)
-    inner = [e for e in found if d[0] < e[0] <= d[2]]
-    uses = [k for k in range(d[1], min(d[2] + 1, len(toks))) if toks[k][0] == "name" and word(k) == name and word(k - 1) != "." and word(k + 1) != "(" and not any(e[1] <= k <= e[2] for e in inner)]
     span = lambda k: (toks[k][2], toks[k][3] - toks[k][2])
-    return [span(k) for k in uses if k != d[0]], span(d[0])
+    return [span(k) for k, s in sorted(bound.items()) if s == mine and k != s.at], span(mine.at)
 
 
 def _local(files: DataFrame, path: str, line: int, char: int, declaration: bool, uses: bool) -> DataFrame | None:
