@@ -9,9 +9,9 @@ from skarn.operators.lineage import cut
 
 
 def last_writer(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of every key by the order columns."""
-    w = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of every key by the order columns, nulls first; an aggregate that combines before the shuffle."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key))).agg(last.alias("_last")).select("_last.*")
 
 
 def change_scan(tracked: DataFrame, disk: DataFrame, key: str = "path", stamp: str = "mtime_ms") -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skarn.operators.javaparse import extract
+from skarn.operators.lineage import cut
 from skarn.operators.maintain import last_writer
+from skarn.sources.buckets import BucketStore
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -24,31 +26,34 @@ def merge_facts(stored: DataFrame | None, changes: DataFrame) -> DataFrame:
     return fresh if stored is None else stored.join(now.select("path"), "path", "left_anti").unionByName(fresh)
 
 
-def follow(changes: DataFrame, store: str, checkpoint: str, every: str = "30 seconds", on_batch: Callable[[int, DataFrame], None] | None = None, once: bool = False) -> StreamingQuery:
-    """Merges each micro-batch into a new version of the facts below store; a repeated batch gives the same version."""
+def facts_store(spark: SparkSession, path: str, buckets: int = 256) -> BucketStore:
+    """FACTS in buckets by their file."""
+    return BucketStore(spark, path, {"facts": "path"}, {"facts": ["rel", "name"]}, buckets)
+
+
+def follow(changes: DataFrame, store: str, checkpoint: str, every: str = "30 seconds", on_batch: Callable[[int, DataFrame], None] | None = None, once: bool = False, buckets: int = 256) -> StreamingQuery:
+    """Commits each micro-batch to the facts below store: only the buckets of its files are rewritten.
+
+    The manifest keeps the epoch, so a batch that is repeated after a failure is not committed twice.
+    """
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, store, before=epoch)
-        merge_facts(old, batch).write.mode("overwrite").parquet(f"{store}/version={epoch}")
+        s = facts_store(batch.sparkSession, store, buckets)
+        now = s.manifest()
+        if now is None or now["note"]["epoch"] < epoch:
+            seen = cut(latest(batch))
+            fresh = cut(extract(seen.where("kind <> 'FILE_REMOVED'")))
+            s.commit({"facts": (fresh, seen.select(F.col("path").alias("key")))}, now["version"] if now else 0, {"epoch": epoch})
         if on_batch:
-            on_batch(epoch, current(spark, store))
+            on_batch(epoch, s.read("facts"))
 
     w = changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
-def current(spark, store: str, before: int | None = None) -> DataFrame | None:
-    """The newest version that was committed whole (before an epoch)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    found = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("version=")]
-    done = sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-    done = [v for v in done if before is None or v < before]
-    return spark.read.parquet(f"{store}/version={done[-1]}") if done else None
+def current(spark: SparkSession, store: str) -> DataFrame | None:
+    """The facts as last committed."""
+    return facts_store(spark, store).read("facts")
 
 
 def edits_per_project(changes: DataFrame, window: str = "30 seconds", late: str = "2 minutes") -> DataFrame:
