@@ -1,0 +1,119 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from skarn.operators import reach
+from skarn.operators.hierarchy import closure
+
+
+def graph(spark, edges):
+    return spark.createDataFrame(edges, "parent string, child string")
+
+
+def reached(edges):
+    """{a: all that a reaches in one step or more}."""
+    to = {}
+    for p, c in edges:
+        if p is not None and c is not None:
+            to.setdefault(p, set()).add(c)
+    out = {}
+    for a in to:
+        seen, todo = set(), list(to[a])
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += to.get(n, ())
+        out[a] = seen
+    return out
+
+
+def check(spark, edges):
+    labels = reach.label(graph(spark, edges))
+    rows = labels.collect()
+    names = sorted({n for e in edges for n in e if n is not None})
+    assert sorted(r.node for r in rows) == names and sorted(r.number for r in rows) == list(range(len(names)))
+    want = reached(edges)
+    pairs = spark.createDataFrame([(a, b) for a in [*names, "nobody"] for b in [*names, "nobody"]], "above string, below string")
+    got = {(r.above, r.below): r.reaches for r in reach.tests(pairs, labels).collect()}
+    assert got == {(a, b): b in want.get(a, ()) for a, b in got}
+    return rows
+
+
+def test_a_tree_needs_one_interval_a_node(spark):
+    rows = check(spark, [("r", "a"), ("r", "b"), ("a", "c"), ("a", "d"), ("b", "e"), ("s", "t")])
+    assert all(len(r.intervals) <= 1 for r in rows)
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")],
+        [("a", "b"), ("b", "c"), ("c", "a")],
+        [("a", "a"), ("a", "b"), ("b", "b")],
+        [("x", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("y", "c"), ("c", "y")],
+        [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("d", "a"), (None, "a"), ("a", None), ("a", "b")],
+        [("a", "z"), ("b", "z"), ("z", "y"), ("b", "y"), ("y", "b2"), ("a", "b2")],
+    ],
+)
+def test_shapes(spark, edges):
+    check(spark, edges)
+
+
+@pytest.mark.parametrize("seed, n, m, cyclic", [(1, 14, 22, False), (2, 14, 22, True), (3, 30, 34, True), (4, 20, 60, False)])
+def test_random_graphs(spark, seed, n, m, cyclic):
+    r = random.Random(seed)
+    edges = []
+    for _ in range(m):
+        a, b = r.randrange(n), r.randrange(n)
+        if not cyclic:
+            a, b = min(a, b), max(a, b)
+            if a == b:
+                continue
+        edges.append((f"n{a:02}", f"n{b:02}"))
+    check(spark, edges)
+    g = graph(spark, edges)
+    some = spark.createDataFrame([(e[0],) for e in edges[:3]], "root string")
+    labels = reach.label(g)
+    pairs = some.distinct().withColumnRenamed("root", "above").join(labels.select(F.col("node").alias("below")))
+    got = {(x.above, x.below) for x in reach.tests(pairs, labels).where("reaches").collect()}
+    assert got == {(x.root, x.node) for x in closure(g, some).collect()}
+
+
+def test_no_edges(spark):
+    labels = reach.label(graph(spark, []))
+    assert labels.count() == 0
+    assert [r.reaches for r in reach.tests(spark.createDataFrame([("a", "b")], "above string, below string"), labels).collect()] == [False]
+
+
+def test_shortest_distances(spark):
+    e = graph(spark, [("Object", "A"), ("A", "B"), ("B", "C"), ("I", "C"), ("Object", "I"), ("C", "Object")])
+    got = {(r.ancestor, r.distance) for r in reach.ancestors(e, spark.createDataFrame([("C",)], "type string")).collect()}
+    assert got == {("C", 0), ("B", 1), ("I", 1), ("A", 2), ("Object", 2)}
+
+
+def test_members_by_dominance(spark):
+    # C extends B, implements I and J; B extends A; A and B declare m/0; I and J declare k/1; J extends K, which declares k/1 too
+    e = graph(spark, [("A", "B"), ("B", "C"), ("I", "C"), ("J", "C"), ("K", "J"), ("K", "I2"), ("I2", "C"), ("X", "Y"), ("Y", "X")])
+    m = spark.createDataFrame(
+        [("A", "m", 0), ("B", "m", 0), ("A", "m", 2), ("I", "k", 1), ("J", "k", 1), ("K", "k", 1), ("A", "only", 0), ("C", "f", None), ("A", "f", None), ("X", "z", 0), ("Y", "z", 0)],
+        "owner string, name string, arity int",
+    )
+    refs = [(1, "C", "m", 0), (2, "C", "m", 2), (3, "C", "k", 1), (4, "C", "only", 0), (5, "C", "none", 0), (6, "C", "f", None), (7, "C", "m", None), (8, None, "m", 0), (9, "B", "m", 0), (10, "A", "m", 0), (11, "X", "z", 0), (12, "gone", "m", 0), (1, "C", "m", 0)]
+    out = reach.members_of(spark.createDataFrame(refs, "id int, type string, name string, arity int"), m, e)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append((r.owner, r.distance))
+    assert {k: sorted(set(v)) for k, v in got.items()} == {
+        1: [("B", 1)], 2: [("A", 2)], 3: [("I", 1), ("J", 1)], 4: [("A", 2)], 6: [("C", 0)], 7: [("A", 2), ("B", 1)], 9: [("B", 0)], 10: [("A", 0)], 11: [("X", 0), ("Y", 1)],
+    }
+    assert len(got[1]) == 2  # repeated references stay
+
+
+def test_a_longer_way_still_dominates(spark):
+    """C reaches A in one step and B in two, but B lies below A: B's declaration hides A's."""
+    e = graph(spark, [("A", "C"), ("A", "B"), ("B", "X"), ("X", "C")])
+    m = spark.createDataFrame([("A", "m", 0), ("B", "m", 0)], "owner string, name string, arity int")
+    out = reach.members_of(spark.createDataFrame([("C", "m", 0)], "type string, name string, arity int"), m, e)
+    assert [(r.owner, r.distance) for r in out.collect()] == [("B", 2)]
