@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,9 @@ _KEYWORDS = frozenset(
 )
 _DOC_NAME = re.compile(r"@(?:param|throws|exception|see|link|linkplain|value)\s+<?([A-Za-z_$][\w$.]*)?(?:#([A-Za-z_$][\w$]*))?")
 
+#: Calls that one level of brackets takes at most, and those that a file may take; a deeper file keeps what was found above.
+FRAMES, MOST_FRAMES = 8, 200_000
+
 FACTS = (
     "path string, rel string, name string, owner string, package_name string, kind string, modifiers int, superclass string, items array<string>, "
     "type string, is_constructor boolean, start int, end int, line int, col int, message string"
@@ -139,10 +143,20 @@ class Parser:
 
     # unit
     def run(self) -> list[dict]:
+        depth = deepest = 0
+        for _, t, *_ in self.toks:
+            depth += (t in ("(", "{", "[", "<")) - (t in (")", "}", "]", ">"))
+            deepest = max(deepest, depth)
+        held = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(held, min(1000 + FRAMES * deepest, MOST_FRAMES)))
         try:
             self.unit()
-        except (_Stop, RecursionError):
+        except _Stop:
             self.problem("unexpected end of file", max(0, len(self.source) - 1), len(self.source))
+        except RecursionError:  # what was found so far stays
+            self.problem("nested too deeply", self.here(), self.here() + 1)
+        finally:
+            sys.setrecursionlimit(held)
         for s, e in self.docs:
             self.doc_names(s, e)
         self.balance()
@@ -179,6 +193,7 @@ class Parser:
             self.problem("missing ;", max(0, self.before() - 1), self.before())
 
     def import_(self) -> None:
+        start = self.here()
         self.take()
         self.accept("static")
         toks, star = [], False
@@ -197,8 +212,9 @@ class Parser:
         if toks and not star:
             full = ".".join(t[1] for t in toks)
             self.imports[toks[-1][1]] = full
-            self.ref(full, "TYPE_REFERENCE", toks[0][2], toks[-1][3])
         self.semicolon()
+        if toks and not star:
+            self.ref(full, "TYPE_REFERENCE", start, self.before())
 
     def modifiers(self) -> tuple[int, list[str], int]:
         """(bits, annotations, where they start)."""
@@ -381,7 +397,7 @@ class Parser:
                 self.take()
                 self.body("class", "", None)
             self.add("fields", start, self.before(), name=tok[1], owner=owner, type=owner, modifiers=0)
-            self.ref(owner, "CONSTRUCTOR_INVOCATION", tok[2], tok[3])
+            self.ref(owner, "CONSTRUCTOR_INVOCATION", start, self.before())
             if not self.accept(","):
                 break
         self.accept(";")
@@ -523,6 +539,8 @@ class Parser:
             if t == "(" and self.cast():
                 return
             self.take()
+            if t == "." and self.at() == "<":  # explicit type arguments of a call
+                self.arguments()
             return
         if kind != "name":
             self.take()
@@ -565,6 +583,13 @@ class Parser:
             start = self.here()
             self.type_decl(0, start)
             return
+        if t == "catch" and self.caught():
+            return
+        if t == "case" and self.is_name(1):
+            self.take()
+            if self.at(1) == "(" or self.looks_like_type(0, after_name=True, pattern=True):
+                self.type_()
+            return
         if t == "::":
             self.take()
             return
@@ -584,6 +609,26 @@ class Parser:
             return
         self.take()
 
+    def caught(self) -> bool:
+        """catch ( A | B e ): all types are recorded."""
+        j, last = 1, ""
+        if self.at(j) != "(":
+            return False
+        while self.kind(j + 1) == "name" or self.at(j + 1) in ("|", ".", "@"):
+            j += 1
+            last = self.kind(j)
+        if self.at(j + 1) != ")" or last != "name":
+            return False
+        self.i += 2
+        self.modifiers()
+        self.type_()
+        while self.accept("|"):
+            self.type_()
+        if self.is_name():
+            self.name(self.take())
+        self.accept(")")
+        return True
+
     def declaration(self) -> bool:
         """A local declaration: a type followed by a name and one of = ; : , )."""
         if self.at(-1) in (".", "::", "->") and self.at(-1) != "->" or not self.looks_like_type(0, after_name=True):
@@ -591,7 +636,7 @@ class Parser:
         self.type_()
         return True
 
-    def looks_like_type(self, k: int, after_name: bool) -> bool:
+    def looks_like_type(self, k: int, after_name: bool, pattern: bool = False) -> bool:
         """Whether tokens from k on read as a type, followed by a declared name (or by the end, if not after_name)."""
         j = k
         if not self.is_name(j):
@@ -612,10 +657,14 @@ class Parser:
                 j += 1
             elif depth == 0 and t == "[" and self.at(j + 1) == "]":
                 j += 2
+            elif depth == 0 and t == "&" and not after_name and self.is_name(j + 1):
+                j += 2  # an intersection
             else:
                 break
         if depth:
             return False
+        if pattern and self.is_name(j) and self.at(j + 1) in ("->", "when", "&&"):
+            return True
         if not after_name:
             return self.at(j) == ")"
         return self.is_name(j) and self.at(j + 1) in ("=", ";", ":", ",", ")") or self.is_name(j) and self.at(j + 1) == "[" and self.at(j + 2) == "]"
@@ -640,6 +689,8 @@ class Parser:
             return False  # arguments of a call, or a condition
         self.take()
         self.type_()
+        while self.accept("&"):
+            self.type_()
         self.accept(")")
         return True
 
@@ -706,6 +757,12 @@ class Parser:
             while self.at() == "." and self.is_name(1):
                 self.take()
                 self.name(self.take())
+            k = 0
+            while self.at(k) == "[" and self.at(k + 1) == "]":
+                k += 2
+            if self.at(k) == "." and self.at(k + 1) == "class":  # a class literal
+                start, end = self.toks[mark][2], self.before()
+                self.ref(self.resolve("".join(x[1] for x in self.toks[mark : self.i])), "TYPE_REFERENCE", start, end)
         if self.at() == "::":
             self.reference(mark)
 
