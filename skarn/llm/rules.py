@@ -24,6 +24,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Prior rates of a bad vote on a good and on a bad document, and the number of documents that they count as.
 FALSE_ALARM, HIT, PSEUDO = 0.002, 0.3, 1000
+#: A rule is written so that at most this share of its votes on good documents are bad.  It is what tells the classes apart:
+#: without it, EM calls whatever is frequent good.
+MOST_FALSE = 0.02
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -69,7 +72,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: i
     """Posterior probability of good for each row of patterns (votes -1, 0, 1), seen counts times.
 
     Classes start from the balance of votes.  The priors say what the rules were written for: a bad vote on a
-    good document is rare.  They count as PSEUDO documents, so that the data decide wherever there are more.
+    good document is rare.  They count as PSEUDO documents, so that the data decide wherever there are more, but for
+    two anchors: a good class's rate of bad votes stays under MOST_FALSE, and the bad class's is never below it.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -85,8 +89,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: i
         for j in range(m):
             bad_vote, good_vote = patterns[:, j] == -1, patterns[:, j] == 1
             voted = bad_vote | good_vote  # abstaining says nothing about the class
-            a = (w1[bad_vote].sum() + FALSE_ALARM * PSEUDO) / (w1[voted].sum() + PSEUDO)
-            b = (w0[bad_vote].sum() + HIT * PSEUDO) / (w0[voted].sum() + PSEUDO)
+            a = min((w1[bad_vote].sum() + FALSE_ALARM * PSEUDO) / (w1[voted].sum() + PSEUDO), MOST_FALSE)
+            b = max((w0[bad_vote].sum() + HIT * PSEUDO) / (w0[voted].sum() + PSEUDO), a)
             logit[bad_vote] += np.log(a) - np.log(b)
             logit[good_vote] += np.log(1 - a) - np.log(1 - b)
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tests.llm.util import WORD, corpus, empty, frame, long_text, prose, vocabulary
 
 from skarn.llm.classifier import _kappa, classify, keep_good, quality_classifier, site_posteriors, train
@@ -106,8 +107,8 @@ def test_posteriors_by_direct_em_over_rows(spark):
         p = (sum(post) + 1000 * 0.85) / (len(v) + 1000)
         new = [math.log(p / (1 - p))] * len(v)
         for j in range(len(names)):
-            a = (sum(w for w, x in zip(post, v) if x[j] == -1) + 0.002 * 1000) / (sum(w for w, x in zip(post, v) if x[j]) + 1000)
-            b = (sum(1 - w for w, x in zip(post, v) if x[j] == -1) + 0.3 * 1000) / (sum(1 - w for w, x in zip(post, v) if x[j]) + 1000)
+            a = min((sum(w for w, x in zip(post, v) if x[j] == -1) + 0.002 * 1000) / (sum(w for w, x in zip(post, v) if x[j]) + 1000), 0.02)
+            b = max((sum(1 - w for w, x in zip(post, v) if x[j] == -1) + 0.3 * 1000) / (sum(1 - w for w, x in zip(post, v) if x[j]) + 1000), a)
             new = [y + (math.log(a / b) if x[j] == -1 else math.log((1 - a) / (1 - b)) if x[j] == 1 else 0) for y, x in zip(new, v)]
         new = [1 / (1 + math.exp(-y)) for y in new]
         done, post = max(abs(x - y) for x, y in zip(new, post)) < 1e-9, new
@@ -144,3 +145,27 @@ def test_site_posteriors_by_hand(spark):
     for r in sites.collect():
         k = (r.host, r.path)
         assert abs(r.host_p - hp[r.host]) < 1e-9 and abs(r.path_p - (s[k] + kp * hp[r.host]) / (n[k] + kp)) < 1e-9
+
+
+@pytest.mark.parametrize("counts", [(100, 800, 800), (1000, 9000, 9000), (10**6, 10**6, 10**6), (10**4, 9 * 10**4, 0)])
+def test_the_majority_is_not_called_good_for_being_one(counts):
+    votes = np.ones((3, len(RULES)), int)
+    votes[1:, 5], votes[2, 6] = -1, -1
+    post = fit(votes, np.array(counts))
+    assert post[0] > 0.5 > max(post[1], post[2])
+
+
+def test_nine_bad_texts_in_ten(spark):
+    r = random.Random(8)
+    vocab = vocabulary(8)
+    rows = []
+    for i in range(850):
+        t = prose(r, vocab, 120) + "."
+        if i >= 50:
+            t = t.upper()
+            if i % 2:
+                w = t.split(" ")
+                t = " ".join(x + "!!" if k % 2 else x for k, x in enumerate(w))
+        rows.append((i, t, "en", "s"))
+    kept = {x.doc_id for x in quality_rules(frame(spark, rows)).where("kept").collect()}
+    assert kept == set(range(50))
