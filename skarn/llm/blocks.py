@@ -17,6 +17,8 @@ import re
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style iframe textarea title".split())
+#: Inline boxes: what stands before and behind them is not one word.
+_APART = frozenset("button iframe input select textarea".split())
 #: Elements whose content is no text, and what a head may hold.
 _SKIP = frozenset(("svg", "template", "head"))
 _IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -54,19 +56,31 @@ def _tokens(page: str):
     """
     at, size, quotes = 0, len(page), True
     missing: set[str] = set()
+    ahead: dict[str, int] = {}  # where a mark was found last, perhaps behind another that came first
 
     def find(what: str, start: int) -> int:
-        k = -1 if what in missing else page.find(what, start)
+        k = -1 if what in missing else ahead[what] if ahead.get(what, -1) >= start else page.find(what, start)
         if k < 0:
             missing.add(what)
+        ahead[what] = k
         return k
 
+    def comment_end(start: int) -> int:
+        """Behind a comment: <!--> and <!---> are whole ones, and --!> ends one as --> does."""
+        for whole in ("<!-->", "<!--->"):
+            if page.startswith(whole, start):
+                return start + len(whole)
+        ends = [k + len(mark) for mark in ("-->", "--!>") if (k := find(mark, start + 4)) >= 0]
+        return min(ends, default=size)
+
     while (lt := page.find("<", at)) >= 0:
         kind = page[lt + 1 : lt + 2]
         if kind in ("!", "?") or kind == "/" and not page[lt + 2 : lt + 3].isascii() or kind == "/" and not page[lt + 2 : lt + 3].isalpha():
-            mark = "-->" if page.startswith("<!--", lt) else ">"
-            k = find(mark, lt + 4 if mark == "-->" else lt)
-            at = size if k < 0 else k + len(mark)
+            if page.startswith("<!--", lt):
+                at = comment_end(lt)
+            else:
+                k = find(">", lt)
+                at = size if k < 0 else k + 1
             yield lt, at, False, None, (), False
             continue
         closing = kind == "/"
@@ -104,7 +118,7 @@ def _tokens(page: str):
                 missing.add(tag)
                 k = -1 if tag == "script" else page.find("<", at)
                 at = size if k < 0 else k
-        yield lt, at, False, None, (), False
+        yield lt, at, False, tag if tag in _APART else None, (), True
 
 
 def _bits(tag: str, attrs: list[tuple[str, str]]) -> int:
@@ -183,6 +197,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int]]:
         at = end
         if tag is None:
             continue
+        if tag in _APART:
+            add(" ")
         if closing:
             if tag in _BLOCK and not skipped:
                 flush()

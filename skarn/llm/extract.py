@@ -7,7 +7,8 @@ conditional likelihood of labelled pages (``pagegen``: seeded, of random layouts
 driver in a few seconds; Viterbi decodes.  The kept blocks are joined by \\n.
 
 A null or empty page, or one without main text, gives an empty text.  Pages are read whole, however long.
-Null and repeated ids and urls are passed on as they are.
+Null and repeated ids and urls are passed on as they are.  Of equally probable labellings
+one is taken from the last block back, furniture first.
 """
 
 from __future__ import annotations

@@ -20,6 +20,25 @@ def test_blocks_of_careless_markup():
     assert texts("") == [] and texts("plain\n\n text") == ["plain text"]
 
 
+def test_comments_end_as_in_a_browser():
+    for odd in ("<!-->", "<!--->", "<!-- x --!>", "<!-- a > b -- c -->", "<!---->", "<!-- <!-- -->", "<!doctype html>", "<!x>", "<?php ?>", "</ x>"):
+        assert texts(f"<p>a</p>{odd}<p>b</p><p>c</p>") == ["a", "b", "c"], odd
+    assert texts("<p>a</p><!-- never ends <p>b</p>") == ["a"] and texts("<p>a</p><!--x--!<p>b</p>-->c") == ["a", "c"]
+    assert texts("wo<!-- x -->rd wo<!--->rd") == ["word word"]
+    page = "<html><body><article>" + "".join(f"<p>Paragraph number {k} of this article has some words in it, and it ends here.</p><!-->" for k in range(5)) + "</article></body></html>"
+    assert train().extract(page).count("\n") == 4
+    began = time.perf_counter()
+    leaf_blocks("<!--->" * 200_000 + "<!-- x -->" * 100_000 + "--!>")
+    leaf_blocks("<!-- x -->" * 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_inline_boxes_do_not_glue_words():
+    assert texts("<div>a<button>go</button>text<input type=text>more<select><option>x</select>end<textarea>no</textarea>z</div>")[0].startswith("a go text more")
+    assert texts("<div>left<textarea>no</textarea>right</div>") == ["left right"] and texts("<div>left<iframe>no</iframe>right</div>") == ["left right"]
+    assert texts("<div>wo<b>r</b>d</div>") == ["word"]
+
+
 def test_held_out_pages():
     model = train()
     wrong = total = 0
