@@ -15,7 +15,8 @@ counted first, and a larger benchmark takes several passes over the documents, o
 read whole.
 
 Null or empty texts match nothing; null or empty items are never matched; an empty benchmark leaves all
-documents clean; repeated rows are judged alike.  Input columns are returned unchanged, whatever their names.
+documents clean; repeated rows are judged alike.  An item has one hit in a document, over all texts that its id
+has: the overlap with the most equal words, of these the earliest.  Input columns are returned unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -149,13 +150,14 @@ class Seeds:
             words = plain_hashes(c, start, end)
             rows: list[list[dict]] = [[] for _ in range(c.n)]
             bound = np.searchsorted(doc, np.arange(c.n + 1))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}  # by document and id: an id may have several texts
             for d, item, diag in self._candidates(words, doc).tolist():
                 got = self.verify(words, int(bound[d]), int(bound[d + 1]), item, diag)
-                if got and got[2] > best.get((d, item), (0, 0, 0))[2]:
-                    best[d, item] = got
+                key = d, self.ids[item]
+                if got and (key not in best or (got[2], -got[0]) > (best[key][2], -best[key][0])):
+                    best[key] = got
             for (d, item), (s, n, same) in sorted(best.items()):
-                rows[d].append({"item_id": self.ids[item], "first_word": s, "n_words": n, "n_equal": same})
+                rows[d].append({"item_id": item, "first_word": s, "n_words": n, "n_equal": same})
             out += rows
         return out
 

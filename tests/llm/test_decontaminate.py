@@ -81,3 +81,14 @@ def test_columns_and_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert keep_clean(df, bench.limit(0)).count() == 3
     assert benchmark_hits(empty(spark), bench).count() == 0
+
+
+def test_one_hit_for_an_id_with_several_texts(spark):
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    bench = spark.createDataFrame([(1, a), (1, b), (2, a), (1, a)], "item_id long, text string")
+    df = frame(spark, [(7, f"x {a} y {b} z {a}", "", ""), (8, b, "", "")])
+    got = {r.doc_id: r for r in benchmark_hits(df, bench).collect()}
+    assert got[7].item_ids == [1, 2] and got[7].n_items == 2 and got[7].most_equal == 11 and got[8].item_ids == [1]
+    assert [(h.item_id, h.first_word, h.n_equal) for h in got[7].hits] == [(1, 12, 11), (2, 1, 10)]
+    blocks = decontaminate(df, bench, block_bytes=60)
+    assert {(x.row.doc_id, h.item_id, h.n_equal) for x in blocks.collect() for h in x.hits} == {(7, 1, 11), (7, 2, 10), (8, 1, 11)}
