@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.bwt import covered_windows
@@ -118,9 +118,18 @@ def _deal(bucket: np.ndarray, n: int):
             yield b, o[cuts[b] : cuts[b + 1]]
 
 
+#: Odd multipliers under 2**32: a product with 31 bits stays a positive long.
+_DEAL_LOW, _DEAL_HIGH, _HALF = 2654435761, 2246822519, 2**31 - 1
+
+
 def _doc_bucket(rid: np.ndarray, n: int) -> np.ndarray:
-    """As the expression in dedup_substrings()."""
-    return rid % n
+    """The bucket of a document by a hash of its id; _bucket_of() says the same to Spark."""
+    return ((((rid & _HALF) * _DEAL_LOW) ^ (((rid >> 31) & _HALF) * _DEAL_HIGH)) >> 24) % n
+
+
+def _bucket_of(rid: Column, n: int) -> Column:
+    low, high = rid.bitwiseAND(F.lit(_HALF)), F.shiftright(rid, 31).bitwiseAND(F.lit(_HALF))
+    return (F.shiftright((low * F.lit(_DEAL_LOW)).bitwiseXOR(high * F.lit(_DEAL_HIGH)), 24) % F.lit(n)).cast("long")
 
 
 _ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -394,7 +403,7 @@ def _remove(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     r, t, s, e = r[o], t[o], s[o], e[o]
     rows = []
     docs = docs.combine_chunks()
-    rid, tk = docs["rid"].to_numpy(), docs["tk"].to_numpy()
+    rid, tk, nameless = docs["rid"].to_numpy(), docs["tk"].to_numpy(), docs["nameless"].to_pylist()
     column = docs["text"].combine_chunks() if isinstance(docs["text"], pa.ChunkedArray) else docs["text"]
     data, off = raw(column)
     lo, hi = np.searchsorted(r, rid, "left"), np.searchsorted(r, rid, "right")
@@ -412,7 +421,7 @@ def _remove(docs: pa.Table, ranges: pa.Table) -> pa.Table:
             sha.update(text[at:a])
             at = b
         sha.update(text[at:])
-        rows.append((None if rid[i] == _NONE else int(rid[i]), len(text), sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
+        rows.append((None if nameless[i] else int(rid[i]), len(text), sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
     return _table(rows, _DONE)
 
 
@@ -420,10 +429,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, block: i
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every document."""
     n = width(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), text.cast("binary").alias("text")).withColumn("tk", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("rid"), text.cast("binary").alias("text"), F.col(id_col).cast("long").isNull().alias("nameless")).withColumn("tk", F.xxhash64("text"))
     mini = rows.select("rid", "text").mapInArrow(_minimizers(n, length, k), _DDL)
     places = mini.groupBy("bucket").applyInArrow(_shared(n), _DDL)
-    dealt = rows.withColumn("bucket", F.pmod("rid", F.lit(n)).cast("long")).groupBy("bucket")
+    dealt = rows.withColumn("bucket", _bucket_of(F.col("rid"), n)).groupBy("bucket")
     segments = dealt.cogroup(places.groupBy("bucket")).applyInArrow(_segments(n, length, k), _DDL)
     ranges = segments.groupBy("bucket").applyInArrow(_expand(n, length, block), _DDL)
     return dealt.cogroup(ranges.groupBy("bucket")).applyInArrow(_remove, _DONE_DDL)

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-
+from pyspark.sql import functions as F
 from tests.llm.util import corpus, empty, frame, long_text
 
 from skarn.llm import substrings
@@ -95,3 +95,17 @@ def test_covered_windows_by_brute_force():
 def test_empty(spark):
     assert dedup_substrings(empty(spark)).count() == 0
     assert got(dedup_substrings(frame(spark, [(1, None, "", ""), (2, "", "", "")]))) == brute([(1, None), (2, "")])
+
+
+def test_ids_are_dealt_evenly_and_the_largest_is_an_id(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for step in (1, n, 64, 4096, 1 << 33):
+        ids = np.arange(4000, dtype=np.int64) * step
+        held = np.bincount(substrings._doc_bucket(ids, n), minlength=n)
+        assert held.min() > 0.7 * len(ids) / n, (step, held)
+    some = [0, 7, -5, 2**63 - 1, -(2**63), 10**12]
+    got_ = spark.createDataFrame([(i,) for i in some], "rid long").select("rid", substrings._bucket_of(F.col("rid"), 13).alias("b")).collect()
+    assert {r.rid: r.b for r in got_} == dict(zip(some, substrings._doc_bucket(np.array(some, np.int64), 13).tolist()))
+    text = long_text(40)
+    rows = [(2**63 - 1, text, "", ""), (None, text, "", ""), (8, "other " + text, "", ""), (16, "x", "", "")]
+    assert got(dedup_substrings(frame(spark, rows))) == brute([r[:2] for r in rows])
