@@ -132,7 +132,7 @@ def _estimate(k: int, shared: int, percent: int):
         whole = (na <= k) & (nb <= k)
         every = twice.sum(axis=1)
         exact = 100 * every >= percent * (na + nb - every)
-        return pa.array(np.where(whole, exact, common >= np.minimum(shared, np.ceil(0.75 * np.minimum(na, nb)))))
+        return pa.array(np.where(whole, exact, common >= np.minimum(shared, -(-percent * np.minimum(na, nb) // 100))))
 
     return F.arrow_udf(run, "boolean")
 
@@ -160,7 +160,7 @@ def _verify(width: int, percent: int):
 
 def _room(n: Column, size: Column, k: int, shared: int, percent: int) -> Column:
     """Values of a sketch to list: all but as many as a pair must share."""
-    need = F.when(n * 100 <= 75 * k, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(shared)).cast("int")
+    need = F.when(n * 100 <= percent * k, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(shared)).cast("int")
     return size - need + 1
 
 
@@ -265,11 +265,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
 def _placed(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, a, b (digest of the set) and of sets that are not empty root and least id of the component, of every document."""
     rows = cut(sketches(docs, k, width, id_col, text_col))
-    least = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), "n", "sketch")).alias("x"))
-    classes = cut(least.select(F.col("a").alias("node"), "b", "x.rep", "x.n", "x.sketch"))
+    least = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), "n", "sketch")).alias("x"), F.count("doc_id").alias("named"))
+    classes = cut(least.select(F.col("a").alias("node"), "b", "x.rep", "x.n", "x.sketch", "named"))
     root = components(linked_classes(docs, classes, k, shared, width, percent, id_col, text_col)).withColumnRenamed("u", "node")
-    named = classes.select("node", "b", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
+    named = classes.select("node", "b", "rep", "named").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = named.groupBy("root").agg(F.when(F.sum("named") > 0, F.min("rep")).alias("component"))  # null where no member has an id
     named = named.join(least_id, "root").select(F.col("node").alias("a"), "b", "root", "component")
     return rows.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left")
 
@@ -277,7 +277,7 @@ def _placed(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDT
 def near_duplicates(docs: DataFrame, k: int = K, shared: int = SHARED, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     out = _placed(docs, k, shared, width, percent, id_col, text_col)
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") == _NONE, F.lit(None)).otherwise(F.col("component")))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -107,3 +107,26 @@ def test_components(spark):
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0
     assert got(near_duplicates(frame(spark, [(1, None, None, None), (2, "", "", ""), (3, "a", "", ""), (4, "A", "", "")]))) == brute([(1, None), (2, ""), (3, "a"), (4, "A")])
+
+
+def test_the_largest_id_is_an_id(spark):
+    r = random.Random(13)
+    v = vocabulary(13)
+    a, b, c = (prose(r, v, 30) for _ in range(3))
+    top = 2**63 - 1
+    rows = [(top, a), (None, a), (None, b), (top, ""), (None, ""), (None, c), (5, c)]
+    got_ = sorted(((x.doc_id, x.component_id, x.kept) for x in near_duplicates(frame(spark, [(i, t, "", "") for i, t in rows])).collect()), key=str)
+    assert got_ == sorted([(top, top, True), (None, top, False), (None, None, False), (top, top, True), (None, None, False), (None, 5, False), (5, 5, True)], key=str)
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_other_thresholds(spark, percent):
+    rows = variants(percent, 30, 3)
+    sets = {i: {tuple(words(t.lower())[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t, *_ in rows}
+    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    out = near_duplicates(frame(spark, rows), percent=percent, shared=max(1, int(48 * percent / 100 * 0.6)))
+    assert {r.doc_id: r.component_id for r in out.collect()} == root
