@@ -3,8 +3,10 @@
 A text falls into sentences: a sentence ends with a word that ends in one of . ! ? and their full-width forms, or
 with the last word of a line.  Words are normalised by lower-casing A-Z and dropping ASCII punctuation; words of
 nothing else count as none, and sentences without words are passed over.  A unit is a paragraph: the shortest run
-of sentences, from any sentence on, that holds at least ``min_words`` words.  So a passage is found wherever in a
-line it stands and however its lines are broken within sentences, while a short stock line alone is no unit.
+of sentences, from any sentence on, that holds at least ``min_words`` words; or the whole text, where it holds fewer.
+So a passage is found wherever in a line it stands and however its lines are broken within sentences, while a short
+stock line within a text is no unit.  A word counts once more for every LONG_WORD code points that it has, so that
+text without spaces falls into units too.
 
 Units' 128-bit digests are grouped over all documents; the occurrence with the smallest rank (doc_id, number of
 its first sentence) stays and every other one, in whatever document, is removed, with the white space after it.
@@ -17,7 +19,7 @@ ones, very frequent ones over salts.  Texts are shuffled once, to join each with
 
 A null text counts as empty.  A null id ranks after all others.  Rows with the same id and the same text are
 the same document: they keep and lose the same units.  Rows with the same id and different texts rank by the
-text's hash.  Empty tables give empty results; texts with fewer than ``min_words`` words always stay whole.
+text's hash.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from skarn.llm.skew import SHARE, salted_join
 from skarn.llm.textops import Chunk, U64, _tables, chunks, mix
 
 MIN_WORDS = 16
+LONG_WORD = 16
 _LAST = 2**63 - 1
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -68,6 +71,8 @@ def paragraph_digests(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
     real = at[we] > at[ws]
     h = plain.hashes(at[ws[real]], at[we[real]])
     words = np.concatenate([[0], np.cumsum(real)])
+    points = np.concatenate([[0], np.cumsum(keep & ((c.data & 0xC0) != 0x80))])
+    weight = np.concatenate([[0], np.cumsum(real * (1 + (points[we] - points[ws]) // LONG_WORD))])
     last = np.flatnonzero(ends)
     first = np.concatenate([[0], last[:-1] + 1])
     lo, hi = words[first], words[last + 1]
@@ -75,9 +80,13 @@ def paragraph_digests(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
     first, last, lo, hi = first[some], last[some], lo[some], hi[some]
     sdoc = doc[first]
     number = np.arange(len(sdoc)) - np.searchsorted(sdoc, sdoc)
-    to = np.searchsorted(hi, lo + min_words)
+    before, upto = weight[first], weight[last + 1]
+    to = np.searchsorted(upto, before + min_words)
     ok = to < len(hi)
     ok[ok] = sdoc[to[ok]] == sdoc[ok]
+    end = np.searchsorted(sdoc, sdoc, side="right") - 1
+    short = (number == 0) & (upto[end] - before < min_words)  # a whole text
+    to[short], ok = end[short], ok | short
     a, b = np.flatnonzero(ok), to[ok]
     lo, hi = lo[a], hi[b]
     pw, inv = _tables(len(h) + 1)
@@ -165,12 +174,14 @@ marked AS (
          coalesce(sum((contains(piece, chr(10)) OR regexp_matches(word, '[.!?。！？]$'))::INT)
                   OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM words),
 sentences AS (
-  SELECT doc_id, sentence, min(k) AS k0, max(k) AS k1, count(*) FILTER (w <> '') AS n, list(w ORDER BY k) FILTER (w <> '') AS ws
+  SELECT doc_id, sentence, min(k) AS k0, max(k) AS k1, count(*) FILTER (w <> '') AS n, sum(1 + length(w) // 16) FILTER (w <> '') AS weight, list(w ORDER BY k) FILTER (w <> '') AS ws
   FROM marked GROUP BY doc_id, sentence HAVING count(*) FILTER (w <> '') > 0),
-counted AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY sentence)::BIGINT AS upto FROM sentences),
-starts AS (SELECT doc_id, sentence, k0, upto - n AS before, upto - n + 16 AS wanted FROM counted),
+counted AS (
+  SELECT *, sum(n) OVER x::BIGINT AS upto, sum(weight) OVER x::BIGINT AS weighed FROM sentences WINDOW x AS (PARTITION BY doc_id ORDER BY sentence)),
+starts AS (SELECT doc_id, sentence, k0, upto - n AS before, weighed - weight + 16 AS wanted FROM counted),
 units AS (
-  SELECT s.doc_id, s.sentence, s.k0, e.k1, s.before, e.upto FROM starts s ASOF JOIN counted e ON s.doc_id = e.doc_id AND s.wanted <= e.upto),
+  SELECT s.doc_id, s.sentence, s.k0, e.k1, s.before, e.upto FROM starts s ASOF JOIN counted e ON s.doc_id = e.doc_id AND s.wanted <= e.weighed
+  UNION ALL SELECT doc_id, min(sentence), min(k0), max(k1), 0, max(upto) FROM counted GROUP BY doc_id HAVING max(weighed) < 16),
 flat AS (SELECT doc_id, flatten(list(ws ORDER BY sentence)) AS ws FROM counted GROUP BY doc_id),
 judged AS (
   SELECT u.doc_id, k0, k1, row_number() OVER (PARTITION BY array_to_string(ws[before + 1 : upto], ' ') ORDER BY u.doc_id, sentence) > 1 AS gone

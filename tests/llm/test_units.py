@@ -28,11 +28,12 @@ def sentences(t):
 
 def paragraphs(t, least):
     s = sentences(t)
+    weight = lambda w: sum(1 + len(x) // 16 for x in w)
     for a in range(len(s)):
         w = []
         for b in range(a, len(s)):
             w += s[b][2]
-            if len(w) >= least:
+            if weight(w) >= least or a == 0 and b == len(s) - 1:
                 yield a, s[a][0], s[b][1], tuple(w)
                 break
 
@@ -88,3 +89,14 @@ def test_a_hot_unit_is_dealt_over_salts(spark):
     rows = [(i, f"own{i} " * 20 + "\n" + line, "", "") for i in range(6000)]
     out = unit_dedup(frame(spark, rows)).groupBy("n_removed").count().collect()
     assert {x.n_removed: x["count"] for x in out} == {0: 1, 1: 5999}
+
+
+def test_short_texts_and_texts_without_spaces(spark):
+    glyphs = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(5000))
+    short = "Twelve words stand in this text, and it ends with them here"
+    rows = [(1, short, "", ""), (2, short.upper() + " !", "", ""), (3, glyphs, "", ""), (4, glyphs, "", ""), (5, glyphs[:100], "", ""), (6, glyphs[:100], "", ""), (7, "one", "", ""), (8, "two", "", ""), (9, "... !", "", ""), (10, "... !", "", ""),
+            (11, f"A longer text that holds the short one too, and says more than it does. {short}. And on it goes for some more words than before.", "", "")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in unit_dedup(frame(spark, rows)).collect()}
+    assert got[2] == (1, "") and got[4] == (1, "") and got[6] == (1, "")
+    assert all(got[i] == (0, t) for i, t, *_ in rows if i not in (2, 4, 6))
+    assert sorted(((i, n, t) for i, (n, t) in got.items()), key=str) == sorted(((i, n, t) for i, n, _, t in brute(rows)), key=str)
