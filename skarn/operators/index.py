@@ -88,11 +88,16 @@ def reindex(index: dict[str, DataFrame], changed: DataFrame) -> dict[str, DataFr
 
 
 # lookups
-def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
+def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
     """Rows by exact key; the filter reaches a stored table's scan."""
     return table.where(F.col(key) == value)
 
 
+def members(table: DataFrame, types: DataFrame) -> DataFrame:
+    """Rows of methods or fields whose type is among types(declaring_type)."""
+    return table.join(types.select("declaring_type").distinct(), "declaring_type", "left_semi")
+
+
 def with_path(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Locations regain their path."""
     return refs.join(files.select(F.col("file_id").alias("_id"), "path"), F.col("loc.file_id") == F.col("_id")).drop("_id")

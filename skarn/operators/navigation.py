@@ -97,3 +97,21 @@ def covering_node(nodes: DataFrame, start: int, length: int) -> DataFrame:
     """The innermost of nodes(start, end, ...) that covers a range."""
     hit = nodes.where((F.col("start") <= start) & (F.col("end") >= start + length))
     return hit.orderBy(F.col("end") - F.col("start"), F.col("start").desc()).limit(1)
+
+
+def covering_nodes(ranges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Ranges(key..., at, upto) with start and end of the innermost of nodes(key..., start, end) that covers each.
+
+    A node of up to 2 ** k units is listed once, at level k in the bin of that width in which it starts; a range looks
+    into two bins of every level.  So the join is on key, level and bin, however long the nodes are.  Of equally long
+    nodes the later one is taken; ranges that nothing covers have no row.
+    """
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    placed = nodes.select(*key, "start", "end").withColumn("_level", F.ceil(F.log2(size)).cast("int")).withColumn("_bin", at("start"))
+    top = placed.agg(F.max("_level")).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(0 if top is None else top))
+    asked = ranges.select(*key, "at", "upto").distinct().withColumn("_level", F.explode(levels)).withColumn("_bin", F.explode(F.array(at("at"), at("at") - 1)))
+    hit = asked.join(placed, [*key, "_level", "_bin"]).where("start <= at and end >= upto")
+    best = hit.groupBy(*key, "at", "upto").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("later"), "start", "end")).alias("_x"))
+    return ranges.join(best.select(*key, "at", "upto", "_x.start", "_x.end"), [*key, "at", "upto"])

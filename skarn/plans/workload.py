@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import positions
 from skarn.functions.predicates import CAMELCASE, EXACT, PATTERN, PREFIX, ellipsis, has_modifier, matches_name, package_of
-from skarn.operators import batching, diagnostics, hierarchy, index, lineage, maintain
+from skarn.operators import batching, diagnostics, hierarchy, index, lineage, maintain, navigation, search
 from skarn.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +54,7 @@ def micros(ts: str):
 def find_usages(spark, sf_dir):
     """Every occurrence of one name; documents without it are skipped before tokenising."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").contains("the"))
-    return tokens(docs).where("name = 'the'").select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
+    return index.lookup(tokens(docs), "name", "the").select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
 
 
 @query(f"WITH {SQL_TOKENS} SELECT name, count(*) AS usages, count(DISTINCT doc_id) AS files FROM tok GROUP BY name")
@@ -69,15 +69,15 @@ def usage_counts(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size FROM part WHERE p_partkey = 77")
 def point_lookup(spark, sf_dir):
     """L1: one declaration by key; the filter reaches the scan."""
-    return t(spark, sf_dir, "part").where("p_partkey = 77").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("long").alias("p_size"))
+    return index.lookup(t(spark, sf_dir, "part"), "p_partkey", 77).select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("long").alias("p_size"))
 
 
 @query("SELECT c_custkey, o_orderkey, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT'")
 def members_of(spark, sf_dir):
     """L2/L3: members of the types that a filter selects."""
-    c = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_orderstatus")
+    types = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("declaring_type"))
+    o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("declaring_type"), "o_orderkey", "o_orderstatus")
+    return index.members(o, types).withColumnRenamed("declaring_type", "c_custkey")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name = 'red widget'")
@@ -111,8 +111,10 @@ UNION SELECT doc_id FROM documents WHERE source = 'src1'
 def candidates_type(spark, sf_dir):
     """Q2: files that use a name, or declare in a project; distinct over both."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    uses = tokens(docs.where(F.col("text").contains("with"))).where("name = 'with'").select("doc_id")
-    return uses.union(docs.where("source = 'src1'").select("doc_id")).distinct()
+    loc = F.struct(F.col("doc_id").alias("file_id")).alias("loc")
+    uses = tokens(docs.where(F.col("text").contains("with"))).select("name", loc)
+    declared = docs.where("source = 'src1'").select(F.lit("with").alias("target"), loc)
+    return search.candidates({"name_refs": uses, "type_refs": declared}, search.Pattern("TYPE", "with")).select(F.col("file_id").alias("doc_id"))
 
 
 @query(f"""
@@ -122,7 +124,8 @@ SELECT doc_id, strpos(text, 'the ')::BIGINT AS at FROM documents SEMI JOIN c USI
 def two_phase_search(spark, sf_dir):
     """Q1: candidates by the reference index, then the exact check on candidate files only."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    candidates = tokens(docs.where(F.col("text").contains("from"))).where("name = 'from'").select("doc_id").distinct()
+    uses = tokens(docs.where(F.col("text").contains("from"))).select("name", F.struct(F.col("doc_id").alias("file_id")).alias("loc"))
+    candidates = search.candidates({"name_refs": uses}, search.Pattern("METHOD", "from")).select(F.col("file_id").alias("doc_id"))
     at = F.instr("text", "the ").cast("long")
     return docs.where(F.col("text").contains("the ")).join(candidates, "doc_id", "left_semi").select("doc_id", at.alias("at"))
 
@@ -134,8 +137,9 @@ def element_ellipsis(spark, sf_dir):
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def direct_children(spark, sf_dir):
-    r = t(spark, sf_dir, "region").where("r_name = 'ASIA'")
-    return t(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "n_regionkey")
+    edges = n.join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_nationkey").alias("child"))
+    return n.join(hierarchy.direct(edges, "ASIA"), F.col("n_nationkey") == F.col("child"), "left_semi").select("n_nationkey", "n_name")
 
 
 def _tree(spark, sf_dir) -> DataFrame:
@@ -184,18 +188,20 @@ def closure_by_kind(spark, sf_dir):
 @query("SELECT o_orderkey, coalesce(c_name, 'unresolved#' || o_custkey) AS resolved FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def import_resolution(spark, sf_dir):
     """A name is resolved by a left join, and keeps its simple form where that finds nothing."""
-    known = t(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
-    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    name = F.coalesce("c_name", F.concat(F.lit("unresolved#"), F.col("o_custkey").cast("string")))
-    return o.join(known, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", name.alias("resolved"))
+    simple = lambda c: F.concat(F.lit("unresolved#"), F.col(c).cast("string"))
+    file = lambda c: F.pmod(F.col(c), F.lit(25))  # noqa: E731 - customers lie in 25 files, each a package
+    customers = t(spark, sf_dir, "customer")
+    types = customers.where("c_acctbal > 0").select(simple("c_custkey").alias("simple_name"), F.col("c_name").alias("qualified_name"), file("c_custkey").cast("string").alias("package_name"), F.struct(file("c_custkey").alias("file_id")).alias("loc"))
+    refs = t(spark, sf_dir, "orders").select(simple("o_custkey").alias("target"), F.lit("TYPE_REFERENCE").alias("kind"), F.struct(file("o_custkey").alias("file_id"), "o_orderkey").alias("loc"))
+    return index.resolved_refs({"types": types, "type_refs": refs}).select("loc.o_orderkey", F.col("target").alias("resolved"))
 
 
 @query("SELECT p_brand, count(*) AS refs, count(DISTINCT l_orderkey) AS files, sum(l_linenumber)::BIGINT AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def rehydrate(spark, sf_dir):
     """Locations regain their path by an equi-join with the registry."""
-    loc = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
-    reg = t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return loc.join(reg, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("refs"), F.countDistinct("l_orderkey").alias("files"), F.sum("l_linenumber").cast("long").alias("lines"))
+    refs = t(spark, sf_dir, "lineitem").select(F.struct(F.col("l_partkey").alias("file_id")).alias("loc"), "l_orderkey", "l_linenumber")
+    files = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("path"))
+    return index.with_path(refs, files).groupBy(F.col("path").alias("p_brand")).agg(F.count("*").alias("refs"), F.countDistinct("l_orderkey").alias("files"), F.sum("l_linenumber").cast("long").alias("lines"))
 
 
 @query("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
@@ -231,24 +237,19 @@ m AS (SELECT p.user_id, "at", s, e, row_number() OVER (PARTITION BY p.user_id, "
 SELECT user_id, "at", s, e FROM m WHERE r = 1
 """)
 def covering_interval(spark, sf_dir):
-    """NodeFinder: the innermost interval that covers a range.
-
-    Interval starts and ranges are binned, so the join is on (user, bin) and touches near neighbours only.
-    """
-    width = 128  # longer than any interval: a covering one starts in the range's bin or the one before
+    """NodeFinder: the innermost node that covers a range, for all ranges at once."""
     ev = t(spark, sf_dir, "events")
-    i = ev.select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 40 + (F.col("event_id") % 7) * 10).alias("e")).withColumn("bin", F.floor(F.col("s") / width))
-    p = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("at"), (F.col("event_id") + 5).alias("upto"))
-    p = p.withColumn("bin", F.explode(F.array(F.floor(F.col("at") / width), F.floor(F.col("at") / width) - 1)))
-    hit = p.join(i, ["user_id", "bin"]).where("s <= at and e >= upto")
-    return hit.groupBy("user_id", "at").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("neg"), "s", "e")).alias("x")).select("user_id", "at", "x.s", "x.e")
+    nodes = ev.select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 40 + (F.col("event_id") % 7) * 10).alias("end"))
+    ranges = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("at"), (F.col("event_id") + 5).alias("upto"))
+    found = navigation.covering_nodes(ranges, nodes, ["user_id"])
+    return found.select("user_id", "at", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def last_writer_wins(spark, sf_dir):
     """The last state of every key, by aggregation with map-side combining."""
-    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "x.event_id", "x.event_type")
+    ev = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return maintain.last_writer(ev, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 SQL_SNAPSHOTS = """
