@@ -71,6 +71,16 @@ def of_project(rows: DataFrame, project_path: str) -> DataFrame:
     return rows.where(F.col("file_path").startswith(project_path.rstrip("/") + "/"))
 
 
+def store(rows: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with those of files(path) replaced by fresh ones; a file without fresh rows has none any more."""
+    return rows.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti").unionByName(fresh)
+
+
+def files_with_diagnostics(rows: DataFrame) -> DataFrame:
+    """(path) of the files that have any."""
+    return rows.select(F.col("file_path").alias("path")).distinct()
+
+
 def of_file(rows: DataFrame, path: str) -> DataFrame:
     return rows.where(F.col("file_path") == path)
 

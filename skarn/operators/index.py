@@ -45,11 +45,16 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def build_in_phases(files: DataFrame, classpath: list[str], ready: Callable[[dict[str, DataFrame]], None]) -> dict[str, DataFrame]:
-    """Two phases: the structural index is handed to ``ready`` first, and diagnostics follow unless the classpath is empty."""
-    whole = build(files)
-    first = whole | {"diagnostics": whole["diagnostics"].limit(0)}
-    ready(first)
-    return whole if classpath else first
+    """Declarations first, in a job of their own that reads no bodies; ``ready`` gets them before any body is read.
+
+    Then references, and diagnostics with them, which an empty classpath leaves out.
+    """
+    registry = cut(intern(files).join(files.select("path", "mtime_ms"), "path").select("file_id", "path", "mtime_ms"))
+    ids = registry.select("file_id", "path")
+    early = tables(cut(extract(files, bodies=False)), ids) | {"files": registry}
+    ready(early)
+    whole = tables(cut(extract(files, diagnose=bool(classpath))), ids)
+    return whole | {"files": registry}
 
 
 def distinct_declarations(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -67,9 +72,17 @@ def stats(index: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy().pivot("table", ["types", "methods", "fields", "files"]).sum("n")
 
 
-def remove_files(index: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """The index without the facts of files(file_id, path) that are gone."""
+def remove_files(index: dict[str, DataFrame], gone: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
+    """The index without the facts of files(file_id, path) that are gone.
+
+    compat: the types that these files declare go altogether, with what other files declare of or in them.
+    """
     ids = gone.select("file_id").distinct()
+    if compat:
+        names = index["types"].join(ids, F.col("loc.file_id") == ids["file_id"], "left_semi").select(F.col("qualified_name").alias("declaring_type")).distinct()
+        others = {t: index[t].join(names, "declaring_type", "left_anti").select(*index[t].columns) for t in ("methods", "fields")}
+        others["types"] = index["types"].join(names, F.col("qualified_name") == F.col("declaring_type"), "left_anti")
+        return remove_files(index | others, gone)
     out = {t: index[t].join(ids, F.col("loc.file_id") == ids["file_id"], "left_anti") for t in ("types", "methods", "fields", "type_refs", "name_refs")}
     out["diagnostics"] = index["diagnostics"].join(gone.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
     out["files"] = index["files"].join(ids, "file_id", "left_anti")
@@ -124,3 +137,21 @@ def parse_quality(index: dict[str, DataFrame]) -> DataFrame:
     n = index["files"].agg(F.count("*").alias("files"))
     both = n.withColumn("_k", F.lit(1)).join(F.broadcast(bad.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row each
     return both.withColumn("percent", F.round(100.0 * F.col("files_with_errors") / F.greatest("files", F.lit(1)), 4))
+
+
+def node_quality(nodes: DataFrame) -> DataFrame:
+    """One row: nodes, erroneous ones, kinds of errors, and the share of erroneous nodes in percent."""
+    bad = F.col("kind") == "diagnostics"
+    n = nodes.agg(F.count("*").alias("nodes"), F.count(F.when(bad, 1)).alias("erroneous"), F.countDistinct(F.when(bad, F.col("name"))).alias("error_types"))
+    return n.withColumn("percent", F.round(100.0 * F.col("erroneous") / F.greatest("nodes", F.lit(1)), 4))
+
+
+def file_metadata(index: dict[str, DataFrame], paths: DataFrame) -> DataFrame:
+    """(path, indexed, types, mtime_ms) of paths(path): the declared types, null for files that are not indexed, and their stamp or 0."""
+    asked = paths.select("path").distinct()
+    known = index["files"].join(asked, "path").select("path", "file_id", "mtime_ms")
+    declared = index["types"].select(F.col("loc.file_id").alias("file_id"), "qualified_name").join(known.select("file_id"), "file_id", "left_semi")
+    declared = declared.groupBy("file_id").agg(F.sort_array(F.collect_set("qualified_name")).alias("types"))
+    both = asked.join(known.join(declared, "file_id", "left"), "path", "left")
+    types = F.when(F.col("file_id").isNotNull(), F.coalesce("types", F.array().cast("array<string>")))
+    return both.select("path", F.col("file_id").isNotNull().alias("indexed"), types.alias("types"), F.coalesce("mtime_ms", F.lit(0).cast("long")).alias("mtime_ms"))

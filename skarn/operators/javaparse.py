@@ -47,10 +47,13 @@ class _Stop(Exception):
 
 
 class Parser:
-    """Facts of one source text, as dicts of FACTS columns without the path."""
+    """Facts of one source text, as dicts of FACTS columns without the path.
 
-    def __init__(self, source: str):
-        self.source = source
+    Without bodies, only declarations outside of blocks and initialisers are read, and nothing is diagnosed.
+    """
+
+    def __init__(self, source: str, bodies: bool = True, diagnose: bool = True):
+        self.source, self.bodies, self.diagnose = source, bodies, diagnose and bodies
         self.facts: list[dict] = []
         self.imports: dict[str, str] = {}
         self.package = ""
@@ -110,8 +113,8 @@ class Parser:
     def skip_pair(self, opening: str, closing: str) -> None:
         depth = 0
         while self.i < len(self.toks):
-            t = self.take()[1]
-            depth += (t == opening) - (t == closing)
+            kind, t, *_ = self.take()
+            depth += kind == "op" and (t == opening) - (t == closing)
             if depth == 0:
                 return
 
@@ -157,9 +160,14 @@ class Parser:
             self.problem("nested too deeply", self.here(), self.here() + 1)
         finally:
             sys.setrecursionlimit(held)
-        for s, e in self.docs:
-            self.doc_names(s, e)
-        self.balance()
+        if self.bodies:
+            for s, e in self.docs:
+                self.doc_names(s, e)
+        if self.diagnose:
+            self.balance()
+            self.statements()
+        else:
+            self.facts = [f for f in self.facts if f["rel"] != "diagnostics"]
         return self.located()
 
     def unit(self) -> None:
@@ -496,6 +504,8 @@ class Parser:
         self.scan_pair("{", "}", super_)
 
     def scan_pair(self, opening: str, closing: str, super_: str | None = None) -> None:
+        if not self.bodies:
+            return self.skip_pair(opening, closing)
         depth = 0
         while self.i < len(self.toks):
             t = self.at()
@@ -518,6 +528,8 @@ class Parser:
                 return
             if t in "([{" and self.kind() == "op":
                 self.scan_pair(t, {"(": ")", "[": "]", "{": "}"}[t])
+            elif not self.bodies and t != "<":
+                self.take()
             elif declarator and t == "<":
                 mark, held = self.i, len(self.facts)
                 self.arguments()
@@ -824,8 +836,7 @@ class Parser:
             self.problem(f"unbalanced {stack[-1][0]}", stack[-1][1], stack[-1][2])
 
     def located(self) -> list[dict]:
-        """Facts with UTF-16 offsets, lines and columns; statements that lack a semicolon are reported."""
-        self.statements()
+        """Facts with UTF-16 offsets, lines and columns."""
         src = self.source
         ends = [i for i, c in enumerate(src) if c == "\n"]
         wide = [i for i, c in enumerate(src) if c > "￿"]
@@ -862,20 +873,20 @@ class Parser:
                 return
 
 
-def parse(source: str | None) -> list[dict]:
+def parse(source: str | None, bodies: bool = True, diagnose: bool = True) -> list[dict]:
     """Facts of one source text; null has none."""
-    return [] if source is None else Parser(source).run()
+    return [] if source is None else Parser(source, bodies, diagnose).run()
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """FACTS of files(path, content), one row per fact."""
+def extract(files: DataFrame, bodies: bool = True, diagnose: bool = True) -> DataFrame:
+    """FACTS of files(path, content), one row per fact; without bodies, of declarations only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows: list[dict] = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    found = parse(content.as_py())
+                    found = parse(content.as_py(), bodies, diagnose)
                 except Exception as e:  # one unreadable file must not end the task
                     found = [{"rel": "diagnostics", "start": 0, "end": 1, "line": 1, "col": 0, "kind": "ERROR", "message": f"not parsed: {type(e).__name__}"}]
                 rows += [{**f, "path": path} for f in found]
@@ -901,3 +912,40 @@ def comments(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, start int, end int, javadoc boolean")
+
+
+_NODES = "path string, kind string, name string, start int, end int, number int, last int, depth int, parent int, enclosing_type string"
+_NODE_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.split(" ") for c in _NODES.split(", "))])
+
+
+def node_rows(source: str | None) -> list[tuple]:
+    """The ranges that the parser sees, nested: (kind, name, start, end, number, last, depth, parent, enclosing_type).
+
+    Numbers are in pre-order from 0; a node holds the nodes from its number to last.  Ranges that cross, as
+    those of faulty sources may, nest by where they start.
+    """
+    facts = sorted(parse(source), key=lambda f: (f["start"], -f["end"], f["rel"] != "types", f["rel"]))
+    out: list[list] = []
+    open_: list[int] = []
+    for f in facts:
+        while open_ and out[open_[-1]][3] <= f["start"] and not (out[open_[-1]][2] == f["start"] and out[open_[-1]][3] == f["end"]):
+            out[open_.pop()][5] = len(out) - 1
+        around = next((out[k] for k in reversed(open_) if out[k][0] == "types"), None)
+        out.append([f["rel"], f.get("name") or f.get("message"), f["start"], f["end"], len(out), len(out), len(open_), open_[-1] if open_ else None, around[1] if around else None])
+        open_.append(len(out) - 1)
+    for k in open_:
+        out[k][5] = len(out) - 1
+    return [tuple(r) for r in out]
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """node_rows() of files(path, content)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [(path, *r) for r in node_rows(content.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _NODE_SCHEMA)], schema=_NODE_SCHEMA)
+
+    return files.select("path", "content").mapInArrow(run, _NODES)

@@ -80,10 +80,14 @@ def definition(index: dict[str, DataFrame], files: DataFrame, path: str, line: i
     return local if local is not None else _find(index, files, path, line, char, DECLARATIONS)
 
 
-def references(index: dict[str, DataFrame], files: DataFrame, path: str, line: int, char: int, include_declaration: bool = False) -> DataFrame:
-    """Uses of the symbol at a position; a local's are looked for in its file only."""
+def references(index: dict[str, DataFrame], files: DataFrame, path: str, line: int, char: int, include_declaration: bool = False, kind: str | None = None) -> DataFrame:
+    """Uses of the symbol at a position; a local's are looked for in its file only.
+
+    kind: only matches whose kind's name holds it, such as FIELD or REFERENCE.
+    """
     local = _local(files, path, line, char, include_declaration, True)
-    return local if local is not None else _find(index, files, path, line, char, ALL if include_declaration else REFERENCES)
+    found = local if local is not None else _find(index, files, path, line, char, ALL if include_declaration else REFERENCES)
+    return found if kind is None else found.where(F.col("kind").contains(kind))
 
 
 def _find(index, files, path, line, char, search_for) -> DataFrame:
