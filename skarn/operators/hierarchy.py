@@ -63,3 +63,12 @@ def qualified_superclasses(types: DataFrame) -> DataFrame:
     own = types.select(F.col("package_name").alias("_p"), F.col("simple_name").alias("_s"), F.col("qualified_name").alias("_q"))
     hit = (F.col("package_name") == F.col("_p")) & (F.col("superclass") == F.col("_s"))
     return types.join(own, hit, "left").withColumn("superclass", F.coalesce("_q", "superclass")).drop("_p", "_s", "_q")
+
+
+def super_edges(types: DataFrame) -> DataFrame:
+    """(parent, child) by superclass and interfaces; simple names of the same package are qualified by a join."""
+    above = F.array_compact(F.concat(F.coalesce("interfaces", F.array().cast("array<string>")), F.array("superclass")))
+    named = types.select("package_name", F.col("qualified_name").alias("child"), F.explode(above).alias("parent")).where("parent != ''")
+    own = types.select(F.col("package_name").alias("_p"), F.col("simple_name").alias("parent"), F.col("qualified_name").alias("_q")).distinct()
+    both = named.join(own, (named["package_name"].eqNullSafe(own["_p"])) & (named["parent"] == own["parent"]), "left")
+    return both.select(F.coalesce("_q", named["parent"]).alias("parent"), "child").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skarn.operators.javaparse import extract
 from skarn.operators.lineage import cut
 from skarn.operators.maintain import intern, last_writer
+from skarn.operators.projects import of_project
 
 TABLES = ("types", "methods", "fields", "type_refs", "name_refs", "diagnostics")
 
@@ -128,7 +129,8 @@ def resolved_refs(index: dict[str, DataFrame]) -> DataFrame:
 
 def remove_project(index: dict[str, DataFrame], project_path: str) -> dict[str, DataFrame]:
     """The index without the files below a project's path."""
-    return remove_files(index, index["files"].where(F.col("path").startswith(project_path.rstrip("/") + "/")))
+    project = index["files"].sparkSession.createDataFrame([("project", project_path)], "name string, path string")
+    return remove_files(index, of_project(index["files"], project, "project"))
 
 
 def parse_quality(index: dict[str, DataFrame]) -> DataFrame:

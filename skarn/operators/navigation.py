@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.operators.hierarchy import super_edges
 from skarn.operators.javaparse import Parser
+from skarn.operators.reach import members_of
 from skarn.operators.scopes import FIELD, Scoping
 from skarn.operators.search import ALL, DECLARATIONS, REFERENCES, Pattern, occurrences_of, search
 
@@ -119,3 +121,19 @@ def covering_nodes(ranges: DataFrame, nodes: DataFrame, key: list[str]) -> DataF
     hit = asked.join(placed, [*key, "_level", "_bin"]).where("start <= at and end >= upto")
     best = hit.groupBy(*key, "at", "upto").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("later"), "start", "end")).alias("_x"))
     return ranges.join(best.select(*key, "at", "upto", "_x.start", "_x.end"), [*key, "at", "upto"])
+
+
+def resolved_members(index: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """(path, offset, what, simple, owner, distance): the declarations that field and method references mean.
+
+    found: occurrences; those whose receiver's type the file tells are looked up in that type and all above it, by
+    name, as their number of arguments is not known.  Several rows where several types or unrelated declarations fit.
+    """
+    refs = found.where("role = 'REFERENCE' AND what IN ('METHOD', 'FIELD') AND declaring IS NOT NULL").select("path", "offset", "what", "simple", "declaring")
+    types = index["types"].select(F.col("simple_name").alias("declaring"), F.col("qualified_name").alias("type")).distinct()
+    key = lambda what, name: F.concat(F.lit(f"{what} "), F.col(name)).alias("name")
+    asked = refs.join(types, "declaring").select("path", "offset", "what", "simple", "type", F.concat("what", F.lit(" "), "simple").alias("name"), F.lit(None).cast("int").alias("arity"))
+    fields = index["fields"].select(F.col("declaring_type").alias("owner"), key("FIELD", "field_name"), F.lit(None).cast("int").alias("arity"))
+    methods = index["methods"].select(F.col("declaring_type").alias("owner"), key("METHOD", "method_name"), F.size("param_types").alias("arity"))
+    members = members_of(asked, fields.union(methods), super_edges(index["types"]))
+    return members.select("path", "offset", "what", "simple", "owner", "distance").distinct()

@@ -117,3 +117,23 @@ def test_a_longer_way_still_dominates(spark):
     m = spark.createDataFrame([("A", "m", 0), ("B", "m", 0)], "owner string, name string, arity int")
     out = reach.members_of(spark.createDataFrame([("C", "m", 0)], "type string, name string, arity int"), m, e)
     assert [(r.owner, r.distance) for r in out.collect()] == [("B", 2)]
+
+
+def test_references_are_resolved_across_files(spark):
+    from skarn.operators import index as ix
+    from skarn.operators.navigation import resolved_members
+    from skarn.operators.search import occurrences
+    from skarn.sources.files import in_memory
+
+    files = in_memory(spark, [
+        ("/Base.java", "package p; public class Base implements Named { int total; void run() {} void run(int n) {} public String name() { return null; } }"),
+        ("/Named.java", "package p; interface Named { String name(); int rank(); }"),
+        ("/Mid.java", "package p; class Mid extends Base { void run() {} }"),
+        ("/Use.java", "package q; import p.Mid; class Use { void m(Mid mid, Other o) { mid.run(); mid.total = mid.rank(); mid.name(); o.run(); mid.none(); } }"),
+    ])
+    out = resolved_members(ix.build(files), occurrences(files)).collect()
+    got = {}
+    for r in out:
+        if r.path == "/Use.java":
+            got.setdefault((r.what, r.simple), set()).add((r.owner, r.distance))
+    assert got == {("METHOD", "run"): {("p.Mid", 0), ("p.Base", 1)}, ("FIELD", "total"): {("p.Base", 1)}, ("METHOD", "rank"): {("p.Named", 2)}, ("METHOD", "name"): {("p.Base", 1)}}
