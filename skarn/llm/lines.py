@@ -9,8 +9,9 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
   them.  Any order common to all lines keeps the join exact; counting classes keeps it a table of fixed size.
 * Prefix filter: two sets that reach the threshold share a word among the first n - ceil(t n) + 1 of each.
   Only those words are listed, and words listed once are dropped.  Length and positional filters prune pairs,
-  and so does a 128-bit parity sketch of each set: every bit in which two sketches differ takes one word that
-  only one of the sets has, so no pair within the threshold is lost.
+  and so does a parity sketch of each set: every bit in which two sketches differ takes one word that only one
+  of the sets has, so no pair within the threshold is lost.  It has 128 bits, and for lines of over WIDE words,
+  of which so few bits would tell little, 512 more.
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
   take the closest by sketch of those beside them in a list, in blocks of about 64 by size, and only those that
   match neither are compared with all candidates.  So a line in thousands of variants costs a star of pairs.
@@ -41,6 +42,8 @@ PERCENT = 80
 MIN_WORDS = 5
 BUCKETS = 1 << 15
 HOT_BITS = 12
+#: Lines of more words have a wide sketch of so many longs as well; it tells lines of up to some 900 words apart.
+WIDE, LONGS = 180, 8
 _NONE = 2**63 - 1
 
 
@@ -100,6 +103,13 @@ def _sketch(codes: Column, k: int) -> Column:
     return F.aggregate(half, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
+def _wide_sketch(codes: Column) -> Column:
+    """Parities by 64 * LONGS classes, as a struct of longs."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda k: F.filter(codes, lambda c: c.bitwiseAND(F.lit(64 * (LONGS - 1))) == F.lit(64 * k))
+    return F.struct(*(F.aggregate(of(k), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c))).alias(f"w{k}") for k in range(LONGS)))
+
+
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100.0) - 1e-9)
 
@@ -118,7 +128,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     sets = line_sets(lines, ranks, min_words).select(
         "mid", "rid", "key", "no", "n",
-        F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes"), 0).alias("s0"), _sketch(F.col("codes"), 1).alias("s1"), F.slice("codes", F.lit(1), room).alias("prefix"),
+        F.xxhash64("codes").alias("a"), F.hash("codes", "n").alias("b"), _sketch(F.col("codes"), 0).alias("s0"), _sketch(F.col("codes"), 1).alias("s1"),
+        F.when(F.col("n") > WIDE, _wide_sketch(F.col("codes"))).alias("w"), F.slice("codes", F.lit(1), room).alias("prefix"),
     )
     base = tmp.keep(sets, "base")
     total = base.count()
@@ -131,13 +142,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     later = tmp.keep(narrow.where(F.col("first").isNotNull() & (place() > F.struct("first.rid", "first.key", "first.no"))).select("rid", "key", "no"), "later")
     firsts = narrow.where(F.col("first").isNull() | (F.col("mid") == F.col("first.mid"))).select("mid")
     once, least = flagged.where("not is_copied"), flagged.where("is_copied").join(firsts, "mid", "left_semi")
-    firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix").union(least.select("mid", "rid", "key", "no", "n", "s0", "s1", "prefix")), "firsts")
+    firsts = tmp.keep(once.select("mid", "rid", "key", "no", "n", "s0", "s1", "w", "prefix").union(least.select("mid", "rid", "key", "no", "n", "s0", "s1", "w", "prefix")), "firsts")
     tmp.drop("base")
     tmp.drop("narrow")
 
-    # (code, mid, rid, s0, s1, np, c): every listed prefix word with the first line of its list
+    # (code, mid, rid, s0, s1, w, np, c): every listed prefix word with the first line of its list
     np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
-    entries = firsts.select("mid", "rid", "s0", "s1", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", np)
+    entries = firsts.select("mid", "rid", "s0", "s1", "w", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", "w", np)
     many = words >> HOT_BITS  # words in more lines than this are at most 2 ** HOT_BITS
     entry = F.struct("rid", "mid", "s0", "s1", "np")
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(rank(many) << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many), "hot")
@@ -151,13 +162,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     ids = tmp.keep(firsts.select("mid", "rid", "key", "no"), "ids")
     tmp.drop("firsts")
 
-    def near(x: str, y: str) -> tuple[Column, Column]:
+    def near(x: str, y: str, wide: bool = False) -> tuple[Column, Column]:
         """Length, positional and sketch filters, and the number of bits in which sketches differ."""
         n = lambda r: F.shiftright(F.col(f"{r}np"), 32)
         left = lambda r: n(r) - F.col(f"{r}np").bitwiseAND(F.lit((1 << 32) - 1))
         overlap = _overlap(n(x), n(y), percent)
         far = sum((F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))) for k in (0, 1)), F.lit(0))
-        return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (F.least(left(x), left(y)) >= overlap) & (far <= n(x) + n(y) - 2 * overlap), far
+        apart = n(x) + n(y) - 2 * overlap  # words that only one of two sets within the threshold has, at most
+        fits = (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (F.least(left(x), left(y)) >= overlap) & (far <= apart)
+        if wide:
+            differ = sum((F.bit_count(F.col(f"{x}w.w{k}").bitwiseXOR(F.col(f"{y}w.w{k}"))) for k in range(LONGS)), F.lit(0))
+            fits = fits & F.coalesce(differ <= apart, F.lit(True))  # null where one has no wide sketch
+        return fits, far
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(mid, rid, key, no) of the later lines of the pairs (x, y) that reach the threshold."""
@@ -203,9 +219,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     def candidates(x: DataFrame, y: DataFrame, *within: str) -> tuple[DataFrame, Column]:
         # both sides have the same c; comparing them has both read the same columns, so that they can share an exchange
-        x = x.select("code", *within, F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
-        y = y.select("code", *within, F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "np")))
-        fits, far = near("x_", "y_")
+        x = x.select("code", *within, F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "w", "np")))
+        y = y.select("code", *within, F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "w", "np")))
+        fits, far = near("x_", "y_", wide=True)
         return x.join(y, ["code", *within]).where((F.col("x_c") <= F.col("c_mid")) & (F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
 
     dealt = lists.repartition("code", "block")  # one exchange for both sides, which are told apart behind it

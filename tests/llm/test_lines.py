@@ -97,3 +97,19 @@ def test_words_that_lead_many_lists(spark, monkeypatch):
     v = vocabulary(9, 30)
     rows = [(i, " ".join(["rareword", *r.sample(v, 6)]), "", "") for i in range(150)]
     assert got(line_dedup(frame(spark, rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("wide", [180, 6])
+def test_long_lines_and_wide_sketches(spark, monkeypatch, wide):
+    """Lines around the size from which sketches are wide, near and far from one another."""
+    monkeypatch.setattr("skarn.llm.lines.WIDE", wide)
+    r = random.Random(17)
+    v = vocabulary(17, 1500)
+    base = [r.sample(v, n) for n in (150, 178, 181, 200, 230, 400, 900, 1200)]
+    rows = []
+    for w in base:
+        for share in (0, 0.05, 0.1, 0.12, 0.2):
+            k = [r.choice(v) if r.random() < share else x for x in w] + r.sample(v, r.randint(0, 12))
+            r.shuffle(k)
+            rows.append((len(rows), " ".join(k), "", ""))
+    assert got(line_dedup(frame(spark, rows))) == brute(rows)
