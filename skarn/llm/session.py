@@ -14,3 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session is set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
