@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs.  All but the last return the columns of `documents`.
+
+Null texts count as empty and null ids as ids of their own; documents without words, or whose every line repeats,
+stay rows with what is left of their text.  Repeated rows are one document to line dedup and near-dedup, which keeps
+one of them.  Ties are those of the stages' operators.  Texts of any length are read whole, an empty table gives no
+pieces, and further columns, whatever their names, go along until the packing.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm import classifier, decontaminate, lines, minhash, packing
-from skarn.llm.session import shared_folder, table
+from skarn.llm.session import delete, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; a stage's input goes once it is used."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        now = f"{at}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        docs = spark.read.parquet(now)
+        if before:
+            delete(spark, before)
+        before = now
     return docs
