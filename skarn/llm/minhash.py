@@ -164,13 +164,18 @@ def _room(n: Column, size: Column, k: int, shared: int, percent: int) -> Column:
     return size - need + 1
 
 
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of the values that several hold, with how often.  Counts combine before the shuffle, and a join, unlike a window, can be split where a value is in many rows."""
+    return rows.join(rows.groupBy("value").agg(F.count("*").alias(name)).where(F.col(name) > 1), "value")
+
+
 def _rarest(values: DataFrame, room: Column) -> DataFrame:
     """(value, node, pos, own, ...) of each node's room rarest values; own: its values that no other node holds, left out.
 
     values has node, value, size (values of the node) and what room needs.  Values seen once are the rarest and take
     the first places.
     """
-    often = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
+    often = _counted(values, "f")
     w = Window.partitionBy("node")
     ranked = often.withColumn("r", F.row_number().over(w.orderBy("f", "value"))).withColumn("own", F.col("size") - F.count("*").over(w)).withColumn("pos", F.col("r") + F.col("own") - 1)
     return ranked.where(F.col("pos") < room).drop("f", "r")
@@ -207,7 +212,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
     """Verified links (u, v) between classes; together they connect all classes that any chain of links connects."""
     listed = _rarest(classes.select("node", F.size("sketch").alias("size"), "n", F.explode("sketch").alias("value")), _room(F.col("n"), F.col("size"), k, shared, percent))
     lists = listed.select("value", "node", "n", "own")
-    lists = cut(lists.withColumn("c", F.count("*").over(Window.partitionBy("value"))).where("c > 1"))
+    lists = cut(_counted(lists, "c"))
     some = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"))
     texts = cut(_texts_of(docs, some.select("node", "b", "rep"), width, id_col, text_col))
 

@@ -130,3 +130,16 @@ def test_other_thresholds(spark, percent):
             root[i] = root[j] = min(root[i], root[j])
     out = near_duplicates(frame(spark, rows), percent=percent, shared=max(1, int(48 * percent / 100 * 0.6)))
     assert {r.doc_id: r.component_id for r in out.collect()} == root
+
+
+def test_one_value_in_half_of_all_sketches(spark):
+    """A boilerplate passage that many unrelated documents share, beside copies that differ in a word."""
+    r = random.Random(14)
+    v = vocabulary(14, 3000)
+    shared = prose(r, v, 12, 99)
+    rows = [(i, prose(r, v, 40, 99) + (" " + shared if i % 2 else ""), "", "") for i in range(240)]
+    for i in range(0, 60):
+        w = rows[i][1].split(" ")
+        w[5] = "changed"
+        rows.append((1000 + i, " ".join(w), "", ""))
+    assert got(near_duplicates(frame(spark, rows))) == brute(rows)
