@@ -214,7 +214,7 @@ def places(steps: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
     """Every piece with its sequence and offset."""
-    rows = cut(pieces(docs, json_path, ranks_path, pattern, size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")))
+    rows = cut(pieces(docs, json_path, ranks_path, pattern, size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(buckets)).cast("int")))
     counts = np.zeros(size + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most size rows
         counts[r["length"]] = r["count"]

@@ -88,3 +88,10 @@ def test_round_trip(spark, tokenizer):
 def test_empty(spark, tokenizer):
     assert pack(empty(spark), **tokenizer).count() == 0
     assert [(r.length, r.offset) for r in pack(frame(spark, [(1, None, "", "")]), **tokenizer).collect()] == [(1, 0)]
+
+
+def test_null_ids_are_packed_once_each(spark, tokenizer):
+    rows = [(None, f"text number {i % 50} of nobody", "", "") for i in range(300)] + [(5, "text number 1 of nobody", "", "")] * 3
+    out = pack(frame(spark, rows), **tokenizer).collect()
+    assert len(out) == 303 and len({(r.sequence_id, r.offset) for r in out}) == 303
+    assert all(r.offset + r.length <= 1024 for r in out)
