@@ -103,7 +103,7 @@ class _Page:
             text = " ".join(self.sentence() for _ in range(self.r.randint(1, 3)))
             self.block("p", text, False) if self.r.random() < 0.5 else self._loose(text, False)
 
-        self.wrap(*self.r.choice((("div", ' class="ad"'), ("div", self.named("ad", "ads", "advert", "sponsored", "promo")), ("aside", self.named("ad", "advertisement")), ("section", self.named("promo", "sponsored")))), inside)
+        self.wrap(*self.r.choice((("div", self.named("ad", "ads")), ("div", self.named("ad", "ads", "advert", "sponsored", "promo")), ("aside", self.named("ad", "advertisement")), ("section", self.named("promo", "sponsored")))), inside)
 
     def notice(self):
         def inside():
@@ -135,7 +135,7 @@ class _Page:
         self.wrap(self.r.choice(("div", "section", "ol")), self.named("comments", "commentlist", "discussion", "responses", "replies"), inside)
 
     def share(self):
-        self.wrap("div", self.named("share", "social", "follow"), lambda: [self.block("span" if False else "div", self.words(1, 2), False, link=True) for _ in range(self.r.randint(2, 4))])
+        self.wrap("div", self.named("share", "social", "follow"), lambda: [self.block("div", self.words(1, 2), False, link=True) for _ in range(self.r.randint(2, 4))])
 
     # the article
     def article(self):
@@ -147,6 +147,11 @@ class _Page:
         def paragraph():
             self.block("p", " ".join(self.sentence() for _ in range(r.choice((1, 1, 2, 3, 5, 8)))), True)
 
+        def section():
+            self.maybe(0.8, lambda: self.block(r.choice(("h2", "h3")), self.words(1, 6), True))
+            for _ in range(r.randint(1, 4)):
+                paragraph()
+
         def part():
             x = r.random()
             if x < 0.72:
@@ -157,6 +162,8 @@ class _Page:
                 self.block(r.choice(("h2", "h3")), self.words(1, 6), True)
             elif x < 0.9:
                 self.wrap(r.choice(("ul", "ol")), "", lambda: [self.block("li", self.sentence(2, 12), True) for _ in range(r.randint(2, 5))])
+            elif x < 0.92:
+                self.wrap("section", "", section)
             elif x < 0.94:
                 self.wrap("blockquote", "", paragraph)
             elif x < 0.96:
@@ -187,7 +194,7 @@ class _Page:
 
     def build(self) -> str:
         r = self.r
-        self.html.append(f'<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
+        self.html.append(f'<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>.{self.word()} {{ width: 9em }}</style><script>go("<{r.choice(("b", "div", "/li", "section"))}>")</script></head><body>')
         self.maybe(0.5, self.head)
         self.maybe(0.7, self.menu)
         self.maybe(0.2, self.notice)
