@@ -169,3 +169,40 @@ def test_nine_bad_texts_in_ten(spark):
         rows.append((i, t, "en", "s"))
     kept = {x.doc_id for x in quality_rules(frame(spark, rows)).where("kept").collect()}
     assert kept == set(range(50))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every row's evidence, its site's posteriors by hand, and their combination; a null host or path is a site, a very long text one document."""
+    docs, labels = documents(5, 160)
+    docs += [(900, None, None, None), (901, "", "en", "s1"), (902, long_text(30_000), "de", "s1"), docs[3], docs[3], (None, docs[5][1], None, "s2")]
+    model = train(frame(spark, docs), spark.createDataFrame([(*x, "") for x in labels], LABELS))
+    low, toxic = (x.tolist() for x in model.scores(pa.array([t for _, t, *_ in docs], pa.string())))
+    reject = [1 - (1 - a) * (1 - b) for a, b in zip(low, toxic)]
+    site = [(s, lang) for _, _, lang, s in docs]
+    rate = min(max(sum(reject) / len(reject), 1e-4), 1 - 1e-4)
+
+    def shrunk(groups, parents):
+        """Posterior of each group's rate: its own evidence and kappa times its parent's."""
+        n, s = {k: len(v) for k, v in groups.items()}, {k: sum(v) for k, v in groups.items()}
+        total = sum(n.values())
+        kappa = 100.0
+        if len(groups) > 1:
+            mean = min(max(sum(n[k] * parents[k] for k in groups) / total, 1e-4), 1 - 1e-4)
+            size = (total - sum(v * v for v in n.values()) / total) / (len(groups) - 1)
+            spread = (sum(n[k] * (s[k] / n[k] - parents[k]) ** 2 for k in groups) / (len(groups) - 1) - mean * (1 - mean)) / max(size, 1e-9)
+            kappa = min(max(mean * (1 - mean) / spread - 1, 5.0), 10_000.0) if spread > 1e-9 else 10_000.0
+        return {k: (s[k] + kappa * parents[k]) / (n[k] + kappa) for k in groups}
+
+    hosts, paths = {}, {}
+    for (h, q), e in zip(site, reject):
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, q), []).append(e)
+    host_p = shrunk(hosts, dict.fromkeys(hosts, rate))
+    path_p = shrunk(paths, {k: host_p[k[0]] for k in paths})
+    odds = lambda x: math.log(x / (1 - x))
+    want = []
+    for (i, *_), k, e in zip(docs, site, reject):
+        post = 1 / (1 + math.exp(-(odds(min(max(e, 1e-9), 1 - 1e-9)) + odds(path_p[k]) - odds(rate))))
+        want.append((i, round(post, 4), post < 0.5))
+    out = quality_classifier(frame(spark, docs), spark.createDataFrame([(*x, "") for x in labels], LABELS)).collect()
+    assert sorted(((r.doc_id, round(r.p_reject, 4), r.kept) for r in out), key=str) == sorted(want, key=str)
