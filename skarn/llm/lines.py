@@ -15,6 +15,8 @@ similarity of at least ``percent`` / 100 is removed.  Lines are judged on the in
 * Every line is compared with one other first, the first line of one of its lists.  Lines that do not match it
   take the closest by sketch of those beside them in a list, in blocks of about 64 by size, and only those that
   match neither are compared with all candidates.  So a line in thousands of variants costs a star of pairs.
+* In that last comparison a pair is made at its first common word, not at each: an entry carries the prefix words
+  before it (AHEAD at most), and two entries that share one of them have met there already.
 * Jaccard is verified on the full sets, made again for the lines in question only (a bitmap of fixed size
   passes few others).
 * Words that lead many lists, copied lines and much-compared lines are counted; those with a large share of the
@@ -44,6 +46,8 @@ BUCKETS = 1 << 15
 HOT_BITS = 12
 #: Lines of more words have a wide sketch of so many longs as well; it tells lines of up to some 900 words apart.
 WIDE, LONGS = 180, 8
+#: Prefix words that an entry of a list carries along.
+AHEAD = 10
 _NONE = 2**63 - 1
 
 
@@ -146,9 +150,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     tmp.drop("base")
     tmp.drop("narrow")
 
-    # (code, mid, rid, s0, s1, w, np, c): every listed prefix word with the first line of its list
+    # (code, mid, rid, s0, s1, w, np, ahead, c): every listed prefix word with the first line of its list
     np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")
-    entries = firsts.select("mid", "rid", "s0", "s1", "w", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", "w", np)
+    entries = firsts.select("mid", "rid", "s0", "s1", "w", "n", "prefix", F.posexplode("prefix").alias("pos", "code")).select("code", "rid", "mid", "s0", "s1", "w", np, F.slice("prefix", F.lit(1), F.least("pos", F.lit(AHEAD))).alias("ahead"))
     many = words >> HOT_BITS  # words in more lines than this are at most 2 ** HOT_BITS
     entry = F.struct("rid", "mid", "s0", "s1", "np")
     hot = tmp.keep(entries.where(F.col("code") >= F.lit(rank(many) << 48)).groupBy("code").agg(F.count("*").alias("times"), F.min(entry).alias("c")).where(F.col("times") > many), "hot")
@@ -219,9 +223,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     def candidates(x: DataFrame, y: DataFrame, *within: str) -> tuple[DataFrame, Column]:
         # both sides have the same c; comparing them has both read the same columns, so that they can share an exchange
-        x = x.select("code", *within, F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in ("mid", "rid", "s0", "s1", "w", "np")))
-        y = y.select("code", *within, F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in ("mid", "rid", "s0", "s1", "w", "np")))
+        columns = ("mid", "rid", "s0", "s1", "w", "np", "ahead")
+        x = x.select("code", *within, F.col("c.mid").alias("x_c"), *(F.col(c).alias(f"x_{c}") for c in columns))
+        y = y.select("code", *within, F.col("c.mid").alias("c_mid"), *(F.col(c).alias(f"y_{c}") for c in columns))
         fits, far = near("x_", "y_", wide=True)
+        if not within:  # whole lists, so that the two have met at every earlier word that both list
+            fits = fits & ~F.arrays_overlap("x_ahead", "y_ahead")
         return x.join(y, ["code", *within]).where((F.col("x_c") <= F.col("c_mid")) & (F.col("y_rid") <= F.col("x_rid")) & (F.col("y_mid") != F.col("x_mid")) & fits), far
 
     dealt = lists.repartition("code", "block")  # one exchange for both sides, which are told apart behind it
