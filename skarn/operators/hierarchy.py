@@ -28,6 +28,7 @@ def direct(edges: DataFrame, parent: str) -> DataFrame:
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) for every node that a root reaches in at least one step."""
+    edges = cut(edges.select("parent", "child"))  # read once, not once a round
     new = cut(roots.select("root").distinct().join(edges, F.col("root") == F.col("parent")).select("root", F.col("child").alias("node")).distinct())
     reach = new
     while not new.isEmpty():

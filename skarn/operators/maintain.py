@@ -29,9 +29,16 @@ def deleted(tracked: DataFrame, disk: DataFrame, key: str = "path") -> DataFrame
     return tracked.join(disk, key, "left_anti")
 
 
+#: Keys are broadcast up to so many; more of them meet the facts in a shuffle.
+BROADCAST_KEYS = 100_000
+
+
 def without(facts: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """Facts of the keys that are not gone."""
-    return facts.join(gone.select(key).distinct(), key, "left_anti")
+    """Facts of the keys that are not gone; the facts, which may hold long texts, are not shuffled for a few keys."""
+    keys = gone.select(key).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return facts.join(keys, key, "left_anti")
 
 
 def replace(facts: DataFrame, fresh: DataFrame, touched: DataFrame, key: str) -> DataFrame:

@@ -280,7 +280,7 @@ def remove_file(spark, sf_dir):
 @query(f"WITH {SQL_TOKENS} SELECT lang, count(*) AS facts, count(DISTINCT name) AS names FROM tok GROUP BY lang")
 def reindex_idempotent(spark, sf_dir):
     """Deleting and inserting a project's facts again leaves the index as it was."""
-    facts = tokens(t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).groupBy("doc_id", "source", "lang", "name").agg(F.count("*").alias("n"))
+    facts = lineage.cut(tokens(t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).groupBy("doc_id", "source", "lang", "name").agg(F.count("*").alias("n")))
     touched = facts.where("source = 'src2'")
     again = maintain.replace(facts, touched, touched, "doc_id")
     return again.groupBy("lang", "name").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("facts"), F.count("*").alias("names"))

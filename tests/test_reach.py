@@ -46,22 +46,23 @@ def test_a_tree_needs_one_interval_a_node(spark):
     assert all(len(r.intervals) <= 1 for r in rows)
 
 
-@pytest.mark.parametrize(
-    "edges",
-    [
-        [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")],
-        [("a", "b"), ("b", "c"), ("c", "a")],
-        [("a", "a"), ("a", "b"), ("b", "b")],
-        [("x", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("y", "c"), ("c", "y")],
-        [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("d", "a"), (None, "a"), ("a", None), ("a", "b")],
-        [("a", "z"), ("b", "z"), ("z", "y"), ("b", "y"), ("y", "b2"), ("a", "b2")],
-    ],
-)
-def test_shapes(spark, edges):
-    check(spark, edges)
+SHAPES = [
+    [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")],
+    [("a", "b"), ("b", "c"), ("c", "a")],
+    [("a", "a"), ("a", "b"), ("b", "b")],
+    [("x", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("y", "c"), ("c", "y")],
+    [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("d", "a"), (None, "a"), ("a", None), ("a", "b")],
+    [("a", "z"), ("b", "z"), ("z", "y"), ("b", "y"), ("y", "b2"), ("a", "b2")],
+]
+
+
+def test_shapes(spark):
+    """Side by side in one hierarchy: the last one's nodes keep their names, nulls too."""
+    named = lambda k, n: n if n is None else f"{k}{n}"
+    check(spark, [(named(k, a), named(k, b)) for k, edges in enumerate(SHAPES) for a, b in edges])
 
 
-@pytest.mark.parametrize("seed, n, m, cyclic", [(1, 14, 22, False), (2, 14, 22, True), (3, 30, 34, True), (4, 20, 60, False)])
+@pytest.mark.parametrize("seed, n, m, cyclic", [(2, 14, 22, True), (4, 20, 60, False)])
 def test_random_graphs(spark, seed, n, m, cyclic):
     r = random.Random(seed)
     edges = []
