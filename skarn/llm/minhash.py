@@ -27,6 +27,8 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,7 @@ from pyspark.sql import Window
 
 from skarn.llm.bitmap import bitmap, may_be_in
 from skarn.llm.graph import components
-from skarn.llm.session import cut
+from skarn.llm.session import Scratch, cut
 from skarn.llm.session import width as width_of
 from skarn.llm.textops import U64, chunks, grams, mix
 
@@ -205,19 +207,25 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_c
 
 def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (u, v) between classes; together they connect all classes that any chain of links connects."""
+    tmp, tables = Scratch(docs.sparkSession), count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        """A table in the shared folder; the shuffle files behind it go at once, not when the driver happens to collect its garbage."""
+        return tmp.keep(df, f"links-{next(tables)}")
+
     listed = _rarest(classes.select("node", F.size("sketch").alias("size"), "n", F.explode("sketch").alias("value")), _room(F.col("n"), F.col("size"), k, shared, percent))
     lists = listed.select("value", "node", "n", "own")
-    lists = cut(lists.withColumn("c", F.count("*").over(Window.partitionBy("value"))).where("c > 1"))
-    some = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"))
-    texts = cut(_texts_of(docs, some.select("node", "b", "rep"), width, id_col, text_col))
+    lists = keep(lists.withColumn("c", F.count("*").over(Window.partitionBy("value"))).where("c > 1"))
+    some = keep(classes.join(lists.select("node").distinct(), "node", "left_semi"))
+    texts = keep(_texts_of(docs, some.select("node", "b", "rep"), width, id_col, text_col))
 
     def verified(pairs: DataFrame) -> DataFrame:
         u = some.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
         v = some.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
         both = pairs.join(u, "u").join(v, "v").where(_length_fits(F.col("nu"), F.col("nv"), percent))
-        both = cut(both.where(_estimate(k, shared, percent)("su", "nu", "sv", "nv")).select("u", "v"))
+        both = keep(both.where(_estimate(k, shared, percent)("su", "nu", "sv", "nv")).select("u", "v"))
         tu, tv = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("u", "v"))
-        return cut(both.join(tv, "v").join(tu, "u").where(_verify(width, percent)("tu", "tv")).select("u", "v"))
+        return keep(both.join(tv, "v").join(tu, "u").where(_verify(width, percent)("tu", "tv")).select("u", "v"))
 
     def apart(rows: DataFrame, *positions) -> DataFrame:
         """Pairs (u, v) of one list that are in different components."""
@@ -235,7 +243,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
     root = components(links).withColumnRenamed("u", "node")
     placed = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
-    left = cut(placed.join(mixed, "value", "left_semi"))
+    left = keep(placed.join(mixed, "value", "left_semi"))
     # short lists: what the stars left apart, pair by pair (at most LARGE pairs a row)
     tasks = width_of(docs.sparkSession)  # unions would add up their inputs' partitions
     links = links.union(verified(apart(left.where(F.col("c") <= LARGE)))).coalesce(tasks)
@@ -245,20 +253,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, shared: int, wid
         return links
     sets = _full_sets(texts.join(members, "node", "left_semi"), width).withColumn("n", F.col("size").cast("long"))
     need = F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int")
-    prefix = cut(_rarest(sets, F.col("size") - need + 1).select("value", "node", "n", "own", "pos"))
+    prefix = keep(_rarest(sets, F.col("size") - need + 1).select("value", "node", "n", "own", "pos"))
     overlap = F.ceil((F.col("nu") + F.col("nv")) * percent / (100.0 + percent) - 1e-9)
     fits = F.least(F.col("nu") - F.col("posu"), F.col("nv") - F.col("posv")) >= overlap
 
     def rooted(rows: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("u", "node")
-        return cut(rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        return keep(rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     # stars here too, around the most central members, before pairs
     for turn in range(STARS):
         rows = rooted(prefix)
         w = Window.partitionBy("value").orderBy("own", F.xxhash64("node", F.lit(turn)))
         rows = rows.join(rows.withColumn("place", F.row_number().over(w)).where(F.col("place") == turn + 1).select("value", F.col("node").alias("centre")), "value")
-        links = cut(links.union(verified(apart(rows, fits, (F.col("u") == F.col("centreu")) | (F.col("v") == F.col("centrev"))))).coalesce(tasks))
+        links = keep(links.union(verified(apart(rows, fits, (F.col("u") == F.col("centreu")) | (F.col("v") == F.col("centrev"))))).coalesce(tasks))
     return links.union(verified(apart(rooted(prefix), fits)))
 
 
